@@ -5,20 +5,66 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, sentencepiece_codec
+from . import common, language_id, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, topk, toxicity
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(common.table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(common.table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find(common.table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(common.table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_sentencepiece": op1_sentencepiece, "op3_packing": op3_packing}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_packing, op4_simhash, op5_pii, op7_language_id, op8_secret_scan, op9_toxicity, op10_quality)}
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(r.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.x) = len(r.x)
+  WHERE q.vec_id % 20 = 0
+), k AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are tested against brute force: SQL has no tokenizer, XXH64 or graph closure."""
+    return {"op2_topk": TOPK_SQL}
