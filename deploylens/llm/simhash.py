@@ -52,7 +52,7 @@ def fingerprint(text: bytes, words_each: int = SHINGLE_WORDS) -> int:
     hashes = np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, ends[words_each - 1 :].tolist(), strict=True)], np.uint64, len(starts))
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 16):  # a long text's bits in blocks
-        counts += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+        counts += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(sum(1 << b for b in np.flatnonzero(2 * counts > len(hashes)).tolist()))
 
 
@@ -188,9 +188,9 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(label, both.b == label.fp).groupBy("a").agg(F.min("root").alias("near"))
         seen = common.written(label.join(near, label.fp == near.a).select("fp", "root", F.least("root", "near").alias("best")), "seen")
         hooked = common.written(seen.groupBy("root").agg(F.min("best").alias("up")), "hooked")
-        moved = common.written(seen.join(hooked, "root").select("fp", "root", F.least("best", "up").alias("to")), "moved")
-        onward = moved.select(F.col("fp").alias("node"), F.col("to").alias("next"))
-        new = common.written(moved.join(onward, moved.to == onward.node).select("fp", F.least("to", "next").alias("new"), "root"), "labels")
+        moved = common.written(seen.join(hooked, "root").select("fp", "root", F.least("best", "up").alias("target")), "moved")
+        onward = moved.select(F.col("fp").alias("node"), F.col("target").alias("next"))
+        new = common.written(moved.join(onward, moved.target == onward.node).select("fp", F.least("target", "next").alias("new"), "root"), "labels")
         label = new.select("fp", F.col("new").alias("root"))
         if new.filter("new <> root").isEmpty():
             return label
