@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language_id, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, topk, toxicity
+from . import common, language_id, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup, topk, toxicity
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(common.table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_documents(common.table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(common.table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_packing, op4_simhash, op5_pii, op7_language_id, op8_secret_scan, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_packing, op4_simhash, op5_pii, op6_suffix_dedup, op7_language_id, op8_secret_scan, op9_toxicity, op10_quality)}
 
 
 TOPK_SQL = """
