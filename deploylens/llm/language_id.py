@@ -147,6 +147,25 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return common.map_batches(common.doc_texts(docs), fn, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` without the rejected rows; a null lang takes the predicted one. Without a model, no text with a
+    letter is rejected."""
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang, keep = batch.column("lang").to_pylist(), []
+        for k, text in enumerate(common.raw(batch)):
+            ok = bool(_letter(text.decode("utf-8", "replace")))
+            if ok and model is not None:
+                best, _, out = model.score(ngrams(text))
+                ok = not out
+                lang[k] = model.langs[best] if lang[k] is None else lang[k]
+            keep.append(ok)
+        cols = [pa.array(lang, pa.string()) if c == "lang" else batch.column(c) for c in batch.schema.names]
+        return pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return common.map_batches(docs, fn, docs.schema.simpleString()[7:-1])
+
+
 def fold(parts: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 

@@ -48,8 +48,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(common.table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_packing, op4_simhash, op5_pii, op6_suffix_dedup, op7_language_id, op8_secret_scan, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_packing, op4_simhash, op5_pii, op6_suffix_dedup, op7_language_id, op8_secret_scan, op9_toxicity, op10_quality, pipeline)}
 
 
 TOPK_SQL = """
