@@ -1 +1 @@
-"""See the package docstring."""
+"""Column expressions and the small parsers they cannot replace."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Operators over the relations: routes, detection, index."""

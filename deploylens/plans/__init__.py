@@ -1 +1 @@
-"""See the package docstring."""
+"""The whole analysis."""

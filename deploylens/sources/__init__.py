@@ -1 +1 @@
-"""See the package docstring."""
+"""Archives and directories in, files out."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""The analysis over archives as they arrive."""
