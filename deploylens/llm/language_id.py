@@ -29,7 +29,7 @@ SAMPLE = 4000
 CENTROIDS = 3
 UNKNOWN = "und"
 #: A text is rejected below this share of the least cosine of training texts of its length.
-MARGIN = 0.6
+MARGIN = 0.4
 #: Bytes of a text whose n-grams are counted at once.
 BLOCK = 1 << 20
 
