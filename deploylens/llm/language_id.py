@@ -163,7 +163,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
         cols = [pa.array(lang, pa.string()) if c == "lang" else batch.column(c) for c in batch.schema.names]
         return pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return common.map_batches(docs, fn, docs.schema.simpleString()[7:-1])
+    return common.map_batches(docs, fn, docs.schema)
 
 
 def fold(parts: int) -> F.Column:

@@ -93,9 +93,10 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each secret in text replaced by ``mark``, overlapping spans as one; other columns as they are.
     Rows without one are untouched; n_chars, where there is one, follows the text."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_base", base(text))
+    own, every = common.free_name(docs, "_base"), common.free_name(docs, "_all")
+    rows = docs.withColumn(own, base(text))
     found = spans.spans(text, _CANDIDATE, "entropy", text.rlike(_CANDIDATE))
-    rows = rows.withColumn("_all", spans.ordered(F.concat("_base", F.filter(spans.clear_of(found, F.col("_base")), suspicious)), KINDS, True))
+    rows = rows.withColumn(every, spans.ordered(F.concat(own, F.filter(spans.clear_of(found, F.col(own)), suspicious)), KINDS, True))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -104,9 +105,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
-    cut = F.aggregate("_all", start, step)
-    made = F.when(F.size("_all") == 0, F.col("text")).otherwise(F.concat(cut["out"], F.substring(text, cut["at"] + 1, F.length(text))))
+    cut = F.aggregate(every, start, step)
+    made = F.when(F.size(every) == 0, F.col("text")).otherwise(F.concat(cut["out"], F.substring(text, cut["at"] + 1, F.length(text))))
     rows = rows.withColumn("text", made)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_all") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.size(every) == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*docs.columns)

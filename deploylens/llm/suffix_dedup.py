@@ -395,18 +395,19 @@ def strip_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without their repeated strings, cut at whole characters; other columns as they are, n_chars
     follows the text. No row is dropped."""
     _, marks = removed(docs, width)
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_digest", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    joined = own.join(marks.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("runs").alias("_runs")), ["_id", "_digest"], "left")
+    key, digest, runs_of = (common.free_name(docs, f"_{n}") for n in ("id", "digest", "runs"))
+    own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(digest, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    joined = own.join(marks.select(F.col("id").alias(key), F.col("digest").alias(digest), F.col("runs").alias(runs_of)), [key, digest], "left")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols = {c: batch.column(c) for c in batch.schema.names if c != "_runs"}
+        cols = {c: batch.column(c) for c in batch.schema.names if c != runs_of}
         text = []
-        for was, t, windows in zip(batch.column("text").to_pylist(), common.raw(batch), batch.column("_runs").to_pylist(), strict=True):
+        for was, t, windows in zip(batch.column("text").to_pylist(), common.raw(batch), batch.column(runs_of).to_pylist(), strict=True):
             text.append(was if not windows else cut(t, windows, width)[0].decode("utf-8", "ignore"))
         cols["text"] = pa.array(text, pa.string())
         return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    made = common.map_batches(joined.select(*docs.columns, "_runs"), fn, docs.schema.simpleString()[7:-1])
+    made = common.map_batches(joined.select(*docs.columns, runs_of), fn, docs.schema)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return made

@@ -151,7 +151,7 @@ def exact_topk(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
                 if dim not in asked_by:
                     continue
                 if isinstance(asked_by[dim], list):
-                    asked_by[dim] = np.array([i for i, _ in asked_by[dim]], np.int64), np.array([x for _, x in asked_by[dim]], np.int64).reshape(-1, dim)
+                    asked_by[dim] = np.array([i for i, _ in asked_by[dim]], np.int64), np.array([x for _, x in asked_by[dim]], np.int64).reshape(len(asked_by[dim]), dim)
                 qi, q = asked_by[dim]
                 ids = np.frombuffer(cols["ids"][n].as_py(), "<i8")
                 found = block_topk(q, qi, np.frombuffer(cols["data"][n].as_py(), "<i8").reshape(len(ids), dim), ids, k)
