@@ -29,7 +29,7 @@ from . import common
 #: Bound on the labelled rows that training reads.
 SAMPLE = 16_000
 #: Word beginnings the lexicon may hold, by length; and its largest size.
-PREFIXES, LEXICON = (4, 5, 6), 3000
+PREFIXES, LEXICON = (4, 5, 6, 7), 3000
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
 #: Words between a lexicon word and a second person that count as near.
 NEAR = 5
@@ -70,7 +70,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     starts = [0.0] * len(low)
     if lexicon.starts:
         get = lexicon.starts.get
-        starts = [max(get(w[:4], 0.0), get(w[:5], 0.0), get(w[:6], 0.0)) if len(w) > 4 else 0.0 for w in low]
+        starts = [max(get(w[:4], 0.0), get(w[:5], 0.0), get(w[:6], 0.0), get(w[:7], 0.0)) if len(w) > 4 else 0.0 for w in low]
     odd = [k for k, t in enumerate(tokens) if not t.isalpha() and _odd(t)]
     undone = 0
     for k in odd:
@@ -201,15 +201,22 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     return made
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from rows of doc_id, text and toxic (0 or 1)."""
-    counts = {int(r["toxic"]): int(r["n"]) for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model from texts (doc_id, text) and labels (doc_id, toxic: 0 or 1). The labels are sampled first, a third of them toxic
+    if there are as many; only that sample, never larger than ``sample``, is broadcast to fetch the texts."""
+    counts = {int(r["toxic"]): int(r["n"]) for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Model(Lexicon(), None, None, float(next(iter(counts), 0)))
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / 3 / counts[1]))).otherwise(F.lit(min(1.0, sample * 2 / 3 / counts[0])))
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity part")), F.lit(4))
-    chosen = common.written(labelled.filter(place < share).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), part.cast("int").alias("part")), "toxicity-sample")
+    place = F.xxhash64(F.col("doc_id"), F.lit("toxicity sample"))
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity part")), F.lit(4)).cast("int").alias("part")
+    ids = None
+    for label, most in ((1, sample // 3), (0, sample - sample // 3)):
+        share = min(1.0, 1.5 * most / counts[label])  # spares the sort most rows
+        near = F.pmod(place, F.lit(1 << 30)) < int(share * (1 << 30))
+        one = known.filter((F.col("toxic") == label) & near).orderBy(place, "doc_id").limit(most).select("doc_id", F.col("toxic").cast("int").alias("toxic"), part)
+        ids = one if ids is None else ids.union(one)
+    found = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text"))
+    chosen = common.written(found.select("doc_id", "text", "toxic", "part"), "toxicity-sample")
     sized = {(int(r["toxic"]), r["part"] < 2): 0 for r in chosen.groupBy("toxic", "part").count().collect()}
     for r in chosen.groupBy("toxic", "part").count().collect():
         sized[int(r["toxic"]), r["part"] < 2] += r["count"]
@@ -242,6 +249,6 @@ def rate(docs: DataFrame, labels: DataFrame, held_fold: int = 0, folds: int = 5)
     """doc_id, held_out, score, predicted; learnt from the labelled rows outside the held-out fold."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    model = train(common.doc_texts(docs).filter(crc != held_fold).join(known, "doc_id"))
+    model = train(common.doc_texts(docs), known.filter(crc != held_fold))
     held = F.coalesce(crc == held_fold, F.lit(False)).alias("held_out")
     return score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
