@@ -52,35 +52,40 @@ def distances(x: np.ndarray, count: int = PIVOTS) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None, :]))
 
 
-def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the k best rows of this block for each query, ties to the smaller id.
+def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query, (vec_id, score) of the k best rows of this block, best first, ties to the smaller id; rows that score
+    below ``least``, what the query's k-th row elsewhere scores, may be left out.
 
-    Products of quantised components are summed in floats only where they stay below 2**53, so they are exact."""
+    Rows are evaluated by chunks in the order of their bounds: the best chunk first, then those whose bound still reaches the k-th
+    score. Products of quantised components are summed in floats only where they stay below 2**52, so they are exact."""
     big = max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0))
     exact = float(big) ** 2 * max(rows.shape[1], 1) < 2**52
     q, r = (queries.astype(float), rows.astype(float)) if exact else (queries.astype(object), rows.astype(object))
     qf, rf = queries.astype(float), rows.astype(float)
-    qd, rd = distances(qf), distances(rf)
+    qd, rd = distances(qf), np.ascontiguousarray(distances(rf).T)
     qn, rn = (qf * qf).sum(1), (rf * rf).sum(1)
+    slack = 1e-9 * rn + 1e-6  # rounding never eliminates
     out = []
     for i in range(len(q)):
-        least = np.zeros(len(r))
-        for p in range(rd.shape[1]):
-            np.maximum(least, np.abs(rd[:, p] - qd[i, p]), out=least)
-        bound = (qn[i] + rn - np.maximum(least - 1e-6, 0) ** 2) / 2
-        bound += 1e-9 * (qn[i] + rn) + 1e-6  # rounding never eliminates
-        other = np.flatnonzero(row_ids != query_ids[i])
-        order = other[np.argsort(-bound[other], kind="stable")]
+        far = np.maximum(np.abs(rd - qd[i][:, None]).max(0) - 1e-6, 0)
+        bound = (qn[i] + rn - far * far) / 2 + slack + 1e-9 * qn[i]
+        bound[row_ids == query_ids[i]] = -np.inf
+        kth = -np.inf if least is None else least[i]
         best_s, best_id = np.zeros(0, q.dtype), np.zeros(0, np.int64)
-        for at in range(0, len(order), CHUNK):
-            if len(best_s) == k and bound[order[at]] < best_s[-1]:
-                break
-            own = order[at : at + CHUNK]
+        left = np.flatnonzero(bound >= kth) if np.isfinite(kth) else np.flatnonzero(bound > -np.inf)
+        while len(left):
+            if len(left) > CHUNK:
+                split = np.argpartition(-bound[left], CHUNK - 1)
+                own, left = left[split[:CHUNK]], left[split[CHUNK:]]
+            else:
+                own, left = left, left[:0]
             s, ids = np.concatenate([best_s, r[own] @ q[i]]), np.concatenate([best_id, row_ids[own]])
             top = np.lexsort((ids, -s))[:k]
             best_s, best_id = s[top], ids[top]
-        out.append((np.full(len(best_id), query_ids[i]), best_id, best_s.astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+            if len(best_s) == k:
+                left = left[bound[left] >= max(kth, best_s[-1])]
+        out.append((best_id, best_s.astype(np.int64)))
+    return out
 
 
 def blocks(vectors: DataFrame, size: int) -> DataFrame:
@@ -154,15 +159,14 @@ def exact_topk(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
                     asked_by[dim] = np.array([i for i, _ in asked_by[dim]], np.int64), np.array([x for _, x in asked_by[dim]], np.int64).reshape(len(asked_by[dim]), dim)
                 qi, q = asked_by[dim]
                 ids = np.frombuffer(cols["ids"][n].as_py(), "<i8")
-                found = block_topk(q, qi, np.frombuffer(cols["data"][n].as_py(), "<i8").reshape(len(ids), dim), ids, k)
-                for one in np.unique(found[0]):
-                    pick = found[0] == one
-                    i, s = found[1][pick], found[2][pick]
-                    if int(one) in best:
-                        i, s = np.concatenate([best[int(one)][0], i]), np.concatenate([best[int(one)][1], s])
+                least = np.array([best[i][1][-1] if i in best and len(best[i][1]) == k else -np.inf for i in qi.tolist()])
+                found = block_topk(q, qi, np.frombuffer(cols["data"][n].as_py(), "<i8").reshape(len(ids), dim), ids, k, least)
+                for one, (i, s) in zip(qi.tolist(), found, strict=True):
+                    if one in best:
+                        i, s = np.concatenate([best[one][0], i]), np.concatenate([best[one][1], s])
                         top = np.lexsort((i, -s))[:k]
                         i, s = i[top], s[top]
-                    best[int(one)] = i, s
+                    best[one] = i, s
         yield from done()
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
