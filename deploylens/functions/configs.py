@@ -116,3 +116,42 @@ def manifest_sections(text: Column, every: bool = False) -> Column:
 def is_boot(main: Column) -> Column:
     """Whether either Spring Boot header is there."""
     return (F.coalesce(main["Spring-Boot-Classes"], F.lit("")) != "") | (F.coalesce(main["Spring-Boot-Lib"], F.lit("")) != "")
+
+
+# Spring files --------------------------------------------------------------------------------
+
+_BEANS = """
+`bean` array<struct<_id:string,_class:string,_name:string,_scope:string,`property`:array<struct<_name:string,_value:string,_ref:string>>>>,
+`context:component-scan` array<struct<`_base-package`:string>>,
+`import` array<struct<_resource:string>>,
+_corrupt string
+"""
+#: Keys of spring.factories that mark auto-configuration, and the launchers of executable archives. Fixed values.
+AUTO_CONFIG = ("org.springframework.boot.autoconfigure.EnableAutoConfiguration", "org.springframework.context.ApplicationContextInitializer")
+LAUNCHERS = tuple(f"org.springframework.boot.loader.{x}Launcher" for x in ("Jar", "War", "Properties"))
+
+
+def spring_beans(xml: Column) -> Column:
+    """The parsed beans file, null where it is none."""
+    parsed = F.from_xml(strip_doctype(xml), _BEANS.replace("\n", " "), _OPTIONS)
+    return F.when((root_name(xml) == "beans") & parsed["_corrupt"].isNull(), parsed)
+
+
+def spring_factories(text: Column) -> Column:
+    """(key, values) of the lines of a spring.factories file, line by line; comments and lines without a sign are skipped."""
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(F.trim(x), r"\\+\z", ""))
+    kept = F.filter(lines, lambda x: (F.instr(x, "=") > 0) & ~F.startswith(x, F.lit("#")))
+
+    def pair(x: Column) -> Column:
+        values = F.filter(F.transform(F.split(F.regexp_replace(x, "^[^=]*=", ""), ","), lambda v: F.trim(v)), lambda v: v != "")
+        return F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), values.alias("values"))
+
+    return F.transform(kept, pair)
+
+
+def has_auto_config(factories: Column) -> Column:
+    return F.exists(factories, lambda p: p["key"].isin(*AUTO_CONFIG))
+
+
+def is_boot_launcher(name: Column) -> Column:
+    return name.isin(*LAUNCHERS)

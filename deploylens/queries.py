@@ -298,6 +298,18 @@ def j_strip_comments(spark, sf):
     return d.select("k", F.length(F.col("data").cast("string")).alias("n"))
 
 
+@query("SELECT k, 'com/q' || (k % 3) || '/A' || k AS this_class, 'Lorg/p' || (k % 5) || '/Marker;' AS type FROM {P}")
+def j_package_import(spark, sf):
+    d = decoded(spark, sf, lambda r: f"package com.q{r['k'] % 3};\nimport x.Marker;\nimport static org.p{r['k'] % 5}.Marker;\nimport y.*;\n@Marker class A{r['k']} {{}}".encode())
+    return d.select("k", "this_class", F.col("class_annotations")[0]["type"].alias("type"))
+
+
+@query("SELECT k, CASE k % 5 WHEN 0 THEN 'Lorg/springframework/stereotype/Service;' WHEN 1 THEN 'Ljavax/ws/rs/GET;' WHEN 2 THEN 'La/b' || k || '/C;' WHEN 3 THEN 'Ljava/lang/Override;' ELSE '' END AS type FROM {P}")
+def j_ann_resolve(spark, sf):
+    d = decoded(spark, sf, lambda r: f"@{('Service', 'GET', 'a.b' + str(r['k']) + '.C', 'Override', 'Unheard')[r['k'] % 5]} class A {{}}".encode())
+    return d.select("k", F.coalesce(F.try_element_at("class_annotations", F.lit(1))["type"], F.lit("")).alias("type"))
+
+
 # descriptors ---------------------------------------------------------------------------------
 
 
@@ -380,6 +392,21 @@ def x_bootinf(spark, sf):
     return heads(spark, sf).select("k", configs.is_boot(configs.manifest_main(F.col("text"))).alias("boot"))
 
 
+@query("SELECT k, 'org.springframework.boot.autoconfigure.EnableAutoConfiguration' AS key, 'com.' || brand || '.A,com.B' || k AS vals, true AS auto FROM {P} WHERE k % 2 = 0 UNION ALL SELECT k, 'my.Key', 'com.' || brand || '.A,com.B' || k, false FROM {P} WHERE k % 2 = 1")
+def x_spring_factories(spark, sf):
+    key = "CASE WHEN k % 2 = 0 THEN 'org.springframework.boot.autoconfigure.EnableAutoConfiguration' ELSE 'my.Key' END"
+    d = strings(spark, sf, t=f"concat_ws('\n', '# c=d', concat({key}, ' = com.', brand, '.A, ,com.B', k, char(92)), 'no sign')")
+    f = d.select("k", configs.spring_factories(F.col("t")).alias("f"))
+    return f.select("k", F.explode("f").alias("p"), configs.has_auto_config(F.col("f")).alias("auto")).select("k", "p.key", F.array_join("p.values", ",").alias("vals"), "auto")
+
+
+@query("SELECT k, 'b' || k AS id, 'com.acme.' || brand AS class FROM {P} WHERE k % 3 <> 0")
+def x_spring_beans(spark, sf):
+    d = strings(spark, sf, x="CASE WHEN k % 3 = 0 THEN '<other/>' ELSE concat('<beans><bean id=\"b', k, '\" class=\"com.acme.', brand, '\"><property name=\"p\" value=\"v\"/></bean></beans>') END")
+    b = d.select("k", F.explode(configs.spring_beans(F.col("x"))["bean"]).alias("b"))
+    return b.select("k", F.col("b._id").alias("id"), F.col("b._class").alias("class"))
+
+
 # extraction ----------------------------------------------------------------------------------
 
 

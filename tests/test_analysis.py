@@ -96,3 +96,12 @@ def test_stream_equals_batch(spark, tmp_path):
         q.awaitTermination()
     streamed = analysis.analyse(*watch.so_far(spark, str(tmp_path / "t"))).routes.count()
     assert streamed == analysis.analyse(*analysis.scan(spark, [str(drop / "app1.war"), str(drop / "app2.war")])).routes.count() > 0
+
+
+def test_long_xml_is_cut_at_its_limit():
+    import io
+
+    data = synth.zipped({"a.xml": b"<" + b"a" * (archives.XML_LIMIT + 5), "b.txt": b"x"})
+    rows = list(archives.Walk(0, archives.EVERY, DEFAULT).archive(io.BytesIO(data), "x.jar", 0))
+    assert [(r["kind"], len(r["data"])) for r in rows] == [("xml", archives.XML_LIMIT)]
+    assert list(archives.Walk(0, frozenset({"jar"}), DEFAULT).archive(io.BytesIO(data), "x.jar", 0)) == []
