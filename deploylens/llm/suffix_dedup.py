@@ -12,8 +12,8 @@ taken in descending order, and the previous smaller suffix of each member moves
 second emits the order: each suffix, in turn, places the not yet placed suffix before it and that one's previous smaller
 ones at the front of their groups. Nothing is renamed or sorted recursively.
 
-An anchor with very many different regions is dealt over blocks of bounded size; each block is sorted by
-itself, and its windows meet those of other blocks as fingerprints, counted before they are shuffled.
+The regions of an anchor with very many different ones are cut first, in a sort over all tasks. What is still too much is dealt over
+blocks of bounded size; each block is sorted by itself, and its windows meet those of other blocks as fingerprints.
 
 Matches never cross texts. Null texts count as empty. Repeated rows count as places of their own, so a row of 400
 bytes or more that appears twice is removed whole. Rows with a null doc_id take part. Other columns are
@@ -236,13 +236,13 @@ def repeated(group: list[tuple[bytes, int, int]], width: int = WIDTH) -> list[li
 
 # Spark ---------------------------------------------------------------------------------------
 
-PLACE = "id long, digest string"
+PLACE = "id long, digest long"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """id, digest and text: rows that agree in the first two are one text to everything below."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), text).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), text).withColumn("digest", F.xxhash64("text"))
 
 
 def occurrences(rows: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -256,7 +256,7 @@ def occurrences(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             anchor, where, first, last = regions(text, width)
             view, end = memoryview(text), last + width - 1
             cols[0].append(np.full(len(first), i))
-            cols[1] += [digest] * len(first)
+            cols[1].append(np.full(len(first), digest))
             cols[2].append(anchor)
             cols[3].append(np.fromiter([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)], np.uint64, len(first)).view(np.int64))
             cols[4].append(first)
@@ -264,35 +264,96 @@ def occurrences(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             cols[6].append(where - first)
         if not cols[0]:
             return None
-        flat = [np.concatenate(c) if k != 1 else c for k, c in enumerate(cols)]
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        flat = [np.concatenate(c) for c in cols]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(flat, kinds, strict=True)], ["id", "digest", "anchor", "region", "first", "length", "at"])
 
     return common.map_batches(rows.select("id", "digest", "text"), fn, f"{PLACE}, anchor long, region long, first int, length int, at int")
 
 
+FETCHED = "anchor long, region long, count long, different long, left binary, right binary"
+
+
 def fetch(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """The bytes of the regions in ``wanted``, from the text that each names."""
-    asked = wanted.groupBy("id", "digest").agg(F.collect_list(F.struct("anchor", "region", "count", "blocks", "first", "length", "at")).alias("asked"))
+    """The bytes of the regions in ``wanted``, from the text that each names: what is left of the anchor, backwards, and the rest."""
+    asked = wanted.groupBy("id", "digest").agg(F.collect_list(F.struct("anchor", "region", "count", "different", "first", "length", "at")).alias("asked"))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text, asked_for in zip(common.raw(batch), batch.column("asked").to_pylist(), strict=True):
-            out += [(a["anchor"], a["region"], a["count"], a["blocks"], a["at"], text[a["first"] : a["first"] + a["length"]]) for a in asked_for]
+            for a in asked_for:
+                data = text[a["first"] : a["first"] + a["length"]]
+                out.append((a["anchor"], a["region"], a["count"], a["different"], data[: a["at"]][::-1], data[a["at"] :]))
         cols = list(zip(*out, strict=True))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["anchor", "region", "count", "blocks", "at", "data"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["anchor", "region", "count", "different", "left", "right"])
+
+    return common.map_batches(rows.join(asked, ["id", "digest"]).select("text", "asked"), fn, FETCHED)
+
+
+def agreements(crowded: DataFrame, side: str) -> DataFrame:
+    """(anchor, region, side): how many bytes of that side a region shares with the one of its anchor it shares most with.
+
+    The regions of an anchor are sorted over all tasks, and each compared with its two neighbours. The first and the
+    last of a task, whose neighbour is elsewhere, count as agreeing wholly, which keeps more than need be and loses nothing."""
+    n = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = crowded.select("anchor", "region", side).repartitionByRange(n, "anchor", side).sortWithinPartitions("anchor", side)
+
+    def shared(a: bytes, b: bytes) -> int:
+        m = min(len(a), len(b))
+        return m - ((int.from_bytes(a[:m], "big") ^ int.from_bytes(b[:m], "big")).bit_length() + 7) // 8
 
-    found = rows.join(asked, ["id", "digest"]).select("text", "asked")
-    return common.map_batches(found, fn, "anchor long, region long, count long, blocks int, at int, data binary")
+    def made(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["anchor", "region", side])
+
+    def each(batches):
+        last, most, out = None, 0, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "region", side)), strict=True):
+                if last is None:
+                    most = len(row[2])
+                else:
+                    same = shared(last[2], row[2]) if last[0] == row[0] else 0
+                    out.append((last[0], last[1], max(most, same)))
+                    most = same
+                last = row
+            if len(out) > 5000:
+                yield made(out)
+                out = []
+        if last is not None:
+            yield made([*out, (last[0], last[1], len(last[2]))])
+
+    return dealt.mapInArrow(each, f"anchor long, region long, {side} int")
+
+
+def crowds(crowded: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(anchor, region, runs) for anchors with very many different regions. Each region is cut to what it shares with any other;
+    most then are the same, and the different ones are sorted in blocks. Windows that stand alone in their block meet those of the others as fingerprints."""
+    cut = crowded.join(agreements(crowded, "left").withColumnRenamed("left", "l"), ["anchor", "region"]).join(agreements(crowded, "right").withColumnRenamed("right", "r"), ["anchor", "region"])
+    cut = cut.filter(F.col("l") + F.col("r") >= width)
+    left, right = F.substring("left", F.lit(1), F.col("l")), F.substring("right", F.lit(1), F.col("r"))
+    own = F.xxhash64(left, F.lit("/"), right).alias("own")
+    shift = (F.length("left") - F.col("l")).cast("int").alias("shift")
+    cut = common.written(cut.select("anchor", "region", "count", own, shift, left.alias("left"), right.alias("right")), "crowds")
+    texts = cut.groupBy("anchor", F.col("own").alias("region")).agg(F.sum("count").alias("count"), F.first("left").alias("left"), F.first("right").alias("right"))
+    per = cut.select("anchor", "own").distinct().groupBy("anchor").agg(F.count("*").alias("different"))
+    settled = common.written(sorted_groups(texts.join(per, "anchor"), width), "crowds-settled")
+    direct = settled.filter("runs IS NOT NULL").select("anchor", F.col("region").alias("own"), "runs")
+    again = settled.filter("print IS NOT NULL").groupBy("print").agg(F.sum("count").alias("total")).filter("total > 1").select("print")
+    late = settled.filter("print IS NOT NULL AND region IS NOT NULL").join(again, "print")
+    late = late.select("anchor", F.col("region").alias("own"), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + 1).alias("b"))).alias("runs"))
+    every = common.written(direct.unionByName(late).groupBy("anchor", "own").agg(F.flatten(F.collect_list("runs")).alias("runs")), "crowds-repeated")
+    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("shift")).alias("a"), (r["b"] + F.col("shift")).alias("b")))
+    return cut.select("anchor", "region", "own", "shift").join(every, ["anchor", "own"]).select("anchor", "region", moved.alias("runs"))
 
 
 def sorted_groups(fetched: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per region with a repeated window: anchor, region, runs. Of anchors in several blocks also rows of
     (print, count) for each different window; those that stand alone in their block name the region and the start."""
-    block = F.pmod("region", "blocks").cast("int").alias("block")
+    blocks_of = F.ceil(F.col("different") / BLOCK_REGIONS).cast("int")
+    block = F.pmod("region", blocks_of).cast("int").alias("block")
     n = int(fetched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = fetched.select("*", block).repartition(n, "anchor", "block").sortWithinPartitions("anchor", "block", "region")
+    dealt = fetched.select("*", blocks_of.alias("blocks"), block).repartition(n, "anchor", "block").sortWithinPartitions("anchor", "block", "region")
     names = ["anchor", "region", "runs", "print", "count", "start"]
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
@@ -322,7 +383,7 @@ def sorted_groups(fetched: DataFrame, width: int = WIDTH) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(lists, kind), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int32())], names)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "block", "region", "data", "at", "count", "blocks")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "block", "region", "left", "right", "count", "blocks")), strict=True):
                 if row[:2] != at:
                     if held:
                         out += settle(held, at[0], blocks)
@@ -330,7 +391,7 @@ def sorted_groups(fetched: DataFrame, width: int = WIDTH) -> DataFrame:
                     if len(out) > 5000:
                         yield made()
                         out = []
-                held[row[2]] = row[3], row[4], row[5]
+                held[row[2]] = row[3][::-1] + row[4], len(row[3]), row[5]
         if held:
             out += settle(held, at[0], blocks)
         if out:
@@ -345,18 +406,15 @@ def removed(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     found = common.written(occurrences(rows, width), "regions")
     sole = F.min(F.struct("id", "digest", "first", "length", "at")).alias("one")
     distinct = found.groupBy("anchor", "region").agg(F.count("*").alias("count"), sole)
-    # an anchor at one place only can't be repeated: it is left out before regions meet
     distinct = common.written(distinct.select("anchor", "region", "count", "one.*"), "distinct")
     many = distinct.groupBy("anchor").agg(F.count("*").alias("different")).filter("different > 1")
     alone = distinct.filter("count > 1").select("anchor", "region", F.array(F.struct(F.lit(0).alias("a"), (F.col("length") - width + 1).cast("int").alias("b"))).alias("runs"))
-    blocks = F.ceil(F.col("different") / BLOCK_REGIONS).cast("int").alias("blocks")
-    wanted = distinct.join(many.select("anchor", blocks), "anchor")
-    settled = common.written(sorted_groups(fetch(wanted, rows), width), "settled")
-    direct = settled.filter("runs IS NOT NULL").select("anchor", "region", "runs")
-    again = settled.filter("print IS NOT NULL").groupBy("print").agg(F.sum("count").alias("total")).filter("total > 1").select("print")
-    late = settled.filter("print IS NOT NULL AND region IS NOT NULL").join(again, "print")
-    late = late.select("anchor", "region", F.array(F.struct(F.col("start").alias("a"), (F.col("start") + 1).alias("b"))).alias("runs"))
-    every = alone.unionByName(direct).unionByName(late).groupBy("anchor", "region").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    few = F.col("different") <= BLOCK_REGIONS
+    fetched = fetch(distinct.join(many, "anchor"), rows)
+    fetched = common.written(fetched, "fetched")
+    direct = sorted_groups(fetched.filter(few), width).select("anchor", "region", "runs")
+    every = alone.unionByName(direct).unionByName(crowds(fetched.filter(~few), width))
+    every = every.groupBy("anchor", "region").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     every = common.written(every, "repeated")
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
     marks = found.select("id", "digest", "anchor", "region", "first").join(every, ["anchor", "region"]).select("id", "digest", moved.alias("runs"))
@@ -396,7 +454,7 @@ def strip_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     follows the text. No row is dropped."""
     _, marks = removed(docs, width)
     key, digest, runs_of = (common.free_name(docs, f"_{n}") for n in ("id", "digest", "runs"))
-    own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(digest, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(digest, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = own.join(marks.select(F.col("id").alias(key), F.col("digest").alias(digest), F.col("runs").alias(runs_of)), [key, digest], "left")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -104,6 +104,13 @@ def test_repeats_equal_brute_force(spark, odd, docs, none):
     assert suffix_dedup.digest_documents(none).count() == 0
 
 
+def test_crowded_anchors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_REGIONS", 3)  # nearly every anchor is crowded and dealt over blocks
+    rows = repeats(spark).select("doc_id", "text").collect()
+    wanted = Counter((r["doc_id"], *b) for r, b in zip(rows, brute([(r["text"] or "").encode() for r in rows]), strict=True))
+    assert Counter(map(tuple, suffix_dedup.digest_documents(repeats(spark)).collect())) == wanted
+
+
 def test_stripping_keeps_rows_and_columns(odd, spark):
     made = suffix_dedup.strip_repeats(odd)
     assert made.columns == odd.columns and made.count() == odd.count()
