@@ -104,7 +104,7 @@ def votes(text: Column, x: Column) -> Column:
     context = F.lit(False)
     for kind, words in CONTEXT.items():
         context = F.when(x["kind"] == kind, before.rlike(words)).otherwise(context)
-    shape = F.when(x["kind"] == "email", F.when(F.contains(x["m"], F.lit("@")), YES).otherwise(ABSTAIN)).when(x["kind"] == "card", F.when(F.length(d).between(13, 19), YES).otherwise(NO)).when(x["kind"] == "phone", F.when(F.length(d).between(9, 15), YES).otherwise(NO)).otherwise(YES)
+    shape = F.when(x["kind"] == "email", F.when(F.contains(x["m"], F.lit("@")), YES).otherwise(ABSTAIN)).when(x["kind"] == "card", F.when(F.length(d).between(13, 19), YES).otherwise(NO)).when(x["kind"] == "phone", F.when(F.length(d).between(9, 15), YES).otherwise(NO)).otherwise(ABSTAIN)
     check = F.when(x["kind"].isin("ip", "card"), F.when(valid(x), YES).otherwise(NO)).when(x["kind"] == "id", F.when(d.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$"), YES).otherwise(NO)).otherwise(ABSTAIN)
     gazetteer = F.when(x["kind"] == "email", F.when(F.lower(x["m"]).rlike(rf"(?:{LAST_LABELS})$"), YES).otherwise(NO)).when(x["kind"] == "ip", F.when(x["m"].rlike(r"^0|\.0[0-9]"), NO).otherwise(ABSTAIN)).when(x["kind"] == "card", F.when(d.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"), YES).otherwise(ABSTAIN)).otherwise(ABSTAIN)
     said = [shape, check, gazetteer, F.when(context, YES).otherwise(ABSTAIN), F.when(before.rlike(rf"(?:{AGAINST})[^a-z]{{0,6}}$"), NO).otherwise(ABSTAIN)]
