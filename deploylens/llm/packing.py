@@ -33,7 +33,7 @@ CAPACITY = 2048
 #: Distance between the second lengths of the enumerated three-document patterns.
 PATTERN_STEP = 64
 #: Rows of one length that one task ranks at most, about.
-RANKED_ROWS = 50_000
+RANKED_ROWS = 3000
 MEMO_PARTS = 400_000
 
 # tokens --------------------------------------------------------------------------------------
@@ -219,7 +219,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         histogram[n] = k
     by_length = slots(plan(histogram)) if counted else {}
     parts = max(1, math.ceil(max(counted.values(), default=0) / RANKED_ROWS))
-    salted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
+    crowded = [n for n, k in counted.items() if k > RANKED_ROWS]  # the other lengths stay whole
+    part = F.when(F.col("length").isin(crowded), F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))).otherwise(0)
+    salted = pieces.withColumn("part", part.cast("int"))
     before = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = before.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece"))
