@@ -1,9 +1,10 @@
 """Quality rules combined by weak supervision.
 
-Each rule looks at one statistic of a text and votes good, bad, or abstains. Expectation-maximisation over
-the counts of vote patterns (a bounded table, whatever the corpus) estimates how accurate each rule is on good and on bad texts
-and how common good ones are; a text is kept if its posterior probability of being good is at
-least one half, unless the base rule fails it. No single rule decides.
+Each rule looks at one statistic of a text and votes good, bad, or abstains. Most know one kind of bad text only, and can't tell that
+a text is good because it is not of that kind; those vote bad or abstain. Expectation-maximisation over
+the counts of vote patterns (a bounded table, whatever the corpus) estimates how often each rule votes on good and on bad texts
+and how common good ones are; abstentions say nothing. A text is kept if its posterior probability of being good is at
+least one half, unless the base rule fails it.
 
 Null texts have no words and fail the base rule. Counts are over whole texts. Repeated rows get a
 row each; other columns are ignored; an empty table gives an empty result.
@@ -23,26 +24,28 @@ from . import common
 
 GOOD, BAD, ABSTAIN = 1, 2, 0
 ROUNDS = 100
-#: A rule's accuracy stays between these, so that none is ever trusted wholly or read backwards.
-LEAST_ACCURACY, MOST_ACCURACY = 0.6, 0.995
+#: Bounds on how often a rule may err (a bad vote on a good text, and so on) and hit, so that none is trusted wholly or read backwards.
+ERRS, HITS = (0.002, 0.08), (0.1, 0.98)
 
 _word = regex.compile(r"[^\x20\x09-\x0D]").search
 _words = regex.compile(r"[^\x20\x09-\x0D]+").findall
 _symbols = regex.compile(r"[#*$%&|<>]").findall
 _letters = regex.compile(r"\p{L}").findall
 _upper = regex.compile(r"\p{Lu}").findall
+_ends = regex.compile(r"[.!?…。](?=[\x20\x09-\x0D]|\Z)").findall
 _shout = regex.compile(r"[!?]{2,}").findall
 
-#: name, statistic, votes bad above, votes good at or below. Between the bounds a rule abstains.
+#: name, votes bad above this, votes good at or below this (if it does). Between the bounds a rule abstains.
 RULES = (
-    ("symbols", "symbol_rate", 0.10, 0.02),
-    ("repeats", "repeat_rate", 0.30, 0.10),
-    ("lines", "dup_line_rate", 0.30, 0.05),
-    ("capitals", "upper_rate", 0.40, 0.15),
-    ("shouting", "shout_rate", 0.20, 0.02),
-    ("letters", "odd_rate", 0.30, 0.20),
-    ("commonest", "top_rate", 0.25, 0.12),
-    ("length", "length_off", 3.0, 1.5),
+    ("symbols", 0.10, None),
+    ("repeats", 0.30, None),
+    ("repeated lines", 0.60, None),
+    ("capitals", 0.40, None),
+    ("shouting", 0.20, None),
+    ("few letters", 0.30, None),
+    ("one word", 0.25, None),
+    ("word length", 3.0, None),
+    ("sentences", 1.5, 0.5),
 )
 
 
@@ -75,13 +78,14 @@ def statistics(text: str) -> tuple:
     rates = (
         symbols / max(1, n), repeat / max(1, n), dup / max(1, full), len(_upper(text)) / max(1, letters),
         len(_shout(text)) / max(1, n), 1 - letters / max(1, chars), top / max(1, n) if n >= 20 else 0.0, abs(chars / max(1, n) - 5.5) / 2,
+        0.0 if 3 * len(_ends(text)) <= n <= 60 * len(_ends(text)) else 1.0,
     )
     return n, chars, symbols, dup, repeat, rates
 
 
 def vote(rates: tuple) -> int:
     """The rules' votes as a number in base 3."""
-    return sum(3**k * (BAD if r > bad else GOOD if r <= good else ABSTAIN) for k, (r, (_, _, bad, good)) in enumerate(zip(rates, RULES, strict=True)))
+    return sum(3**k * (BAD if r > bad else GOOD if good is not None and r <= good else ABSTAIN) for k, (r, (_, bad, good)) in enumerate(zip(rates, RULES, strict=True)))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -98,17 +102,16 @@ def measured(docs: DataFrame) -> DataFrame:
 @dataclass
 class VoteModel:
     prior: float
-    #: By rule: chance of the right vote on a good text, and on a bad one.
+    #: By vote (good, bad) and rule: how often it is cast on good texts, and on bad ones.
     on_good: np.ndarray
     on_bad: np.ndarray
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Probability that texts with these votes are good; abstentions say nothing."""
-        good, bad = np.log(self.on_good), np.log(self.on_bad)
-        up, down = (patterns == GOOD).astype(float), (patterns == BAD).astype(float)
-        a = np.log(self.prior) + up @ good + down @ np.log1p(-self.on_good)
-        b = np.log1p(-self.prior) + down @ bad + up @ np.log1p(-self.on_bad)
-        return 1 / (1 + np.exp(np.clip(b - a, -500, 500)))
+        cast = np.stack([patterns == GOOD, patterns == BAD], 1).astype(float)
+        weight = np.log(self.on_good) - np.log(self.on_bad)
+        odds = np.log(self.prior) - np.log1p(-self.prior) + (cast * weight).sum((1, 2))
+        return 1 / (1 + np.exp(np.clip(-odds, -500, 500)))
 
 
 def unpack(votes: np.ndarray) -> np.ndarray:
@@ -118,17 +121,17 @@ def unpack(votes: np.ndarray) -> np.ndarray:
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> VoteModel:
     """Expectation-maximisation over vote patterns and how many texts have each."""
     k = patterns.shape[1]
-    model = VoteModel(0.85, np.full(k, 0.9), np.full(k, 0.7))
+    cast = np.stack([patterns == GOOD, patterns == BAD], 1).astype(float)
+    bounds_good, bounds_bad = (np.array([HITS, ERRS]), np.array([(0.05, 0.9), HITS]))  # by vote
+    model = VoteModel(0.9, np.stack([np.full(k, 0.9), np.full(k, 0.02)]), np.stack([np.full(k, 0.6), np.full(k, 0.3)]))
     for _ in range(rounds):
         good = counts * model.posterior(patterns)
         bad = counts - good
-        said = patterns != ABSTAIN
-        right_good = (good @ (patterns == GOOD) + 9) / (good @ said + 10)
-        right_bad = (bad @ (patterns == BAD) + 7) / (bad @ said + 10)
+        rates = [(np.tensordot(w, cast, 1) + 0.1) / (w.sum() + 1) for w in (good, bad)]
         model = VoteModel(
-            float(np.clip(good.sum() / max(1.0, counts.sum()), 0.5, 0.99)),
-            np.clip(right_good, LEAST_ACCURACY, MOST_ACCURACY),
-            np.clip(right_bad, 0.05, MOST_ACCURACY),
+            float(np.clip(good.sum() / max(1.0, counts.sum()), 0.7, 0.95)),
+            np.clip(rates[0], bounds_good[:, :1], bounds_good[:, 1:]),
+            np.clip(rates[1], bounds_bad[:, :1], bounds_bad[:, 1:]),
         )
     return model
 
