@@ -5,6 +5,7 @@ part's brand in lower case without its sign."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,12 +140,17 @@ def entries(spark: SparkSession, sf: str, semantics=DEFAULT, kinds=archives.EVER
     return archives.entries(wars(spark, sf), kinds, semantics)
 
 
+def held(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries that several relations are made of, unpacked and parsed once."""
+    return entries(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def inputs(spark: SparkSession, sf: str) -> DataFrame:
     return parts(spark, sf).select(F.col("k").cast("int").alias("input_id"), F.concat(F.lit("app"), "k", F.lit(".war")).alias("archive_name"))
 
 
-def context(spark: SparkSession, sf: str, semantics=DEFAULT) -> R.Context:
-    return analysis.context(entries(spark, sf, semantics), inputs(spark, sf), semantics)
+def context(spark: SparkSession, sf: str) -> R.Context:
+    return analysis.context(held(spark, sf), inputs(spark, sf))
 
 
 def literal_sql() -> str:
@@ -569,7 +575,7 @@ _BOOT = "k % 3 = 0 AND k % 2 = 0"
 
 @query("SELECT CAST(k AS INTEGER) AS input_id, name, CAST(confidence AS INTEGER) AS confidence FROM (SELECT k, 'Spring Boot' AS name, 95 AS confidence FROM {P} WHERE " + _BOOT + " UNION ALL SELECT k, 'Spring MVC', 90 FROM {P} UNION ALL SELECT k, 'Struts2', 90 FROM {P} WHERE k % 4 = 0 UNION ALL SELECT k, 'WebWork', 85 FROM {P} WHERE k % 11 = 0 UNION ALL SELECT k, 'JAX-RS', 85 FROM {P} UNION ALL SELECT k, 'Servlet', 80 FROM {P})")
 def d_frameworks(spark, sf):
-    found = entries(spark, sf)
+    found = held(spark, sf)
     ctx = analysis.context(found, inputs(spark, sf))
     return detect.frameworks(ctx, archives.jar_names(found)).select("input_id", "name", "confidence")
 
@@ -697,5 +703,5 @@ def k_components_view(spark, sf):
 
 @query("SELECT framework, count(*) AS n FROM (SELECT 'Spring MVC' AS framework FROM {P} CROSS JOIN range(3) UNION ALL SELECT 'Spring Boot' FROM {P} CROSS JOIN range(3) WHERE " + _BOOT + " UNION ALL SELECT 'JAX-RS' FROM {P} CROSS JOIN range(2) UNION ALL SELECT 'Struts2' FROM {P} CROSS JOIN range(2) WHERE k % 4 = 0 UNION ALL SELECT 'Struts2' FROM {P} WHERE k % 5 = 0 UNION ALL SELECT 'WebWork' FROM {P} CROSS JOIN range(2) WHERE k % 11 = 0 UNION ALL SELECT 'Servlet' FROM {P} CROSS JOIN range(3) UNION ALL SELECT DISTINCT 'Servlet' FROM {P} UNION ALL SELECT DISTINCT 'Servlet' FROM {P} UNION ALL SELECT DISTINCT 'Servlet' FROM {P} WHERE k % 5 = 0) GROUP BY framework")
 def e2e_full(spark, sf):
-    made = analysis.analyse(entries(spark, sf), inputs(spark, sf))
+    made = analysis.analyse(held(spark, sf), inputs(spark, sf))
     return made.routes.groupBy("framework").agg(F.count("*").alias("n"))
