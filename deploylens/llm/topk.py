@@ -1,7 +1,7 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors are quantised to integers, so scores and bounds are exact. Each row keeps a table of its
-squared distances to fixed pivots; by the triangle inequality the distance of a query to a row is at least the
+Vectors are quantised to integers, so scores are exact. A few rows, chosen by a hash, are the pivots; each row has its
+distances to all of them; by the triangle inequality the distance of a query to a row is at least the
 largest difference of their distances to a pivot, and with the two lengths that bounds the score from
 above. Rows of a block are evaluated in the order of that bound until it falls below the k-th score
 found so far, which ends the block with nothing missed.
@@ -27,11 +27,12 @@ from . import common
 SCALE = 64
 QUERY_STEP = 20
 K = 20
+#: Rows that serve as pivots.
 PIVOTS = 32
 #: Vectors of a block of rows, and of a block of queries.
-ROW_BLOCK, QUERY_BLOCK = 4096, 256
-#: Candidates evaluated between two looks at the bound.
-CHUNK = 256
+ROW_BLOCK, QUERY_BLOCK = 2048, 256
+#: Candidates evaluated before the first look at the bound; each further look comes after twice as many.
+CHUNK = 512
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -42,17 +43,20 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & e.isNotNull() & whole).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
 
-def pivots(dim: int, count: int) -> np.ndarray:
-    """Fixed pivots for vectors of ``dim`` components: signs drawn once from a seed, spread over the sphere."""
-    return np.random.default_rng(7).choice([-1.0, 1.0], (count, dim)) * SCALE / np.sqrt(max(dim, 1))
+def pivots(rows: DataFrame, count: int = PIVOTS) -> dict[int, np.ndarray]:
+    """By dimension: ``count`` rows in all, those with the smallest hashes."""
+    found: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(count).collect():
+        found.setdefault(len(r["x"]), []).append(r["x"])
+    return {dim: np.array(x, float).reshape(len(x), dim) for dim, x in found.items()}
 
 
-def distances(x: np.ndarray, count: int = PIVOTS) -> np.ndarray:
-    p = pivots(x.shape[1], count)
-    return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None, :]))
+def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots, a row a pivot."""
+    return np.sqrt(np.maximum(0, (p * p).sum(1)[:, None] - 2 * p @ x.T + (x * x).sum(1)[None, :])).astype(np.float32)
 
 
-def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, pivot: np.ndarray, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query, (vec_id, score) of the k best rows of this block, best first, ties to the smaller id; rows that score
     below ``least``, what the query's k-th row elsewhere scores, may be left out.
 
@@ -62,24 +66,35 @@ def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row
     exact = float(big) ** 2 * max(rows.shape[1], 1) < 2**52
     q, r = (queries.astype(float), rows.astype(float)) if exact else (queries.astype(object), rows.astype(object))
     qf, rf = queries.astype(float), rows.astype(float)
-    qd, rd = distances(qf), np.ascontiguousarray(distances(rf).T)
+    qd, rd = distances(qf, pivot).T, distances(rf, pivot)
     qn, rn = (qf * qf).sum(1), (rf * rf).sum(1)
-    slack = 1e-9 * rn + 1e-6  # rounding never eliminates
+    slack = 1e-6 * (qd.max(initial=0) + rd.max(initial=0)) + 1e-6  # rounding never eliminates
+    apart, far = np.empty_like(rd), np.zeros(len(r), np.float32)
     out = []
     for i in range(len(q)):
-        far = np.maximum(np.abs(rd - qd[i][:, None]).max(0) - 1e-6, 0)
-        bound = (qn[i] + rn - far * far) / 2 + slack + 1e-9 * qn[i]
+        if len(pivot):
+            np.subtract(rd, qd[i][:, None], out=apart)
+            np.abs(apart, out=apart)
+            far = apart.max(0)
+        least_far = np.maximum(far.astype(float) - slack, 0)
+        bound = (qn[i] + rn - least_far * least_far) / 2 + 1e-9 * (rn + qn[i]) + 1e-6
         bound[row_ids == query_ids[i]] = -np.inf
         kth = -np.inf if least is None else least[i]
         best_s, best_id = np.zeros(0, q.dtype), np.zeros(0, np.int64)
         left = np.flatnonzero(bound >= kth) if np.isfinite(kth) else np.flatnonzero(bound > -np.inf)
+        size = CHUNK
         while len(left):
-            if len(left) > CHUNK:
-                split = np.argpartition(-bound[left], CHUNK - 1)
-                own, left = left[split[:CHUNK]], left[split[CHUNK:]]
+            if len(left) > size:
+                split = np.argpartition(-bound[left], size - 1)
+                own, left = left[split[:size]], left[split[size:]]
             else:
                 own, left = left, left[:0]
-            s, ids = np.concatenate([best_s, r[own] @ q[i]]), np.concatenate([best_id, row_ids[own]])
+            size *= 2
+            made = (r @ q[i])[own] if 2 * len(own) > len(r) else r[own] @ q[i]
+            if len(made) > 4 * k:  # the rest can't be among the k, ties included
+                near = np.flatnonzero(made >= np.partition(made, len(made) - k)[len(made) - k])
+                own, made = own[near], made[near]
+            s, ids = np.concatenate([best_s, made]), np.concatenate([best_id, row_ids[own]])
             top = np.lexsort((ids, -s))[:k]
             best_s, best_id = s[top], ids[top]
             if len(best_s) == k:
@@ -119,6 +134,7 @@ def exact_topk(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     count = queries.count()
     groups = max(1, -(-count // QUERY_BLOCK))
     asked = queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+    pivot = pivots(rows)
     held = common.written(blocks(rows, ROW_BLOCK), "vectors")
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lanes = max(1, -(-tasks // groups))
@@ -160,7 +176,7 @@ def exact_topk(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
                 qi, q = asked_by[dim]
                 ids = np.frombuffer(cols["ids"][n].as_py(), "<i8")
                 least = np.array([best[i][1][-1] if i in best and len(best[i][1]) == k else -np.inf for i in qi.tolist()])
-                found = block_topk(q, qi, np.frombuffer(cols["data"][n].as_py(), "<i8").reshape(len(ids), dim), ids, k, least)
+                found = block_topk(q, qi, np.frombuffer(cols["data"][n].as_py(), "<i8").reshape(len(ids), dim), ids, k, pivot.get(dim, np.zeros((0, dim))), least)
                 for one, (i, s) in zip(qi.tolist(), found, strict=True):
                     if one in best:
                         i, s = np.concatenate([best[one][0], i]), np.concatenate([best[one][1], s])
