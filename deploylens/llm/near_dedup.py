@@ -14,6 +14,9 @@ columns stay as they are; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,7 +29,9 @@ WORDS, SIMILARITY = 5, 0.8
 VIEWS, VIEW_BITS, RADIUS, PREFIX = 12, 32, 2, 6
 #: Bits of the check that a pair may differ in; random pairs differ in 32, pairs of similarity 0.8 in 10.
 CHECK_BITS = 19
-SORTED_VARIANTS = 1_500_000
+SORTED_VARIANTS, PAIRS_AT_ONCE = 1_500_000, 250_000
+#: Bits of a text's marks, which rule pairs out before their shingles are fetched.
+MARK_BITS = 1024
 _LANES = np.random.default_rng(11).integers(1, 2**63, 1 + VIEWS // 2, dtype=np.uint64) | np.uint64(1)
 
 
@@ -53,14 +58,20 @@ def views(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
-def met(fp: np.ndarray, left: np.ndarray, node: np.ndarray, check: np.ndarray, low: int, inner: dict[int, np.ndarray]) -> np.ndarray:
-    """Pairs of nodes of one bucket that share a variant and agree on the check. Of a variant's nodes, each
-    meets the first and its three neighbours."""
+def parity(shingle: np.ndarray) -> np.ndarray:
+    """64-bit words of ``MARK_BITS`` bits: whether an odd number of shingles falls on each."""
+    return np.packbits(np.bincount(shingle % MARK_BITS, minlength=MARK_BITS) & 1, bitorder="little").view(np.int64)
+
+
+def alike(fp: np.ndarray, left: np.ndarray, bucket: int, low: int, inner: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the different fingerprints ``fp`` of one bucket that share a variant. Of the variants that two
+    share, one counts: the smaller fingerprint with the first half of the bits changed that they differ in. So every
+    pair comes once in a view, from one bucket."""
     total = sum(len(inner[k]) * int((left >= k).sum()) for k in inner)
     shares = 1
     while total / shares > 2 * SORTED_VARIANTS:
         shares *= 2
-    mask, found = np.uint64((1 << low) - 1), [np.zeros((0, 2), np.int64)]
+    mask, first = np.uint64((1 << low) - 1), np.uint64(bucket << low)
     for share in range(shares):
         made, who = [], []
         for k, masks in inner.items():
@@ -77,16 +88,56 @@ def met(fp: np.ndarray, left: np.ndarray, node: np.ndarray, check: np.ndarray, l
         v, w = np.concatenate(made), np.concatenate(who)
         order = np.argsort(v, kind="stable")
         v, w = v[order], w[order]
-        head = np.maximum.accumulate(np.where(np.concatenate([[True], v[1:] != v[:-1]]), np.arange(len(v)), 0))
-        for lag in (1, 2, 3, 0):
-            i = np.flatnonzero(v[lag:] == v[: len(v) - lag]) if lag else np.flatnonzero(np.arange(len(v)) - head > 3)
-            a, b = (w[i], w[i + lag]) if lag else (w[head[i]], w[i])
-            near = np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS
+        i, lag = np.arange(len(v)), 0
+        while len(i):  # places whose variant goes on for ``lag`` more
+            lag += 1
+            i = i[: np.searchsorted(i, len(v) - lag)]
+            i = i[v[i] == v[i + lag]]
+            for at in range(0, len(i), PAIRS_AT_ONCE):
+                j = i[at : at + PAIRS_AT_ONCE]
+                x, y = w[j], w[j + lag]
+                apart = fp[x] ^ fp[y]
+                one = apart & (~apart + np.uint64(1))
+                rest = apart ^ one
+                two = rest & (~rest + np.uint64(1))
+                n = np.bitwise_count(apart)
+                met_at = np.minimum(fp[x], fp[y]) ^ np.where(n >= 2, one, np.uint64(0)) ^ np.where(n >= 4, two, np.uint64(0))
+                counts = met_at == (v[j] | first)
+                if counts.any():
+                    yield x[counts], y[counts]
+
+
+def met(fp: np.ndarray, left: np.ndarray, node: np.ndarray, check: np.ndarray, bucket: int, low: int, inner: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
+    """All pairs of nodes of one bucket that share a variant and agree on the check, in parts of bounded size."""
+    order = np.argsort(fp, kind="stable")
+    fp, left, node, check = fp[order], left[order], node[order], check[order]
+    start = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+    size = np.diff(np.append(start, len(fp)))
+    own = np.flatnonzero((size > 1) & (fp[start] >> np.uint64(low) == bucket))
+
+    def compared(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+        """The nodes of fingerprint x[k] with those of y[k]."""
+        upto = np.concatenate([[0], np.cumsum(size[x] * size[y])])
+        for at in range(0, int(upto[-1]), PAIRS_AT_ONCE):
+            place = np.arange(at, min(at + PAIRS_AT_ONCE, int(upto[-1])))
+            k = np.searchsorted(upto, place, "right") - 1
+            row, column = np.divmod(place - upto[k], size[y[k]])
+            a, b = start[x[k]] + row, start[y[k]] + column
+            near = (np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS) & ((x[k] != y[k]) | (a < b))
             a, b = node[a[near]], node[b[near]]
             if len(a):
-                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pairs[pairs[:, 0] != pairs[:, 1]]
+                yield np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+
+    yield from compared(own, own)
+    held, n = [], 0
+    for x, y in alike(fp[start], left[start], bucket, low, inner):
+        held.append((x, y))
+        n += len(x)
+        if n >= PAIRS_AT_ONCE:
+            yield from compared(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield from compared(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -109,8 +160,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
             if held:
                 node, check, fp, left = (np.concatenate(c) for c in zip(*held, strict=True))
                 held.clear()
-                pairs = met(fp.view(np.uint64), left, node, check.view(np.uint64), low, inner)
-                if len(pairs):
+                for pairs in met(fp.view(np.uint64), left, node, check.view(np.uint64), int(bucket) % (1 << PREFIX), low, inner):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -128,6 +178,16 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return placed.mapInArrow(each, "a long, b long").distinct()
 
 
+def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs that may have the similarity asked for. ``marks`` is (node, n, marks): how many shingles, and for each of
+    ``MARK_BITS`` whether an odd number of them falls there. Two sets differ in at least as many shingles as their
+    marks in bits, so no pair is lost."""
+    left = pairs.join(marks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma")), "a")
+    both = left.join(marks.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb")), "b")
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("ma")[k].bitwiseXOR(F.col("mb")[k])) for k in range(MARK_BITS // 64)))
+    return both.filter(apart * (1 + SIMILARITY) <= (F.col("na") + F.col("nb")) * (1 - SIMILARITY) + 1e-6).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have the similarity asked for; ``sets`` is (node, shingles)."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -154,14 +214,15 @@ def groups(docs: DataFrame) -> DataFrame:
         words = [views(h).view(np.int64) for h in made]
         small = pa.list_(pa.int64())
         fps = [np.stack([w[1:].view(np.uint64) & np.uint64(2**32 - 1), w[1:].view(np.uint64) >> np.uint64(32)], 1).ravel().astype(np.int64) for w in words]
-        sets = [np.unique(h.astype(np.uint32)).tobytes() for h in made]
+        sets = [np.unique(h.astype(np.uint32)) for h in made]
         keep = pa.array([len(h) > 0 for h in made])
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([int(w[0]) for w in words], pa.int64()), pa.array(fps, small), pa.array(sets, pa.binary())], ["node", "check", "views", "shingles"]).filter(keep)
+        cols = [batch.column("node"), pa.array([int(w[0]) for w in words], pa.int64()), pa.array(fps, small), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], small)]
+        return pa.RecordBatch.from_arrays(cols, ["node", "check", "views", "n", "marks"]).filter(keep)
 
-    made = common.map_batches(rows, fn, "node long, check long, views array<long>, shingles binary")
-    seen = common.written(made.select("node", "check", "views"), "views")
+    seen = common.written(common.map_batches(rows, fn, "node long, check long, views array<long>, n long, marks array<long>"), "views")
     nodes = seen.groupBy("node").agg(F.min("check").alias("check"), F.min("views").alias("views"))
-    pairs = common.written(candidates(nodes), "pairs")
+    marks = seen.groupBy("node").agg(F.min("n").alias("n"), F.min("marks").alias("marks"))
+    pairs = common.written(possible(candidates(nodes), marks), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
     found = rows.join(asked, "node").dropDuplicates(["node"])  # one text of each node
 

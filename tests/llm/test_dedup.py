@@ -137,3 +137,42 @@ def test_near_copies_keep_one(spark, odd, none):
     assert made.columns == odd.columns
     assert sorted(r["doc_id"] for r in made.filter("doc_id IN (4, 5, 8, 9)").collect()) == [4, 8]
     assert near_dedup.keep_one(none).count() == 0
+
+
+def test_crowded_template_loses_no_pair(spark):
+    """One source's template with many different texts, alike but below the similarity, and a few real pairs among them."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    template, rows = [word() for _ in range(170)], []
+    for k in range(1500):
+        rows.append((k, template + [word() for _ in range(30)]))
+    for k in range(40):
+        rows.append((5000 + k, rows[7 * k][1][:-20] + [word() for _ in range(20)]))
+    sets = {k: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for k, w in rows}
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert similar(0, 1) < 0.8 and all(similar(7 * k, 5000 + k) >= 0.8 for k in range(40))
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(df).collect()) == list(range(1500))
+
+
+def test_marks_never_rule_out_a_pair():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 200, 3000):
+        a = np.unique(rng.integers(0, 2**32, n, dtype=np.uint32))
+        b = np.unique(np.concatenate([a[n // 9 :], rng.integers(0, 2**32, n // 9, dtype=np.uint32)]))
+        apart = int(np.bitwise_count((near_dedup.parity(a) ^ near_dedup.parity(b)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_crowded_variants_give_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(400):  # one crowd in every view, mostly of equal prints, whose checks are far apart but for planted pairs
+        views = [int(v) ^ int(sum(1 << b for b in rng.choice(32, 0 if k % 8 else 3, replace=False))) for v in range(10**6, 10**6 + 12)]
+        check = rows[k // 4][1] ^ 7 if k % 4 == 3 else int(rng.integers(-(2**63), 2**63 - 1))
+        rows.append((k, check, views))
+    bits = lambda x: bin(x % 2**64).count("1")
+    wanted = {(a, b) for a, c, v in rows for b, d, w in rows[a + 1 :] if bits(c ^ d) <= near_dedup.CHECK_BITS and any(bits(x ^ y) <= 4 for x, y in zip(v, w, strict=True))}
+    assert len(wanted) >= 100
+    found = near_dedup.candidates(spark.createDataFrame(rows, "node long, check long, views array<long>")).collect()
+    assert {(r["a"], r["b"]) for r in found} == wanted
