@@ -4,7 +4,8 @@ A text is the normalised TF-IDF vector of its hashed byte n-grams (1 to 3 bytes,
 everything in ASCII that is no letter to one blank). Each language has a few centroids, clustered from a
 bounded sample of its labelled rows; a text takes the language of the centroid with the largest cosine. It
 is rejected where it has no letter, or where its distance to the nearest centroid is larger than any
-training text of about its length had, with a margin.
+training text of about its length had, with a margin. Lengths with few training texts take their bound from texts cut
+to that length, or from the nearest lengths (``bounds``).
 
 Training takes at most ``SAMPLE`` rows in all, dealt evenly over the languages by a hash of doc_id; prediction reads
 whole texts of all rows. Null or letterless texts get ``und`` and score 0. Without any labelled row all get
@@ -30,6 +31,8 @@ CENTROIDS = 3
 UNKNOWN = "und"
 #: A text is rejected below this share of the least cosine of training texts of its length.
 MARGIN = 0.4
+#: Training texts that a length needs to have a bound of its own; bytes that they are cut to for the bounds of short texts.
+FEW, CUTS = 20, (6, 10, 20, 40)
 #: Bytes of a text whose n-grams are counted at once.
 BLOCK = 1 << 20
 
@@ -61,7 +64,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
-    #: Least cosine by the power of two of the length, 0 where training saw too few texts of that length.
+    #: Least cosine by the power of two of the length.
     least: np.ndarray
 
     def score(self, counts: np.ndarray) -> tuple[int, float, bool]:
@@ -89,6 +92,26 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def bounds(cos: np.ndarray, length: np.ndarray, short: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Least cosine by the power of two of the length. Where training saw fewer than ``FEW`` texts of a length, what
+    all but a hundredth of the training texts cut to that length reach; for longer ones, the lesser of the two nearest lengths."""
+    least, filled = np.zeros(40), np.flatnonzero(np.bincount(length, minlength=40) >= FEW)
+    if len(filled):
+        least[:] = [min(cos[length == f].min() for f in filled[np.argsort(np.abs(filled - b), kind="stable")[:2]]) for b in range(40)]
+    cut: dict[int, list[float]] = {}
+    for at, n in short:
+        v = np.log1p(n) * idf[at]
+        cut.setdefault(int(n.sum()).bit_length(), []).append(float((centroids[:, at] @ v).max() / max(float(np.sqrt(v @ v)), 1e-12)))
+    for b, found in cut.items():
+        if len(found) >= FEW and b not in filled:
+            least[b] = np.quantile(found, 0.01)
+    if cut:  # still shorter ones have less to go by
+        least[: min(cut)] = 0.0
+    for b in filled:
+        least[b] = cos[length == b].min()
+    return least
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
     """The model from rows of doc_id, text and lang."""
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
@@ -103,11 +126,16 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
     chosen = labelled.filter(place < share).select("doc_id", "lang", "text")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [ngrams(t) for t in common.raw(batch)]
+        texts, lang = common.raw(batch), batch.column("lang").to_pylist()
+        parts = [(k, t[:n]) for n in CUTS for k, t in enumerate(texts) if len(t) > n and _letter(t[:n].decode("utf-8", "replace"))]
+        made = [ngrams(t) for t in texts] + [ngrams(t) for _, t in parts]
+        lang, cut = lang + [lang[k] for k, _ in parts], [False] * len(texts) + [True] * len(parts)
         at = [np.flatnonzero(c).astype(np.int16) for c in made]
-        return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([a.tobytes() for a in at]), pa.array([c[a].astype(np.int32).tobytes() for c, a in zip(made, at, strict=True)])], ["lang", "at", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(cut), pa.array([a.tobytes() for a in at]), pa.array([c[a].astype(np.int32).tobytes() for c, a in zip(made, at, strict=True)])], ["lang", "cut", "at", "n"])
 
-    rows = common.map_batches(chosen, fn, "lang string, at binary, n binary").collect()
+    found = common.map_batches(chosen, fn, "lang string, cut boolean, at binary, n binary").collect()
+    rows = [r for r in found if not r["cut"]]
+    short = [(np.frombuffer(r["at"], np.int16), np.frombuffer(r["n"], np.int32)) for r in found if r["cut"]]
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
@@ -123,8 +151,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
     all_c, owner = np.concatenate(made), np.repeat(np.arange(len(langs)), [len(c) for c in made])
     cos = (x @ all_c.T).max(1)
     length = np.array([int(n).bit_length() for n in sizes])
-    least = np.array([cos[length == b].min() if (length == b).sum() >= 20 else 0.0 for b in range(40)])
-    return Model(langs, idf, all_c.astype(np.float32), owner, least)
+    return Model(langs, idf, all_c.astype(np.float32), owner, bounds(cos, length, short, idf, all_c))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -56,6 +57,22 @@ def test_clean_documents_are_accepted(spark):
     assert kept.columns == docs.columns and kept.count() >= 0.995 * docs.count()
 
 
+def test_unlearnt_languages_and_noise_are_rejected_at_every_length(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang IS NOT NULL AND text IS NOT NULL")
+    model, rng = language_id.train(docs), random.Random(8)
+    out = lambda text: model.score(language_id.ngrams(text))[2]
+    russian = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью".split()
+    noise = lambda: "".join(rng.choice("qxzjkvwybcdfghmp") for _ in range(rng.randint(3, 9)))
+    for n in (20, 2000, 20_000, 60_000, 200_000):
+        assert all(out(" ".join(rng.choice(russian) for _ in range(n // 8 + 1)).encode()[:n]) for _ in range(10))
+        if n > 20:  # three made-up words may hold some n-grams of a language
+            assert all(out(" ".join(noise() for _ in range(n // 5)).encode()[:n]) for _ in range(10))
+    texts = [r["text"].encode() for r in docs.collect()]
+    for n in (6, 12, 20, 40):
+        whole = [t[:n] for t in texts if len(t) > n and re.search(rb"[A-Za-z]", t[:n])]
+        assert np.mean([out(t) for t in whole]) < 0.02
+
+
 def test_toxic_documents_score_higher(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.rate(docs, labels).join(labels, "doc_id").filter("held_out").collect()
