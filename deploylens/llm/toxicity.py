@@ -6,7 +6,8 @@ near they stand to a second person, capitals, punctuation and obfuscation rates.
 those, and the scores of rows that the trees have not seen calibrate them by isotonic regression.
 
 Training takes at most ``SAMPLE`` labelled rows (half for the lexicon, the rest for trees and calibration), chosen by
-a hash of doc_id within each label; scoring reads whole texts of all rows. Null texts count as empty. Rows
+a hash of doc_id within each label; calibration weighs each by the labels it stands for, so that scores mean the same
+at every size. Scoring reads whole texts of all rows. Null texts count as empty. Rows
 whose doc_id is null or has no label are scored, not learnt from; a doc_id with several labels counts as toxic
 if any says so. With labels of one kind only, or none, every score is that kind's (0 without any).
 Repeated rows get a row each; other columns are ignored; an empty table gives an empty result.
@@ -151,12 +152,13 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     return made
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing fit of y on score, by pooling adjacent violators."""
     order = np.argsort(score, kind="stable")
+    weight = np.ones(len(y)) if weight is None else weight
     pools: list[list[float]] = []  # sum, weight, first and last score
-    for s, v in zip(score[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([v, 1.0, s, s])
+    for s, v, w in zip(score[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        pools.append([v * w, w, s, s])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             v2, w2, _, last = pools.pop()
             pools[-1][0] += v2
@@ -215,6 +217,8 @@ def train(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> Model:
         near = F.pmod(place, F.lit(1 << 30)) < int(share * (1 << 30))
         one = known.filter((F.col("toxic") == label) & near).orderBy(place, "doc_id").limit(most).select("doc_id", F.col("toxic").cast("int").alias("toxic"), part)
         ids = one if ids is None else ids.union(one)
+    ids = common.written(ids, "toxicity-ids")
+    stands = {int(r["toxic"]): counts[int(r["toxic"])] / r["count"] for r in ids.groupBy("toxic").count().collect()}  # labels that a sampled one stands for
     found = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text"))
     chosen = common.written(found.select("doc_id", "text", "toxic", "part"), "toxicity-sample")
     sized = {(int(r["toxic"]), r["part"] < 2): 0 for r in chosen.groupBy("toxic", "part").count().collect()}
@@ -233,7 +237,8 @@ def train(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> Model:
     if not (one.any() and two.any() and 0 < y[one].mean() < 1):
         return Model(lexicon, None, None, counts[1] / (counts[0] + counts[1]))
     trees = boost(x[one], y[one])
-    return Model(lexicon, trees, isotonic(trees.raw(x[two]), y[two]))
+    trees.base += float(np.log(stands[1] / stands[0]))
+    return Model(lexicon, trees, isotonic(trees.raw(x[two]), y[two], np.where(y[two] > 0, stands[1], stands[0])))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -81,6 +81,21 @@ def test_toxic_documents_score_higher(spark):
     assert hit / sum(t for _, t in right) > 0.8 and hit / max(1, sum(p for p, _ in right)) > 0.85
 
 
+def test_toxicity_scores_mean_the_same_at_every_size(spark):
+    rng = random.Random(3)
+    words = "some plain words that a text of any kind may hold now and then".split()
+    rows = []
+    for k in range(6000):  # two in five shout; a quarter of those are toxic
+        shouts = k % 5 < 2
+        rows.append((k, " ".join(rng.choices(words, k=30)) + (" no! never! not!" if shouts else "."), int(shouts and rng.random() < 0.25)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    share = np.mean([t for _, _, t in rows])
+    for sample in (16_000, 1700):  # all labels; a third of the sample toxic
+        model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), sample)
+        found = model.scores([t for _, t, _ in rows])
+        assert abs(found.mean() - share) < 0.04 and (found >= 0.5).mean() < 0.05
+
+
 @pytest.mark.parametrize("kinds", [[], [0], [1], [0, 1]])
 def test_toxicity_with_few_labels(spark, odd, none, kinds):
     labels = spark.createDataFrame([(k, t) for t in kinds for k in range(3, 9)], "doc_id long, toxic int")
