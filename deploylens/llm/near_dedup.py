@@ -1,38 +1,52 @@
 """Near-duplicate documents: SimHash views, ball hashing, exact verification, one document of each group kept.
 
 One 64-bit fingerprint within four bits finds copies with very few edits only: at a similarity of 0.8, fingerprints differ in a
-sixth of their bits. So each distinct text has several independent 32-bit SimHash views of its five-word shingles
-and a 64-bit one to check by. Views meet by the same ball hashing as in ``simhash`` (variants within two
-bits, dealt by their first bits); pairs that meet and agree on the check are verified by the exact Jaccard
-similarity of their shingle sets. Components of the verified pairs are groups. Equal texts are one node
-throughout, so copies are never paired.
-
-Null texts count as empty, and texts without words are copies of each other only if equal. The document with the smallest
-doc_id of a group stays (null ids last, then the smaller text hash); of repeated rows, one. Other
-columns stay as they are; an empty table gives an empty result.
+sixth of their bits. So each distinct text (a node) has a print of 192 bits over its five-word shingles, which is six independent
+32-bit SimHash views. Two nodes are candidates if a view of theirs differs in four bits or fewer, which meeting in the middle finds:
+both have a variant within two bits in common. Two such views agree on one of five blocks of bits (more blocks, and more of them,
+for more nodes), so a view is sent once for each block to the bucket of its block's value, and the bucket's task writes out the
+variants of the other bits, sorts them, and keeps the candidates whose prints are near enough for a similarity of 0.8.
+
+A bucket's candidates leave it as a forest, one row a node at most. The components of all forests are blocks: whatever has to be compared
+stands in one. The shingle sets of a block meet in one task, or in several tiles if it is large, and nodes of exact Jaccard similarity
+0.8 (of sets of 64-bit hashes) are linked; each text that is linked to others is compared with the block's members until it belongs
+to the largest group, so a crowd of copies costs one comparison each. Of a large block, those that are copies of its
+central text are only compared with those that are not. Groups are the components of the links. Equal texts (128-bit hash)
+are one node throughout, so copies are never paired, and no step has rows for the pairs of a group.
+
+Null texts count as empty, and texts without words are copies of each other only if equal. Very long texts are sketched in
+pieces and compared whole. The document with the smallest doc_id of a group stays (null ids last, then the smaller text hash); of repeated
+rows, one. Other columns stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, simhash
 
 WORDS, SIMILARITY = 5, 0.8
-VIEWS, VIEW_BITS, RADIUS, PREFIX = 12, 32, 2, 6
-#: Bits of the check that a pair may differ in; random pairs differ in 32, pairs of similarity 0.8 in 10.
-CHECK_BITS = 19
-SORTED_VARIANTS, PAIRS_AT_ONCE = 1_500_000, 250_000
-#: Bits of a text's marks, which rule pairs out before their shingles are fetched.
-MARK_BITS = 1024
-_LANES = np.random.default_rng(11).integers(1, 2**63, 1 + VIEWS // 2, dtype=np.uint64) | np.uint64(1)
+#: 64-bit words of a print; each is two views.
+PRINT_WORDS, VIEW_BITS, RADIUS = 3, 32, 2
+#: Bits of a print that candidates may differ in: three deviations above what a similarity of 0.8 has, while random prints differ in 96.
+PRINT_DISTANCE = 44
+#: Nodes of a bucket that one task holds; a bucket with more is dealt over pairs of shares of it.
+BUCKET_NODES = 40_000
+#: Variants sorted at once.
+SORTED_VARIANTS = 4_000_000
+#: Nodes and shingles of a tile's side, about.
+TILE_NODES, TILE_SHINGLES = 1024, 400_000
+#: Bits of a tile's shingles that are compared at once.
+TILE_BITS = 1 << 14
+NO_ID = 2**63 - 1
+_LANES = np.random.default_rng(11).integers(1, 2**63, PRINT_WORDS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -47,202 +61,307 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter([digest(line[a:b], simhash.SEED) for a, b in zip(starts, ends[-n:].tolist(), strict=True)], np.uint64, n))
 
 
-def views(hashes: np.ndarray) -> np.ndarray:
-    """64-bit words: the check, then the views, two to a word."""
-    counts = np.zeros(64 * len(_LANES), np.int64)
-    for k in range(0, len(hashes), 2048):
-        h = hashes[k : k + 2048, None] * _LANES[None, :]
+def print_of(hashes: np.ndarray) -> np.ndarray:
+    """The print: bit b is 1 if more than half of the shingles' mixed hashes have it."""
+    counts = np.zeros(64 * PRINT_WORDS, np.int64)
+    for k in range(0, len(hashes), 4096):
+        h = hashes[k : k + 4096, None] * _LANES[None, :]
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
         counts += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
-def parity(shingle: np.ndarray) -> np.ndarray:
-    """64-bit words of ``MARK_BITS`` bits: whether an odd number of shingles falls on each."""
-    return np.packbits(np.bincount(shingle % MARK_BITS, minlength=MARK_BITS) & 1, bitorder="little").view(np.int64)
+# candidates ----------------------------------------------------------------------------------
 
 
-def alike(fp: np.ndarray, left: np.ndarray, bucket: int, low: int, inner: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of the different fingerprints ``fp`` of one bucket that share a variant. Of the variants that two
-    share, one counts: the smaller fingerprint with the first half of the bits changed that they differ in. So every
-    pair comes once in a view, from one bucket."""
-    total = sum(len(inner[k]) * int((left >= k).sum()) for k in inner)
-    shares = 1
-    while total / shares > 2 * SORTED_VARIANTS:
-        shares *= 2
-    mask, first = np.uint64((1 << low) - 1), np.uint64(bucket << low)
+def blocks_of_bits(nodes: int, limit: int = BUCKET_NODES) -> list[int]:
+    """Masks of the bits of a view that candidates must agree on in one bucket. Views within 2 * RADIUS bits agree on
+    ``agree`` of that many more blocks; there are as many as bring a bucket of evenly spread nodes below the limit."""
+    agree = 1
+    while agree < 4 and nodes / 2 ** (agree * VIEW_BITS / (agree + 2 * RADIUS)) > limit:
+        agree += 1
+    edges = np.linspace(0, VIEW_BITS, agree + 2 * RADIUS + 1).round().astype(int)
+    own = [sum(1 << b for b in range(x, y)) for x, y in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(own, agree)]
+
+
+def flips(bits: list[int], most: int) -> np.ndarray:
+    """All masks with up to ``most`` of the bits."""
+    return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(bits, k)], np.uint64)
+
+
+def gathered(prints: np.ndarray, view: int, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest (a, b) of the nodes of one bucket, by place: what shares a variant and has near prints is connected."""
+    n = len(prints)
+    fp = prints[:, view // 2] >> np.uint64(VIEW_BITS * (view % 2)) & np.uint64(2**VIEW_BITS - 1)
+    free = [b for b in range(VIEW_BITS) if not mask >> b & 1]
+    masks, label = flips(free, RADIUS), np.arange(n)
+    near = lambda a, b: np.bitwise_count(prints[a] ^ prints[b]).sum(1) <= PRINT_DISTANCE
+
+    def merge(a: np.ndarray, b: np.ndarray) -> None:
+        """Connects the pairs whose prints are near."""
+        own = label[a] != label[b]
+        a, b = a[own], b[own]
+        for at in range(0, len(a), 1 << 20):
+            x, y = a[at : at + (1 << 20)], b[at : at + (1 << 20)]
+            hit = near(x, y)
+            if hit.any():
+                top, low = simhash.forest(label[x[hit]], label[y[hit]])
+                move = np.arange(n)
+                move[low] = top
+                label[:] = move[label]
+
+    shares = 1 << max(0, math.ceil(math.log2(n * len(masks) / SORTED_VARIANTS)))
     for share in range(shares):
-        made, who = [], []
-        for k, masks in inner.items():
-            at = np.flatnonzero(left >= k)
-            step = max(1, SORTED_VARIANTS // len(masks))
-            for b in range(0, len(at), step):
-                rows = at[b : b + step]
-                v, w = ((fp[rows] & mask)[:, None] ^ masks[None, :]).ravel(), np.repeat(rows, len(masks))
-                if shares > 1:
-                    hit = (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44) & np.uint64(shares - 1) == share
-                    v, w = v[hit], w[hit]
-                made.append(v)
-                who.append(w)
-        v, w = np.concatenate(made), np.concatenate(who)
-        order = np.argsort(v, kind="stable")
-        v, w = v[order], w[order]
-        i, lag = np.arange(len(v)), 0
-        while len(i):  # places whose variant goes on for ``lag`` more
+        made = []
+        for at in range(0, n, max(1, SORTED_VARIANTS // len(masks))):
+            rows = np.arange(at, min(n, at + max(1, SORTED_VARIANTS // len(masks))), dtype=np.uint64)
+            v = (fp[rows][:, None] ^ masks[None, :]).ravel()
+            packed = v << np.uint64(32) | np.repeat(rows, len(masks))
+            if shares > 1:
+                packed = packed[(v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & np.uint64(shares - 1) == share]
+            made.append(packed)
+        packed = np.sort(np.concatenate(made))
+        v, w = packed >> np.uint64(32), (packed & np.uint64(2**32 - 1)).astype(np.int64)
+        same = v[1:] == v[:-1]
+        i = np.flatnonzero(same)
+        if not len(i):
+            continue
+        merge(w[i], w[i + 1])
+        # what is left: variants of three and more nodes that are not all connected
+        edge = np.flatnonzero(np.concatenate([[True], ~same]))
+        size = np.diff(np.append(edge, len(v)))
+        edge, size = edge[size > 2], size[size > 2]
+        lag = 2
+        while len(edge):
+            if lag & lag - 1 == 0:
+                at = np.stack([edge, edge + size], 1).ravel()
+                own = np.append(label[w], 0)
+                split = np.minimum.reduceat(own, at)[::2] != np.maximum.reduceat(own, at)[::2]
+                edge, size = edge[split], size[split]
+            if lag > 32:
+                break
+            edge, size = edge[size > lag], size[size > lag]
+            pairs = size - lag
+            i = np.repeat(edge - np.cumsum(pairs) + pairs, pairs) + np.arange(int(pairs.sum()))
+            merge(w[i], w[i + lag])
             lag += 1
-            i = i[: np.searchsorted(i, len(v) - lag)]
-            i = i[v[i] == v[i + lag]]
-            for at in range(0, len(i), PAIRS_AT_ONCE):
-                j = i[at : at + PAIRS_AT_ONCE]
-                x, y = w[j], w[j + lag]
-                apart = fp[x] ^ fp[y]
-                one = apart & (~apart + np.uint64(1))
-                rest = apart ^ one
-                two = rest & (~rest + np.uint64(1))
-                n = np.bitwise_count(apart)
-                met_at = np.minimum(fp[x], fp[y]) ^ np.where(n >= 2, one, np.uint64(0)) ^ np.where(n >= 4, two, np.uint64(0))
-                counts = met_at == (v[j] | first)
-                if counts.any():
-                    yield x[counts], y[counts]
-
-
-def met(fp: np.ndarray, left: np.ndarray, node: np.ndarray, check: np.ndarray, bucket: int, low: int, inner: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
-    """All pairs of nodes of one bucket that share a variant and agree on the check, in parts of bounded size."""
-    order = np.argsort(fp, kind="stable")
-    fp, left, node, check = fp[order], left[order], node[order], check[order]
-    start = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-    size = np.diff(np.append(start, len(fp)))
-    own = np.flatnonzero((size > 1) & (fp[start] >> np.uint64(low) == bucket))
-
-    def compared(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
-        """The nodes of fingerprint x[k] with those of y[k]."""
-        upto = np.concatenate([[0], np.cumsum(size[x] * size[y])])
-        for at in range(0, int(upto[-1]), PAIRS_AT_ONCE):
-            place = np.arange(at, min(at + PAIRS_AT_ONCE, int(upto[-1])))
-            k = np.searchsorted(upto, place, "right") - 1
-            row, column = np.divmod(place - upto[k], size[y[k]])
-            a, b = start[x[k]] + row, start[y[k]] + column
-            near = (np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS) & ((x[k] != y[k]) | (a < b))
-            a, b = node[a[near]], node[b[near]]
-            if len(a):
-                yield np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
-
-    yield from compared(own, own)
-    held, n = [], 0
-    for x, y in alike(fp[start], left[start], bucket, low, inner):
-        held.append((x, y))
-        n += len(x)
-        if n >= PAIRS_AT_ONCE:
-            yield from compared(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            held, n = [], 0
-    if held:
-        yield from compared(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes to verify."""
-    spark = nodes.sparkSession
-    low = VIEW_BITS - PREFIX
-    dealt = [(int(m), RADIUS - k) for k, masks in simhash.flips(0, PREFIX, RADIUS).items() for m in masks]
-    inner = simhash.flips(0, low, RADIUS)
-    view = F.posexplode("views").alias("view", "fp")
-    sent = F.explode(F.array(*(F.struct(F.lit(m).alias("mask"), F.lit(k).cast("byte").alias("left")) for m, k in dealt))).alias("s")
-    placed = nodes.select("node", "check", view).select("*", sent)
-    bucket = (F.col("view") * (1 << PREFIX) + F.shiftright("fp", low).bitwiseXOR(F.col("s.mask"))).cast("int")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.select(bucket.alias("bucket"), "node", "check", "fp", F.col("s.left").alias("left")).repartition(n, "bucket").sortWithinPartitions("bucket")
+        for at, many in zip(edge.tolist(), size.tolist(), strict=True):  # those outside the largest part, each against all others
+            own = w[at : at + many]
+            names, counts = np.unique(label[own], return_counts=True)
+            for x in own[label[own] != names[counts.argmax()]].tolist():
+                rest = own[label[own] != label[x]]
+                merge(np.full(len(rest), x), rest)
+    low = np.flatnonzero(label != np.arange(n))
+    return label[low], low
+
+
+def candidates(nodes: DataFrame, limit: int = BUCKET_NODES) -> DataFrame:
+    """Edges (a, b) that connect the nodes of (node, p0, p1, p2) which are candidates of each other."""
+    spark, masks = nodes.sparkSession, blocks_of_bits(nodes.count(), limit)
+    buckets = []
+    for view in range(2 * PRINT_WORDS):
+        fp = F.shiftrightunsigned(f"p{view // 2}", VIEW_BITS * (view % 2)).bitwiseAND(F.lit(2**VIEW_BITS - 1))
+        for k, mask in enumerate(masks):
+            buckets.append(fp.bitwiseAND(F.lit(mask)) + F.lit(view * len(masks) + k << VIEW_BITS))
+    names = [f"p{k}" for k in range(PRINT_WORDS)]
+    placed = nodes.select("node", *names, F.explode(F.array(*buckets)).alias("bucket"))
+    crowded = common.written(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > limit), "crowded")
+    held = crowded.count()
+    if held:  # a share of a bucket meets itself and each other share in a tile of its own
+        few = crowded.select("bucket", F.ceil(F.col("n") / limit).cast("int").alias("shares"))
+        placed = placed.join(F.broadcast(few) if held <= 100_000 else few, "bucket", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+        own = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")
+        placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        placed = placed.withColumn("tile", F.least("own", "other") * F.col("shares") + F.greatest("own", "other"))
+    else:
+        placed = placed.withColumn("tile", F.lit(0))
+    dealt = placed.select("bucket", "tile", "node", *names).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "tile").sortWithinPartitions("bucket", "tile")
 
     def each(batches):
-        held, bucket = [], None
+        for bucket, (tile, node, *words) in common.groups_of(batches, "bucket", ("tile", "node", *names)):
+            edges = [0, *(np.flatnonzero(np.diff(tile)) + 1), len(tile)]
+            for x, y in zip(edges, edges[1:], strict=False):
+                if y - x > 1:
+                    kind = int(bucket) >> VIEW_BITS
+                    own = node[x:y]
+                    a, b = gathered(np.stack([w[x:y] for w in words], 1).view(np.uint64), kind // len(masks), masks[kind % len(masks)])
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[a], own[b])), pa.array(np.maximum(own[a], own[b]))], ["a", "b"])
+
+    return dealt.mapInArrow(each, "a long, b long").distinct()
+
+
+# exact similarity ----------------------------------------------------------------------------
+
+
+def linked(sets: list[np.ndarray], asked: np.ndarray) -> list[int]:
+    """Label of each set: the components of the pairs of similarity 0.8 and more of which one is asked.
+
+    Each set asked is compared with all that are not in its group yet, largest group last, as what is left out of that needs no comparison."""
+    n = len(sets)
+    label = np.arange(n)
+    if n == 2:
+        if asked.any():
+            shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+            label[1] = 0 if shared >= SIMILARITY * (len(sets[0]) + len(sets[1]) - shared) else 1
+        return label.tolist()
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), size)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count[code] > 1
+    rank = np.cumsum(count > 1) - 1
+    owner, code, bits = owner[several], rank[code[several]], int((count > 1).sum())
+    slices = []
+    for at in range(0, bits, TILE_BITS):
+        own = (code >= at) & (code < at + TILE_BITS)
+        grid = np.zeros((n, -(-min(TILE_BITS, bits - at) // 64) * 64), bool)
+        grid[owner[own], code[own] - at] = True
+        slices.append(np.packbits(grid, axis=1).view(np.uint64))
+    for i in np.flatnonzero(asked).tolist():
+        rest = np.flatnonzero(label != label[i])
+        if not len(rest):
+            break
+        shared = sum((np.bitwise_count(s[rest] & s[i]).sum(1, dtype=np.int64) for s in slices), np.zeros(len(rest), np.int64))
+        for j in np.unique(label[rest[shared >= SIMILARITY * (size[i] + size[rest] - shared)]]).tolist():
+            label[label == max(j, label[i])] = min(j, label[i])
+    return label.tolist()
+
+
+def tiled(sets: DataFrame) -> DataFrame:
+    """Edges (a, b), a star for each group that a tile finds, of (tile, root, node, asked, shingles)."""
+    spark = sets.sparkSession
+    dealt = sets.select(F.xxhash64("root", "tile").alias("key"), "root", "tile", "node", "asked", "shingles")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "root", "tile")
 
-        def flush():
-            if held:
-                node, check, fp, left = (np.concatenate(c) for c in zip(*held, strict=True))
-                held.clear()
-                for pairs in met(fp.view(np.uint64), left, node, check.view(np.uint64), int(bucket) % (1 << PREFIX), low, inner):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    def each(batches):
+        at, held = None, {}
+
+        def settled():
+            node, asked, sets = zip(*((k, a, s) for k, (a, s) in held.items()), strict=True)
+            label = linked([np.frombuffer(s, np.uint64) for s in sets], np.array(asked))
+            first: dict[int, int] = {}
+            for x, own in zip(label, node, strict=True):
+                first[x] = min(own, first.get(x, own))
+            pairs = [(first[x], own) for x, own in zip(label, node, strict=True) if first[x] != own]
+            if pairs:
+                a, b = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "check", "fp", "left")]
-            keys = batch.column("bucket").to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
-            for x, y in zip(edges, edges[1:], strict=False):
-                if keys[x] != bucket:
-                    yield from flush()
-                    bucket = keys[x]
-                held.append([c[x:y] for c in cols])
-        yield from flush()
+            for root, tile, *row in zip(*(batch.column(c).to_pylist() for c in ("root", "tile", "node", "asked", "shingles")), strict=True):
+                if (root, tile) != at:
+                    if len(held) > 1:
+                        yield from settled()
+                    at, held = (root, tile), {}
+                held[row[0]] = row[1], row[2]
+        if len(held) > 1:
+            yield from settled()
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    return placed.mapInArrow(each, "a long, b long").distinct()
+    return dealt.mapInArrow(each, "a long, b long")
 
 
-def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs that may have the similarity asked for. ``marks`` is (node, n, marks): how many shingles, and for each of
-    ``MARK_BITS`` whether an odd number of them falls there. Two sets differ in at least as many shingles as their
-    marks in bits, so no pair is lost."""
-    left = pairs.join(marks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma")), "a")
-    both = left.join(marks.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb")), "b")
-    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("ma")[k].bitwiseXOR(F.col("mb")[k])) for k in range(MARK_BITS // 64)))
-    return both.filter(apart * (1 + SIMILARITY) <= (F.col("na") + F.col("nb")) * (1 - SIMILARITY) + 1e-6).select("a", "b")
+def keys(docs: DataFrame) -> tuple[Column, Column, Column]:
+    """id, h1 and h2 of a row: its number, and 128 bits of its text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have the similarity asked for; ``sets`` is (node, shingles)."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+def sketched(docs: DataFrame) -> DataFrame:
+    """(id, h1, h2, n, p0, p1, p2) of every row: how many shingles, and the print."""
+    rows = docs.select(*keys(docs), F.col("text").cast("string").alias("text"))
+    names = [f"p{k}" for k in range(PRINT_WORDS)]
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            kept.append(shared >= SIMILARITY * max(1, len(p) + len(q) - shared))
-        return batch.select(["a", "b"]).filter(pa.array(kept))
+        made = [shingles(t) for t in common.raw(batch)]
+        words = np.stack([print_of(h) for h in made]).view(np.int64)
+        cols = [batch.column(c) for c in ("id", "h1", "h2")]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([len(h) for h in made], pa.int64()), *(pa.array(words[:, k]) for k in range(PRINT_WORDS))], ["id", "h1", "h2", "n", *names])
 
-    return common.map_batches(both, fn, "a long, b long")
+    return common.map_batches(rows, fn, "id long, h1 long, h2 long, n long, " + ", ".join(f"{n} long" for n in names))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(node, root) of the texts that have near duplicates; node is xxhash64 of the text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+def shingled(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``members``, which have (id, h1, h2, node, root, ...), with the shingles of one row that has their text; a repeated row gives a repeated one."""
+    rest = [c for c in members.columns if c not in ("id", "h1", "h2")]
+    joined = docs.select(*keys(docs), F.col("text").cast("string").alias("text")).join(members, ["id", "h1", "h2"]).select(*rest, "text")
+    kinds = ", ".join(f"{n} {t}" for n, t in members.select(*rest).dtypes)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shingles(t) for t in common.raw(batch)]
-        words = [views(h).view(np.int64) for h in made]
-        small = pa.list_(pa.int64())
-        fps = [np.stack([w[1:].view(np.uint64) & np.uint64(2**32 - 1), w[1:].view(np.uint64) >> np.uint64(32)], 1).ravel().astype(np.int64) for w in words]
-        sets = [np.unique(h.astype(np.uint32)) for h in made]
-        keep = pa.array([len(h) > 0 for h in made])
-        cols = [batch.column("node"), pa.array([int(w[0]) for w in words], pa.int64()), pa.array(fps, small), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], small)]
-        return pa.RecordBatch.from_arrays(cols, ["node", "check", "views", "n", "marks"]).filter(keep)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([shingles(t).tobytes() for t in common.raw(batch)], pa.binary())], [*rest, "shingles"])
+
+    return common.map_batches(joined, fn, f"{kinds}, shingles binary")
 
-    seen = common.written(common.map_batches(rows, fn, "node long, check long, views array<long>, n long, marks array<long>"), "views")
-    nodes = seen.groupBy("node").agg(F.min("check").alias("check"), F.min("views").alias("views"))
-    marks = seen.groupBy("node").agg(F.min("n").alias("n"), F.min("marks").alias("marks"))
-    pairs = common.written(possible(candidates(nodes), marks), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
-    found = rows.join(asked, "node").dropDuplicates(["node"])  # one text of each node
 
-    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingles(t).astype(np.uint32)).tobytes() for t in common.raw(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+def central(members: DataFrame) -> DataFrame:
+    """(root, leader): the member whose print is nearest to what most prints of its block have, bit by bit."""
+    names = [f"p{k}" for k in range(PRINT_WORDS)]
+    bits = [F.sum(F.shiftrightunsigned(p, b).bitwiseAND(F.lit(1))).alias(f"{p}_{b}") for p in names for b in range(64)]
+    most = members.groupBy("root").agg(F.count("*").alias("m"), *bits)
+    word = lambda p: sum((F.when(2 * F.col(f"{p}_{b}") > F.col("m"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(64)), F.lit(0))
+    middle = most.select("root", *(word(p).alias(f"c{p}") for p in names))
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"c{p}"))) for p in names), F.lit(0))
+    return members.join(middle, "root").groupBy("root").agg(F.min_by("node", F.struct(apart.alias("d"), "node")).alias("leader"))
 
-    sets = common.written(common.map_batches(found.select("node", "text"), sets_of, "node long, shingles binary"), "shingles")
-    return simhash.components(verified(pairs, sets)).select(F.col("fp").alias("node"), "root")
+
+def crowd_tiles(docs: DataFrame, big: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows for ``tiled``, edges) of large blocks: what is similar to the block's central text is linked to it at once, and only
+    compared with the rest; the rest is compared with all. Both are dealt over tiles of bounded size."""
+    big = scratch.written(big, "crowd")
+    sets = scratch.written(shingled(docs, big.drop("p0", "p1", "p2", "n")).dropDuplicates(["node"]), "crowd-sets")
+    leader = central(big)
+    heads = sets.join(leader.select(F.col("leader").alias("node")), "node", "left_semi").select("root", F.col("node").alias("leader"), F.col("shingles").alias("head"))
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = []
+        for x, y in zip(batch.column("shingles").to_pylist(), batch.column("head").to_pylist(), strict=True):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            near.append(shared >= SIMILARITY * (len(a) + len(b) - shared))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "node", "leader")), pa.array(near)], ["root", "node", "leader", "near"])
+
+    told = scratch.written(common.map_batches(sets.join(heads, "root"), fn, "root long, node long, leader long, near boolean"), "crowd-near")
+    edges = told.filter("near AND node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    weight = big.select("node", "n").join(told, "node").groupBy("root", "near").agg(F.greatest(F.ceil(F.count("*") / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("k"))
+    weight = weight.groupBy("root").agg(F.coalesce(F.max(F.when(~F.col("near"), F.col("k"))), F.lit(0)).alias("rest"), F.coalesce(F.max(F.when(F.col("near"), F.col("k"))), F.lit(0)).alias("copies"))
+    weight = weight.filter("rest > 0")
+    share = lambda c: F.pmod(F.xxhash64("node"), F.greatest(F.col(c), F.lit(1))).cast("int")
+    each = told.join(weight, "root").withColumn("own", F.when(F.col("near"), F.col("rest") + share("copies")).otherwise(share("rest")))
+    others = F.sequence(F.lit(0), F.when(F.col("near"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("copies") - 1))
+    each = each.select("root", "node", (~F.col("near")).alias("asked"), "own", "rest", "copies", F.explode(others).alias("other"))
+    tile = F.least("own", "other").cast("long") * (F.col("rest") + F.col("copies")) + F.greatest("own", "other")
+    return each.select("root", "node", "asked", tile.alias("tile")).join(sets.select("node", "shingles"), "node"), edges
+
+
+def groups(docs: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """(nodes, members): nodes is (node, id, h1, h2, ...), one for each text; members is (node, root) of those with near duplicates."""
+    seen = sketched(docs)
+    one = seen.groupBy("h1", "h2").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in ("n", *(f"p{k}" for k in range(PRINT_WORDS)))))
+    nodes = scratch.written(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    blocks = scratch.written(simhash.components(candidates(nodes.filter("n > 0"))), "blocks")
+    held = nodes.join(blocks.select(F.col("fp").alias("node"), "root"), "node")
+    size = held.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"), F.count("*").alias("m"))
+    held = scratch.written(held.join(size.select("root", ((F.col("tiles") > 1) & (F.col("m") > 2)).alias("big")), "root"), "members")
+    names = ["node", "root", "id", "h1", "h2"]
+    small = shingled(docs, held.filter("NOT big").select(*names)).select("*", F.lit(True).alias("asked"), F.lit(0).cast("long").alias("tile"))
+    links = scratch.written(tiled(small), "links")
+    found = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    big = held.filter("big").drop("big")
+    if not big.isEmpty():
+        tiles, edges = crowd_tiles(docs, big, scratch)
+        found = found.unionByName(simhash.components(edges.unionByName(tiled(tiles))).select(F.col("fp").alias("node"), "root"))
+    return nodes, found
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near duplicates."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).alias("node"))
-    root = groups(docs)
-    ids = docs.select(key["id"].alias("id"), key["node"].alias("node")).groupBy("node").agg(F.min("id").alias("id"))
-    placed = ids.join(root, "node", "left").select(F.struct("id", "node").alias("key"), F.coalesce("root", "node").alias("root"))
+    scratch, key = common.Scratch(docs.sparkSession), F.struct("id", "h1", "h2")
+    nodes, found = groups(docs, scratch)
+    placed = nodes.join(found, "node", "left").select(key.alias("key"), F.coalesce("root", "node").alias("root"))
     chosen = common.written(placed.groupBy("root").agg(F.min("key").alias("key")).select("key.*"), "chosen")
-    own, node = common.free_name(docs, "_id"), common.free_name(docs, "_node")
-    tagged = docs.withColumn(own, key["id"]).withColumn(node, key["node"])
-    kept = tagged.join(chosen.select(F.col("id").alias(own), F.col("node").alias(node)), [own, node], "left_semi")
-    return kept.dropDuplicates([own, node]).select(*docs.columns)
+    scratch.spent()
+    own = [common.free_name(docs, f"_{c}") for c in ("id", "h1", "h2")]
+    tagged = docs.select("*", *(k.alias(n) for k, n in zip(keys(docs), own, strict=True)))
+    kept = tagged.join(chosen.toDF(*own), own, "left_semi")
+    return kept.dropDuplicates(own).select(*docs.columns)

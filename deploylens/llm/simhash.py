@@ -171,29 +171,31 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return placed.mapInArrow(each, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root) for each node of ``edges``, root the smallest node of its component. A round hooks each root to
     the smallest root next to any of its nodes and jumps to that one's root. Each step is written out, so that
-    both sides of every join are dealt anew and a node with very many edges can be split between tasks."""
-    edges = common.written(edges, "links")
+    both sides of every join are dealt anew and a node with very many edges can be split between tasks; what is spent is removed."""
+    scratch = common.Scratch(edges.sparkSession)
+    edges = scratch.written(edges, "links")
     if edges.isEmpty():
         return edges.select(F.col("b").alias("fp"), F.col("a").alias("root"))
     both = edges.union(edges.select(F.col("b"), F.col("a")))
-    label = common.written(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.col("fp"), F.min("b")).alias("root")), "labels")
+    label = scratch.written(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.col("fp"), F.min("b")).alias("root")).withColumn("was", F.col("root")), "labels")
     while True:
         near = both.join(label, both.b == label.fp).groupBy("a").agg(F.min("root").alias("near"))
-        seen = common.written(label.join(near, label.fp == near.a).select("fp", "root", F.least("root", "near").alias("best")), "seen")
-        hooked = common.written(seen.groupBy("root").agg(F.min("best").alias("up")), "hooked")
-        moved = common.written(seen.join(hooked, "root").select("fp", "root", F.least("best", "up").alias("target")), "moved")
+        seen = scratch.written(label.join(near, label.fp == near.a).select("fp", "root", F.least("root", "near").alias("best")), "seen")
+        hooked = scratch.written(seen.groupBy("root").agg(F.min("best").alias("up")), "hooked")
+        moved = scratch.written(seen.join(hooked, "root").select("fp", "root", F.least("best", "up").alias("target")), "moved")
         onward = moved.select(F.col("fp").alias("node"), F.col("target").alias("next"))
-        new = common.written(moved.join(onward, moved.target == onward.node).select("fp", F.least("target", "next").alias("new"), "root"), "labels")
-        label = new.select("fp", F.col("new").alias("root"))
-        if new.filter("new <> root").isEmpty():
-            return label
+        new = scratch.written(moved.join(onward, moved.target == onward.node).select("fp", F.least("target", "next").alias("root"), F.col("root").alias("was")), "labels")
+        scratch.spent(label, seen, hooked, moved)
+        label = new
+        if new.filter("root <> was").isEmpty():
+            scratch.spent(edges)
+            return new.select("fp", "root")
 
 
 def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:

@@ -155,24 +155,102 @@ def test_crowded_template_loses_no_pair(spark):
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(df).collect()) == list(range(1500))
 
 
-def test_marks_never_rule_out_a_pair():
-    rng = np.random.default_rng(2)
-    for n in (1, 5, 200, 3000):
-        a = np.unique(rng.integers(0, 2**32, n, dtype=np.uint32))
-        b = np.unique(np.concatenate([a[n // 9 :], rng.integers(0, 2**32, n // 9, dtype=np.uint32)]))
-        apart = int(np.bitwise_count((near_dedup.parity(a) ^ near_dedup.parity(b)).view(np.uint64)).sum())
-        assert apart <= len(np.setxor1d(a, b))
+def components_of(pairs, n):
+    top = list(range(n))
+    find = lambda x: x if top[x] == x else find(top[x])
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
 
 
-def test_crowded_variants_give_all_pairs(spark):
+def test_crowded_buckets_lose_no_candidate(spark):
+    """Prints that crowd around a few centres, some in one view only: what the buckets connect is what all pairs connect."""
     rng = np.random.default_rng(6)
-    rows = []
-    for k in range(400):  # one crowd in every view, mostly of equal prints, whose checks are far apart but for planted pairs
-        views = [int(v) ^ int(sum(1 << b for b in rng.choice(32, 0 if k % 8 else 3, replace=False))) for v in range(10**6, 10**6 + 12)]
-        check = rows[k // 4][1] ^ 7 if k % 4 == 3 else int(rng.integers(-(2**63), 2**63 - 1))
-        rows.append((k, check, views))
-    bits = lambda x: bin(x % 2**64).count("1")
-    wanted = {(a, b) for a, c, v in rows for b, d, w in rows[a + 1 :] if bits(c ^ d) <= near_dedup.CHECK_BITS and any(bits(x ^ y) <= 4 for x, y in zip(v, w, strict=True))}
-    assert len(wanted) >= 100
-    found = near_dedup.candidates(spark.createDataFrame(rows, "node long, check long, views array<long>")).collect()
-    assert {(r["a"], r["b"]) for r in found} == wanted
+    rows, flip = [], lambda x, k: x ^ sum(1 << int(b) for b in rng.choice(192, k, replace=False))
+    wide = lambda: int.from_bytes(rng.bytes(24), "little")
+    for _ in range(4):
+        centre = wide()
+        rows += [flip(centre, int(rng.integers(0, 40))) for _ in range(60)]
+        rows += [(wide() >> 32 << 32) | centre & 0xFFFFFFFF for _ in range(120)]  # agree in the first view, and in no other
+    rows += [x ^ 1 << 5 for x in rows[::9]]
+    views = [[x >> 32 * v & 0xFFFFFFFF for v in range(6)] for x in rows]
+    met = lambda a, b: (rows[a] ^ rows[b]).bit_count() <= near_dedup.PRINT_DISTANCE and any((x ^ y).bit_count() <= 4 for x, y in zip(views[a], views[b], strict=True))
+    wanted = components_of(((a, b) for a in range(len(rows)) for b in range(a) if met(a, b)), len(rows))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    df = spark.createDataFrame([(k, *(signed(x >> 64 * w & 2**64 - 1) for w in range(3))) for k, x in enumerate(rows)], "node long, p0 long, p1 long, p2 long")
+    for limit in (40_000, 30):  # the second deals every bucket over tiles
+        found = near_dedup.candidates(df, limit).collect()
+        assert components_of(((r["a"], r["b"]) for r in found), len(rows)) == wanted
+    assert len(found) <= 200 * len(rows)
+
+
+def test_agreeing_blocks_cover_every_pair():
+    rng = random.Random(3)
+    for nodes in (10, 10**7, 10**9, 10**12):
+        masks = near_dedup.blocks_of_bits(nodes)
+        for _ in range(300):
+            apart = sum(1 << b for b in rng.sample(range(32), 4))
+            assert any(not apart & m for m in masks)
+
+
+def test_linking_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 40):
+        for _ in range(20):
+            bases = [rng.integers(0, 2**40, 60, dtype=np.uint64) for _ in range(3)]
+            sets = [np.unique(np.concatenate([bases[k % 3][: 60 - e], rng.integers(0, 2**40, e, dtype=np.uint64)])) for k, e in enumerate(rng.integers(0, 14, n))]
+            similar = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+            for asked in (np.ones(n, bool), rng.random(n) < 0.5):
+                wanted = components_of(((a, b) for a in range(n) for b in range(a) if (asked[a] or asked[b]) and similar(sets[a], sets[b])), n)
+                got = near_dedup.linked(sets, asked)
+                assert all((got[a] == got[b]) == (wanted[a] == wanted[b]) for a in range(n) for b in range(a)) or n == 2 and not asked.any()
+
+
+def near_texts(seed, n):
+    """Copies of a few texts with edits of all sizes: similarities from 0.5 to 1."""
+    rng = random.Random(seed)
+    word, rows = lambda: f"w{rng.randrange(10**6)}", []
+    bases = [[word() for _ in range(rng.randint(60, 300))] for _ in range(max(2, n // 25))]
+    for k in range(n):
+        w = list(bases[rng.randrange(len(bases))])
+        for _ in range(rng.randint(0, len(w) // 25)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def groups_of(spark, rows):
+    from deploylens.llm import common
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes, found = near_dedup.groups(df, common.Scratch(spark))
+    root = {r["node"]: r["root"] for r in found.collect()}
+    return {r["id"]: root.get(r["node"], r["node"]) for r in nodes.collect()}
+
+
+def recall(rows, got):
+    sets = {k: near_dedup.shingles(t.encode()) for k, t in rows if k in got}
+    hit = total = 0
+    for a in sets:
+        for b in sets:
+            if a < b and len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= 0.8 * len(np.union1d(sets[a], sets[b])):
+                total, hit = total + 1, hit + (got[a] == got[b])
+    return hit / total, total
+
+
+def test_recall_against_all_pairs(spark, monkeypatch):
+    rows = near_texts(7, 500)
+    got = groups_of(spark, rows)
+    share, total = recall(rows, got)
+    assert total > 500 and share >= 0.98
+    monkeypatch.setattr(near_dedup, "TILE_NODES", 4)  # every block of more than four texts goes over its central text and tiles
+    again = groups_of(spark, rows)
+    sets = lambda g: sorted(sorted(k for k in g if g[k] == x) for x in set(g.values()))
+    assert sets(again) == sets(got)
+
+
+def test_recall_on_a_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL").select("doc_id", "text").collect()]
+    share, total = recall(rows, groups_of(spark, rows))
+    assert total >= 1 and share >= 0.9
