@@ -1,4 +1,4 @@
-"""Exact repeats of 400 bytes and more, by suffix arrays built from Lyndon groups.
+"""Exact repeats of so many bytes and more, by suffix arrays built from Lyndon groups; 400 bytes unless asked otherwise.
 
 Which texts can share a 400-byte string is found first. Every 400-byte window takes the 32-byte gram with the
 smallest hash as its anchor; equal windows have equal anchors at equal places. Windows next to each
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH = 400
+#: Width for passages of over 50 words, which have about five bytes a word at least.
+PASSAGE_WIDTH = 240
 GRAM = 32
 #: Windows of a text whose anchors are sought at once.
 CHUNK = 1 << 19
@@ -297,7 +299,7 @@ def agreements(crowded: DataFrame, side: str) -> DataFrame:
     The regions of an anchor are sorted over all tasks, and each compared with its two neighbours. The first and the
     last of a task, whose neighbour is elsewhere, count as agreeing wholly, which keeps more than need be and loses nothing."""
     n = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = crowded.select("anchor", "region", side).repartitionByRange(n, "anchor", side).sortWithinPartitions("anchor", side)
+    dealt = crowded.select("anchor", "region", side).repartitionByRange(n, "anchor", side, "region").sortWithinPartitions("anchor", side, "region")
 
     def shared(a: bytes, b: bytes) -> int:
         m = min(len(a), len(b))
@@ -326,7 +328,7 @@ def agreements(crowded: DataFrame, side: str) -> DataFrame:
     return dealt.mapInArrow(each, f"anchor long, region long, {side} int")
 
 
-def crowds(crowded: DataFrame, width: int = WIDTH) -> DataFrame:
+def crowds(crowded: DataFrame, scratch: common.Scratch, width: int = WIDTH) -> DataFrame:
     """(anchor, region, runs) for anchors with very many different regions. Each region is cut to what it shares with any other;
     most then are the same, and the different ones are sorted in blocks. Windows that stand alone in their block meet those of the others as fingerprints."""
     cut = crowded.join(agreements(crowded, "left").withColumnRenamed("left", "l"), ["anchor", "region"]).join(agreements(crowded, "right").withColumnRenamed("right", "r"), ["anchor", "region"])
@@ -334,15 +336,15 @@ def crowds(crowded: DataFrame, width: int = WIDTH) -> DataFrame:
     left, right = F.substring("left", F.lit(1), F.col("l")), F.substring("right", F.lit(1), F.col("r"))
     own = F.xxhash64(left, F.lit("/"), right).alias("own")
     shift = (F.length("left") - F.col("l")).cast("int").alias("shift")
-    cut = common.written(cut.select("anchor", "region", "count", own, shift, left.alias("left"), right.alias("right")), "crowds")
+    cut = scratch.written(cut.select("anchor", "region", "count", own, shift, left.alias("left"), right.alias("right")), "crowds")
     texts = cut.groupBy("anchor", F.col("own").alias("region")).agg(F.sum("count").alias("count"), F.first("left").alias("left"), F.first("right").alias("right"))
     per = cut.select("anchor", "own").distinct().groupBy("anchor").agg(F.count("*").alias("different"))
-    settled = common.written(sorted_groups(texts.join(per, "anchor"), width), "crowds-settled")
+    settled = scratch.written(sorted_groups(texts.join(per, "anchor"), width), "crowds-settled")
     direct = settled.filter("runs IS NOT NULL").select("anchor", F.col("region").alias("own"), "runs")
     again = settled.filter("print IS NOT NULL").groupBy("print").agg(F.sum("count").alias("total")).filter("total > 1").select("print")
     late = settled.filter("print IS NOT NULL AND region IS NOT NULL").join(again, "print")
     late = late.select("anchor", F.col("region").alias("own"), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + 1).alias("b"))).alias("runs"))
-    every = common.written(direct.unionByName(late).groupBy("anchor", "own").agg(F.flatten(F.collect_list("runs")).alias("runs")), "crowds-repeated")
+    every = scratch.written(direct.unionByName(late).groupBy("anchor", "own").agg(F.flatten(F.collect_list("runs")).alias("runs")), "crowds-repeated")
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("shift")).alias("a"), (r["b"] + F.col("shift")).alias("b")))
     return cut.select("anchor", "region", "own", "shift").join(every, ["anchor", "own"]).select("anchor", "region", moved.alias("runs"))
 
@@ -402,23 +404,23 @@ def sorted_groups(fetched: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def removed(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(rows, marks): the keyed rows, and per (id, digest) the runs of repeated windows of its text."""
-    rows = keyed(docs)
-    found = common.written(occurrences(rows, width), "regions")
+    rows, scratch = keyed(docs), common.Scratch(docs.sparkSession)
+    found = scratch.written(occurrences(rows, width), "regions")
     sole = F.min(F.struct("id", "digest", "first", "length", "at")).alias("one")
     distinct = found.groupBy("anchor", "region").agg(F.count("*").alias("count"), sole)
-    distinct = common.written(distinct.select("anchor", "region", "count", "one.*"), "distinct")
+    distinct = scratch.written(distinct.select("anchor", "region", "count", "one.*"), "distinct")
     many = distinct.groupBy("anchor").agg(F.count("*").alias("different")).filter("different > 1")
     alone = distinct.filter("count > 1").select("anchor", "region", F.array(F.struct(F.lit(0).alias("a"), (F.col("length") - width + 1).cast("int").alias("b"))).alias("runs"))
     few = F.col("different") <= BLOCK_REGIONS
-    fetched = fetch(distinct.join(many, "anchor"), rows)
-    fetched = common.written(fetched, "fetched")
+    fetched = scratch.written(fetch(distinct.join(many, "anchor"), rows), "fetched")
     direct = sorted_groups(fetched.filter(few), width).select("anchor", "region", "runs")
-    every = alone.unionByName(direct).unionByName(crowds(fetched.filter(~few), width))
-    every = every.groupBy("anchor", "region").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    every = common.written(every, "repeated")
+    every = alone.unionByName(direct).unionByName(crowds(fetched.filter(~few), scratch, width))
+    every = scratch.written(every.groupBy("anchor", "region").agg(F.flatten(F.collect_list("runs")).alias("runs")), "repeated")
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
     marks = found.select("id", "digest", "anchor", "region", "first").join(every, ["anchor", "region"]).select("id", "digest", moved.alias("runs"))
-    return rows, marks.groupBy("id", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    marks = common.written(marks.groupBy("id", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs")), "repeats")
+    scratch.spent()
+    return rows, marks
 
 
 def cut(text: bytes, windows: list[dict] | None, width: int = WIDTH) -> tuple[bytes, list[tuple[int, int]]]:
@@ -434,7 +436,7 @@ def cut(text: bytes, windows: list[dict] | None, width: int = WIDTH) -> tuple[by
 
 
 def digest_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept."""
     rows, marks = removed(docs, width)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -446,12 +448,13 @@ def digest_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3])], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     done = common.map_batches(rows.join(marks, ["id", "digest"], "left").select("id", "text", "runs"), fn, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return done.select(F.nullif("id", F.lit(-(2**63))).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return done.select(F.nullif("id", F.lit(-(2**63))).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))
 
 
-def strip_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def strip_repeats(docs: DataFrame, width: int = PASSAGE_WIDTH) -> DataFrame:
     """``docs`` without their repeated strings, cut at whole characters; other columns as they are, n_chars
-    follows the text. No row is dropped."""
+    follows the text. No row is dropped. Every copy of a passage goes, the first too: what stands word for word in several documents is
+    a licence, a menu or a leaked test passage, and near copies of whole documents have been dealt with before."""
     _, marks = removed(docs, width)
     key, digest, runs_of = (common.free_name(docs, f"_{n}") for n in ("id", "digest", "runs"))
     own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(digest, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
