@@ -23,7 +23,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def strip_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that stand elsewhere too leave the texts."""
+    """Passages of over 50 words that stand elsewhere too leave the texts."""
     return suffix_dedup.strip_repeats(docs)
 
 
