@@ -190,7 +190,15 @@ def candidates(nodes: DataFrame, limit: int = BUCKET_NODES) -> DataFrame:
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[a], own[b])), pa.array(np.maximum(own[a], own[b]))], ["a", "b"])
 
-    return dealt.mapInArrow(each, "a long, b long").distinct()
+    return thinned(dealt.mapInArrow(each, "a long, b long"))
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer edges that connect the same: a node keeps its smallest neighbour, to which the others are moved. Neighbours of many nodes
+    then fall together, while each node had one from each of its buckets."""
+    near = edges.groupBy("b").agg(F.collect_set("a").alias("s")).withColumn("a", F.array_min("s"))
+    moved = F.array_append(F.array_except("s", F.array("a")), F.col("b"))
+    return near.select("a", F.explode(moved).alias("b")).distinct()
 
 
 # exact similarity ----------------------------------------------------------------------------
