@@ -32,7 +32,6 @@ class Cursor:
 
     def number(self, n: int) -> int:
         if self.at + n > len(self.data):
-            self.at = len(self.data)
             return 0
         self.at += n
         return int.from_bytes(self.data[self.at - n : self.at], "big")

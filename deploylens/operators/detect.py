@@ -9,41 +9,105 @@ from ..functions import configs, paths
 from ..semantics import DEFAULT, Semantics
 from . import routes as R
 
-#: (category, "Name<jar literal; ..."): libraries in order of match. Fixed values.
+#: (component, category, jar literal), in order of match. Fixed values.
 CATALOG = (
-    ("Framework", "Spring MVC<spring-webmvc; Spring Web<spring-web; Spring Boot<spring-boot; Spring Boot Starter<spring-boot-starter-web; Spring Cloud<spring-cloud; Struts2<struts2-core; JAX-RS<javax.ws.rs-api; JAX-RS<jakarta.ws.rs-api"),
-    ("ORM", "MyBatis<mybatis; MyBatis Spring<mybatis-spring; MyBatis Plus<mybatis-plus; Hibernate<hibernate-core; JPA<hibernate-jpa"),
-    ("Database", "Druid<druid; HikariCP<HikariCP; C3P0<c3p0"),
-    ("Security", "Shiro<shiro-core; Shiro Web<shiro-web; Spring Security<spring-security-core; Spring Security Web<spring-security-web; SaToken<sa-token"),
-    ("Logging", "Log4j2<log4j-core; Log4j<log4j; Logback<logback-classic; Logback Core<logback-core; SLF4J<slf4j-api"),
-    ("RPC", "Dubbo<dubbo; gRPC<grpc-core"),
-    ("Container", "Tomcat<tomcat-embed-core; Tomcat Jasper<tomcat-jasper; Jetty<jetty-server; Undertow<undertow-core"),
-    ("JSON", "Jackson<jackson-databind; Jackson Core<jackson-core; Jackson Annotations<jackson-annotations; Fastjson<fastjson; Fastjson2<fastjson2; Gson<gson"),
-    ("Template", "Thymeleaf<thymeleaf; FreeMarker<freemarker; Velocity<velocity; Beetl<beetl"),
-    ("HTTP", "HttpClient<httpclient; OkHttp<okhttp"),
-    ("Framework", "JReap<jreap; RuoYi<ruoyi; Jeecg<jeecg; DHCC<dhcc; Eway Framework<eway"),
-    ("Utility", "Commons IO<commons-io; Commons Lang<commons-lang; Commons Lang<commons-lang3; Commons BeanUtils<commons-beanutils; Commons Collections<commons-collections; Commons FileUpload<commons-fileupload; Guava<guava"),
-    ("Cache", "Ehcache<ehcache; Redis<jedis; Lettuce<lettuce-core"),
-    ("Web Service", "CXF<cxf; Axis2<axis2"),
-    ("API Doc", "Swagger<swagger; Knife4j<knife4j"),
-    ("Testing", "JUnit<junit; TestNG<testng"),
+    ("Spring MVC", "Framework", "spring-webmvc"),
+    ("Spring Web", "Framework", "spring-web"),
+    ("Spring Boot", "Framework", "spring-boot"),
+    ("Spring Boot Starter", "Framework", "spring-boot-starter-web"),
+    ("Spring Cloud", "Framework", "spring-cloud"),
+    ("Struts2", "Framework", "struts2-core"),
+    ("JAX-RS", "Framework", "javax.ws.rs-api"),
+    ("JAX-RS", "Framework", "jakarta.ws.rs-api"),
+    ("MyBatis", "ORM", "mybatis"),
+    ("MyBatis Spring", "ORM", "mybatis-spring"),
+    ("MyBatis Plus", "ORM", "mybatis-plus"),
+    ("Hibernate", "ORM", "hibernate-core"),
+    ("JPA", "ORM", "hibernate-jpa"),
+    ("Druid", "Database", "druid"),
+    ("HikariCP", "Database", "HikariCP"),
+    ("C3P0", "Database", "c3p0"),
+    ("Shiro", "Security", "shiro-core"),
+    ("Shiro Web", "Security", "shiro-web"),
+    ("Spring Security", "Security", "spring-security-core"),
+    ("Spring Security Web", "Security", "spring-security-web"),
+    ("SaToken", "Security", "sa-token"),
+    ("Log4j2", "Logging", "log4j-core"),
+    ("Log4j", "Logging", "log4j"),
+    ("Logback", "Logging", "logback-classic"),
+    ("Logback Core", "Logging", "logback-core"),
+    ("SLF4J", "Logging", "slf4j-api"),
+    ("Dubbo", "RPC", "dubbo"),
+    ("gRPC", "RPC", "grpc-core"),
+    ("Tomcat", "Container", "tomcat-embed-core"),
+    ("Tomcat Jasper", "Container", "tomcat-jasper"),
+    ("Jetty", "Container", "jetty-server"),
+    ("Undertow", "Container", "undertow-core"),
+    ("Jackson", "JSON", "jackson-databind"),
+    ("Jackson Core", "JSON", "jackson-core"),
+    ("Jackson Annotations", "JSON", "jackson-annotations"),
+    ("Fastjson", "JSON", "fastjson"),
+    ("Fastjson2", "JSON", "fastjson2"),
+    ("Gson", "JSON", "gson"),
+    ("Thymeleaf", "Template", "thymeleaf"),
+    ("FreeMarker", "Template", "freemarker"),
+    ("Velocity", "Template", "velocity"),
+    ("Beetl", "Template", "beetl"),
+    ("HttpClient", "HTTP", "httpclient"),
+    ("OkHttp", "HTTP", "okhttp"),
+    ("JReap", "Framework", "jreap"),
+    ("RuoYi", "Framework", "ruoyi"),
+    ("Jeecg", "Framework", "jeecg"),
+    ("DHCC", "Framework", "dhcc"),
+    ("Eway Framework", "Framework", "eway"),
+    ("Commons IO", "Utility", "commons-io"),
+    ("Commons Lang", "Utility", "commons-lang"),
+    ("Commons Lang", "Utility", "commons-lang3"),
+    ("Commons BeanUtils", "Utility", "commons-beanutils"),
+    ("Commons Collections", "Utility", "commons-collections"),
+    ("Commons FileUpload", "Utility", "commons-fileupload"),
+    ("Guava", "Utility", "guava"),
+    ("Ehcache", "Cache", "ehcache"),
+    ("Redis", "Cache", "jedis"),
+    ("Lettuce", "Cache", "lettuce-core"),
+    ("CXF", "Web Service", "cxf"),
+    ("Axis2", "Web Service", "axis2"),
+    ("Swagger", "API Doc", "swagger"),
+    ("Knife4j", "API Doc", "knife4j"),
+    ("JUnit", "Testing", "junit"),
+    ("TestNG", "Testing", "testng"),
 )
-#: Prefixes of jars that count without a version. Fixed values.
+#: (prefix, component) of jars that count without a version. Fixed values.
 UNVERSIONED = (
-    "servlet-api<Servlet API; jsp-api<JSP API; jstl<JSTL; standard<JSTL Standard; jta<JTA; activation<Java Activation; mail<JavaMail; jaxb-api<JAXB; websocket-api<WebSocket API; el-api<EL API; jaxen<Jaxen; "
-    "dom4j<Dom4J; xstream<XStream; ognl<OGNL; cglib<CGLib; asm<ASM; javassist<Javassist; antlr<ANTLR; snakeyaml<SnakeYAML; jasypt<Jasypt; bcprov<BouncyCastle; bcpkix<BouncyCastle PKIX"
+    ("servlet-api", "Servlet API"),
+    ("jsp-api", "JSP API"),
+    ("jstl", "JSTL"),
+    ("standard", "JSTL Standard"),
+    ("jta", "JTA"),
+    ("activation", "Java Activation"),
+    ("mail", "JavaMail"),
+    ("jaxb-api", "JAXB"),
+    ("websocket-api", "WebSocket API"),
+    ("el-api", "EL API"),
+    ("jaxen", "Jaxen"),
+    ("dom4j", "Dom4J"),
+    ("xstream", "XStream"),
+    ("ognl", "OGNL"),
+    ("cglib", "CGLib"),
+    ("asm", "ASM"),
+    ("javassist", "Javassist"),
+    ("antlr", "ANTLR"),
+    ("snakeyaml", "SnakeYAML"),
+    ("jasypt", "Jasypt"),
+    ("bcprov", "BouncyCastle"),
+    ("bcpkix", "BouncyCastle PKIX"),
 )
 NO_DASH = "commons-collections"
 
 
 def catalog_rows() -> list[tuple[int, str, str, str]]:
     """(order, component, category, literal)."""
-    pairs = [(category, *entry.strip().split("<")) for category, entries in CATALOG for entry in entries.split(";")]
-    return [(k, name, category, literal) for k, (category, name, literal) in enumerate(pairs)]
-
-
-def unversioned_rows() -> list[tuple[str, str]]:
-    return [tuple(x.strip().split("<")) for x in UNVERSIONED.split(";")]
+    return [(k, *row) for k, row in enumerate(CATALOG)]
 
 
 def catalog(spark: SparkSession) -> DataFrame:
@@ -94,23 +158,22 @@ def components(jars: DataFrame, semantics: Semantics = DEFAULT) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(at)), lambda x: x["jar_name"]).alias("jars"),
     )
     low = F.lower("base")
-    prefixes = F.filter(F.array(*(F.struct(F.lit(p).alias("prefix"), F.lit(n).alias("name")) for p, n in unversioned_rows())), lambda x: F.startswith(low, x["prefix"]))
+    prefixes = F.filter(F.array(*(F.struct(F.lit(p).alias("prefix"), F.lit(n).alias("name")) for p, n in UNVERSIONED)), lambda x: F.startswith(low, x["prefix"]))
     loose = once.filter(F.endswith(low, F.lit(".jar"))).select("input_id", "visit_seq", "jar_name", F.explode(prefixes).alias("p"))
     loose = loose.groupBy("input_id", F.col("p.name").alias("name")).agg(F.lit("Utility").alias("type"), F.lit("").alias("version"), F.array(F.min_by("jar_name", at)).alias("jars"))
     return known.unionByName(loose.join(known, ["input_id", "name"], "left_anti"))
 
 
-#: name -> (confidence, jar prefix for the version, catalogue names). Fixed values.
-VERSION_JARS = {"Spring Boot": ("spring-boot-", ("Spring Boot",)), "Spring MVC": ("spring-web", ("Spring MVC", "Spring Web")), "Struts2": ("struts2-core-", ("Struts2",)), "JAX-RS": ("javax.ws.rs-api-|jakarta.ws.rs-api-", ("JAX-RS",)), "Servlet": ("tomcat-embed-core-", ("Tomcat",))}
+#: Components whose jars give a framework's version. Fixed values.
+VERSION_COMPONENTS = ("JAX-RS", "Spring Boot", "Spring MVC", "Spring Web", "Struts2", "Tomcat")
 EWAY = "com/eway"
 
 
 def jar_versions(jars: DataFrame, semantics: Semantics = DEFAULT) -> DataFrame:
     """(input_id, component, version): the first jar that gives a framework's version, as it stands in the name."""
     name = paths.basename(F.col("jar_name"), True) if semantics.version_basename else F.col("jar_name")
-    wanted = sorted({n for _, names in VERSION_JARS.values() for n in names})
     hit = versioned(name, semantics)
-    found = jars.select("input_id", "visit_seq", "jar_name", hit.alias("hit")).filter(F.col("hit.component").isin(wanted))
+    found = jars.select("input_id", "visit_seq", "jar_name", hit.alias("hit")).filter(F.col("hit.component").isin(*VERSION_COMPONENTS))
     return found.groupBy("input_id", F.col("hit.component").alias("component")).agg(F.min_by("hit.version", F.struct("visit_seq", "jar_name")).alias("version"))
 
 

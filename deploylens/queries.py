@@ -153,11 +153,78 @@ def context(spark: SparkSession, sf: str) -> R.Context:
     return analysis.context(held(spark, sf), inputs(spark, sf))
 
 
-def literal_sql() -> str:
-    return "(SELECT * FROM (VALUES " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(synth.LITERALS)) + ") v(i, literal))"
-
-
-JARS = f"(SELECT k, brand, size, literal, literal || '-' || size || '.' || (k % 4) || '.RELEASE.jar' AS jar FROM {P} p JOIN {literal_sql()} l ON p.k % {len(synth.LITERALS)} = l.i)"
+#: What the catalogue must say, for the oracles alone: order, component, category, literal. Fixed values.
+_CATALOG_SQL = """(SELECT * FROM (VALUES
+  (0, 'Spring MVC', 'Framework', 'spring-webmvc'),
+  (1, 'Spring Web', 'Framework', 'spring-web'),
+  (2, 'Spring Boot', 'Framework', 'spring-boot'),
+  (3, 'Spring Boot Starter', 'Framework', 'spring-boot-starter-web'),
+  (4, 'Spring Cloud', 'Framework', 'spring-cloud'),
+  (5, 'Struts2', 'Framework', 'struts2-core'),
+  (6, 'JAX-RS', 'Framework', 'javax.ws.rs-api'),
+  (7, 'JAX-RS', 'Framework', 'jakarta.ws.rs-api'),
+  (8, 'MyBatis', 'ORM', 'mybatis'),
+  (9, 'MyBatis Spring', 'ORM', 'mybatis-spring'),
+  (10, 'MyBatis Plus', 'ORM', 'mybatis-plus'),
+  (11, 'Hibernate', 'ORM', 'hibernate-core'),
+  (12, 'JPA', 'ORM', 'hibernate-jpa'),
+  (13, 'Druid', 'Database', 'druid'),
+  (14, 'HikariCP', 'Database', 'HikariCP'),
+  (15, 'C3P0', 'Database', 'c3p0'),
+  (16, 'Shiro', 'Security', 'shiro-core'),
+  (17, 'Shiro Web', 'Security', 'shiro-web'),
+  (18, 'Spring Security', 'Security', 'spring-security-core'),
+  (19, 'Spring Security Web', 'Security', 'spring-security-web'),
+  (20, 'SaToken', 'Security', 'sa-token'),
+  (21, 'Log4j2', 'Logging', 'log4j-core'),
+  (22, 'Log4j', 'Logging', 'log4j'),
+  (23, 'Logback', 'Logging', 'logback-classic'),
+  (24, 'Logback Core', 'Logging', 'logback-core'),
+  (25, 'SLF4J', 'Logging', 'slf4j-api'),
+  (26, 'Dubbo', 'RPC', 'dubbo'),
+  (27, 'gRPC', 'RPC', 'grpc-core'),
+  (28, 'Tomcat', 'Container', 'tomcat-embed-core'),
+  (29, 'Tomcat Jasper', 'Container', 'tomcat-jasper'),
+  (30, 'Jetty', 'Container', 'jetty-server'),
+  (31, 'Undertow', 'Container', 'undertow-core'),
+  (32, 'Jackson', 'JSON', 'jackson-databind'),
+  (33, 'Jackson Core', 'JSON', 'jackson-core'),
+  (34, 'Jackson Annotations', 'JSON', 'jackson-annotations'),
+  (35, 'Fastjson', 'JSON', 'fastjson'),
+  (36, 'Fastjson2', 'JSON', 'fastjson2'),
+  (37, 'Gson', 'JSON', 'gson'),
+  (38, 'Thymeleaf', 'Template', 'thymeleaf'),
+  (39, 'FreeMarker', 'Template', 'freemarker'),
+  (40, 'Velocity', 'Template', 'velocity'),
+  (41, 'Beetl', 'Template', 'beetl'),
+  (42, 'HttpClient', 'HTTP', 'httpclient'),
+  (43, 'OkHttp', 'HTTP', 'okhttp'),
+  (44, 'JReap', 'Framework', 'jreap'),
+  (45, 'RuoYi', 'Framework', 'ruoyi'),
+  (46, 'Jeecg', 'Framework', 'jeecg'),
+  (47, 'DHCC', 'Framework', 'dhcc'),
+  (48, 'Eway Framework', 'Framework', 'eway'),
+  (49, 'Commons IO', 'Utility', 'commons-io'),
+  (50, 'Commons Lang', 'Utility', 'commons-lang'),
+  (51, 'Commons Lang', 'Utility', 'commons-lang3'),
+  (52, 'Commons BeanUtils', 'Utility', 'commons-beanutils'),
+  (53, 'Commons Collections', 'Utility', 'commons-collections'),
+  (54, 'Commons FileUpload', 'Utility', 'commons-fileupload'),
+  (55, 'Guava', 'Utility', 'guava'),
+  (56, 'Ehcache', 'Cache', 'ehcache'),
+  (57, 'Redis', 'Cache', 'jedis'),
+  (58, 'Lettuce', 'Cache', 'lettuce-core'),
+  (59, 'CXF', 'Web Service', 'cxf'),
+  (60, 'Axis2', 'Web Service', 'axis2'),
+  (61, 'Swagger', 'API Doc', 'swagger'),
+  (62, 'Knife4j', 'API Doc', 'knife4j'),
+  (63, 'JUnit', 'Testing', 'junit'),
+  (64, 'TestNG', 'Testing', 'testng')
+) v(ord, component, category, literal))"""
+_LITERALS_SQL = f"(SELECT literal, row_number() OVER (ORDER BY ord) - 1 AS i FROM {_CATALOG_SQL} WHERE literal <> 'commons-collections')"
+
+
+JARS = f"(SELECT k, brand, size, literal, literal || '-' || size || '.' || (k % 4) || '.RELEASE.jar' AS jar FROM {P} p JOIN {_LITERALS_SQL} l ON p.k % 64 = l.i)"
 
 
 @query(f"SELECT CAST(k AS INTEGER) AS input_id, 'app' || k || '.war!' || jar AS jar_name FROM {JARS} UNION ALL SELECT k, 'WEB-INF/jstl.jar' FROM {P} UNION ALL SELECT k, 'app' || k || '.war!bad-1.0.jar' FROM {P} WHERE k % 13 = 0 UNION ALL SELECT k, 'app' || k || '.war!' || jar || '!deep.jar' FROM {JARS} WHERE k % 2 = 1 UNION ALL SELECT k, 'app' || k || '.war!' || jar || '!deep.jar!deeper.jar' FROM {JARS} WHERE k % 2 = 1")
@@ -531,7 +598,6 @@ def p_can_handle(spark, sf):
 
 # detection -----------------------------------------------------------------------------------
 
-_CATALOG_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}', '{c}', '{x}')" for k, n, c, x in detect.catalog_rows()) + ") v(ord, component, category, literal))"
 _FOUND = f"(SELECT j.k, j.jar, c.component, c.category, size || '.' || (j.k % 4) AS version FROM {JARS} j JOIN {_CATALOG_SQL} c ON j.literal = c.literal)"
 
 
@@ -543,7 +609,7 @@ def jars(spark: SparkSession, sf: str) -> DataFrame:
     return names.select(F.col("k").cast("int").alias("input_id"), F.lit(1).cast("long").alias("visit_seq"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("app.war!"), jar)).otherwise(F.concat(F.lit("lib/"), jar)).alias("jar_name"))
 
 
-@query(f"SELECT CAST(p.k AS BIGINT) AS k, c.component, c.category FROM {P} p JOIN {_CATALOG_SQL} c ON p.k % {len(detect.catalog_rows())} = c.ord")
+@query(f"SELECT CAST(p.k AS BIGINT) AS k, c.component, c.category FROM {P} p JOIN {_CATALOG_SQL} c ON p.k % 65 = c.ord")
 def d_catalog(spark, sf):
     p = parts(spark, sf).withColumn("ord", (F.col("k") % len(detect.catalog_rows())).cast("int"))
     return p.join(detect.catalog(spark), "ord").select("k", "component", "category")

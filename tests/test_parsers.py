@@ -61,6 +61,25 @@ def test_many_annotations_take_no_time():
     assert time.time() - began < 5
 
 
+def test_long_return_types_keep_their_annotations():
+    kinds = ", ".join(f"Kind{k}" for k in range(30))
+    source = f'class A {{ @GetMapping("/x") @Deprecated public static Map<A, List<{kinds}>> f(@Valid String a, final int[] b) {{ return new B(1); }} <T> T[] g(){{}} }}'
+    f, _, g = java_source.decode(source)["methods"]
+    assert (f["name"], f["return_type"], f["param_types"], len(f["annotations"])) == ("f", "Map", ["String", "int[]"], 2)
+    assert [e["as_strings"] for e in f["annotations"][0]["elements"]] == [["/x"]]
+    assert (g["name"], g["return_type"]) == ("g", "T")
+
+
+def test_headers():
+    names = lambda s: (lambda d: (d["this_class"], d["super_class"], d["interfaces"], [a["type"] for a in d["class_annotations"]]))(java_source.decode(s))
+    assert names('@Path("/a")\n@Service public final class A extends b.C<D> implements E, f.G {}') == ("A", "b/C", ["E", "f.G"], ["Ljavax/ws/rs/Path;", "Lorg/springframework/stereotype/Service;"])
+    assert names("class A<T> { class B {} }")[0] == "B"  # a header with type parameters is no plain one
+    assert names("@interface M { } ")[0] == "M" and names("interface I;")[0] == "I"
+    assert names("@Service sealed class A {}")[3] == []
+    calls = [(m["name"], m["return_type"]) for m in java_source.decode("class A { void f() { throw new X(1); g(); return h(2); } int k(int a){} }")["methods"]]
+    assert calls == [("f", "void"), ("X", "throw new"), ("h", "return"), ("k", "int")]
+
+
 def test_annotation_values():
     kinds = lambda s: [(e["name"], e["tag"], e["as_strings"], e["as_enums"]) for e in java_source.elements(s)]
     assert kinds('("/a")') == [("value", "s", ["/a"], [])]
