@@ -82,8 +82,8 @@ def jar_name(path: Column) -> Column:
 
 
 def jar_display(path: Column) -> Column:
-    """``x.jar.src.zip`` as ``x.jar.src``."""
-    return F.regexp_replace(path, r"(?i)(\.src)\.zip\z", "$1")
+    """``x.jar.src.zip`` as ``x.jar``; ``x.jar.src`` stays."""
+    return F.regexp_replace(path, r"(?i)(\.jar)\.src\.zip\z", "$1")
 
 
 def source_archive(path: Column) -> Column:

@@ -46,20 +46,36 @@ def merge_components(components: DataFrame, order: list[str]) -> DataFrame:
     return found.select("name", "type", "version", F.array_join("jars", ", ").alias("source"), "jars")
 
 
+def route_order() -> list:
+    return ["url", F.array_join("http_methods", ","), "class_name", "framework", "method_name", "archive_name"]
+
+
+def class_order() -> list:
+    return ["package", "full_name", "archive_name"]
+
+
+def component_order() -> list:
+    return ["type", "name"]
+
+
+def controller_order() -> list:
+    return ["framework", "class_name"]
+
+
 def sort_routes(routes: DataFrame) -> DataFrame:
-    return routes.orderBy("url", F.array_join("http_methods", ","), "class_name", "framework", "method_name", "archive_name")
+    return routes.orderBy(*route_order())
 
 
 def sort_classes(classes: DataFrame) -> DataFrame:
-    return classes.orderBy("package", "full_name", "archive_name")
+    return classes.orderBy(*class_order())
 
 
 def sort_components(components: DataFrame) -> DataFrame:
-    return components.orderBy("type", "name")
+    return components.orderBy(*component_order())
 
 
 def sort_controllers(found: DataFrame) -> DataFrame:
-    return found.orderBy("framework", "class_name")
+    return found.orderBy(*controller_order())
 
 
 def summary(routes: DataFrame, found: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:

@@ -116,13 +116,30 @@ def spring(ctx: Context, semantics: Semantics = DEFAULT, prio: int = 90, framewo
     return rows, class_rows(found, spring_type(F.col("class_annotations")), prio)
 
 
+def boot_inputs(ctx: Context) -> DataFrame:
+    """input_id of the inputs whose manifest has the headers of Spring Boot."""
+    return ctx.manifests.filter(configs.is_boot(configs.manifest_main(F.col("manifest")))).select("input_id")
+
+
 def boot(ctx: Context, semantics: Semantics = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Spring routes again under Spring Boot, for inputs whose manifest has its headers."""
-    flagged = ctx.manifests.filter(configs.is_boot(configs.manifest_main(F.col("manifest")))).select("input_id")
+    flagged = boot_inputs(ctx)
     rows, classes = spring(ctx, semantics, 100, "Spring Boot")
     return rows.join(flagged, "input_id", "left_semi"), classes.join(flagged, "input_id", "left_semi")
 
 
+def boot_and_spring(ctx: Context, semantics: Semantics = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """What ``boot`` and ``spring`` find, from one pass over the classes: each row once for each framework of its input."""
+    flagged = boot_inputs(ctx).distinct().withColumn("boot", F.lit(True))
+    rows, classes = spring(ctx, semantics)
+    kind = lambda prio, name: F.struct(F.lit(prio).alias("prio"), F.lit(name).alias("framework"))
+    under_boot = [kind(100, "Spring Boot")] + ([] if semantics.boot_supersedes_mvc else [kind(90, "Spring MVC")])
+    found = rows.join(flagged, "input_id", "left").withColumn("as", F.explode(F.when(F.col("boot"), F.array(*under_boot)).otherwise(F.array(kind(90, "Spring MVC")))))
+    found = found.withColumn("prio", F.col("as.prio")).withColumn("framework", F.col("as.framework")).select(*rows.columns)
+    again = classes.join(flagged, "input_id", "left").withColumn("prio", F.explode(F.when(F.col("boot"), F.array(F.lit(100), F.lit(90))).otherwise(F.array(F.lit(90)))))
+    return found, again.select(*classes.columns)
+
+
 def jaxrs(ctx: Context, semantics: Semantics = DEFAULT) -> tuple[DataFrame, DataFrame]:
     found = ctx.classes.withColumn("base", first_value(F.col("class_annotations"), PATHS)).filter("base <> ''")
     m = found.select("input_id", "archive_name", "file_path", "this_class", "base", F.posexplode("methods").alias("i", "m"))
@@ -184,26 +201,29 @@ def webwork(ctx: Context, semantics: Semantics = DEFAULT) -> tuple[DataFrame, Da
     return rows.join(flagged, "input_id", "left_semi"), class_rows(own, F.lit(""), 75).join(flagged, "input_id", "left_semi")
 
 
-def _mapped(web: DataFrame, ctx: Context, mapping: str, names: str, key: str, value: str, fallback: bool, second: int, every: bool) -> DataFrame:
-    """Mappings left-joined to the classes they name; of a name given twice the last class counts."""
-    named = web.select("input_id", "entry_name", F.posexplode(F.col(f"w.`{names}`")).alias("n", "d"))
-    named = named.groupBy("input_id", "entry_name", F.trim(F.col(f"d.`{key}`")).alias("key")).agg(F.max_by(F.trim(F.col(f"d.`{value}`")), "n").alias("found"))
-    mapped = web.select("input_id", "entry_name", F.posexplode(F.col(f"w.`{mapping}`")).alias("i", "m"))
-    pattern = F.col("m.`url-pattern`")
-    mapped = mapped.select("input_id", "entry_name", "i", F.trim(F.coalesce(F.col(f"m.`{key}`"), F.lit(""))).alias("key"), (F.posexplode_outer(pattern) if every else F.posexplode(F.array(pattern))).alias("j", "pattern"))
-    looked = mapped.join(named, ["input_id", "entry_name", "key"], "left")
-    cls = F.coalesce(F.nullif("found", F.lit("")), F.col("key")) if fallback else F.coalesce("found", F.lit(""))
-    placed = find_class(looked.withColumn("cls", cls), ctx.classes, "cls").join(ctx.inputs, "input_id")
-    pos = F.struct(F.col("entry_name").alias("file"), F.lit("").alias("archive"), (F.col("i") + second).alias("i"), F.coalesce("j", F.lit(0)).alias("j"), F.lit(0).alias("k"))
-    url = paths.servlet_pattern(F.coalesce("pattern", F.lit("")))
-    return placed.select(*route(60, "Servlet", "XML", url, F.array().cast(EMPTY), F.col("cls"), F.lit(""), F.col("class_path"), F.col("archive_name"), pos))
+def _mappings(w: Column, mapping: str, names: str, key: str, value: str, fallback: bool, second: int, every: bool) -> Column:
+    """(i, pattern, cls) of the mappings of a descriptor: each looks up the last class given to its name, in the same row."""
+    named = F.transform(F.coalesce(w[names], F.array()), lambda d: F.struct(F.trim(d[key]).alias("key"), F.trim(d[value]).alias("found")))
+
+    def one(m: Column, i: Column) -> Column:
+        own = F.trim(F.coalesce(m[key], F.lit("")))
+        found = F.try_element_at(F.filter(named, lambda d: d["key"] == own), F.lit(-1))["found"]
+        cls = F.coalesce(F.nullif(found, F.lit("")), own) if fallback else F.coalesce(found, F.lit(""))
+        patterns = F.when(F.size(m["url-pattern"]) > 0, m["url-pattern"]).otherwise(F.array(F.lit(""))) if every else F.array(m["url-pattern"])
+        return F.struct((i + second).alias("i"), F.transform(patterns, lambda p: F.coalesce(p, F.lit(""))).alias("patterns"), cls.alias("cls"))
+
+    return F.transform(F.coalesce(w[mapping], F.array()), one)
 
 
 def servlet(ctx: Context, semantics: Semantics = DEFAULT) -> tuple[DataFrame, DataFrame]:
     every = semantics.all_url_patterns
-    web = ctx.xml_files.filter(configs.is_web_file(F.col("entry_name"))).select("input_id", "entry_name", configs.web_xml(F.col("xml"), every).alias("w")).filter("w IS NOT NULL")
-    rows = _mapped(web, ctx, "servlet-mapping", "servlet", "servlet-name", "servlet-class", False, 0, every)
-    rows = rows.unionByName(_mapped(web, ctx, "filter-mapping", "filter", "filter-name", "filter-class", True, 1_000_000, every))
+    web = ctx.xml_files.filter(configs.is_web_file(F.col("entry_name"))).select("input_id", "entry_name", configs.web_xml(F.col("xml"), every).alias("w"))
+    w = F.col("w")
+    both = F.concat(_mappings(w, "servlet-mapping", "servlet", "servlet-name", "servlet-class", False, 0, every), _mappings(w, "filter-mapping", "filter", "filter-name", "filter-class", True, 1_000_000, every))
+    mapped = web.select("input_id", "entry_name", F.explode(both).alias("m")).select("input_id", "entry_name", F.col("m.i").alias("i"), F.col("m.cls").alias("cls"), F.posexplode("m.patterns").alias("j", "pattern"))
+    placed = find_class(mapped, ctx.classes, "cls").join(ctx.inputs, "input_id")
+    pos = F.struct(F.col("entry_name").alias("file"), F.lit("").alias("archive"), F.col("i"), F.col("j"), F.lit(0).alias("k"))
+    rows = placed.select(*route(60, "Servlet", "XML", paths.servlet_pattern(F.col("pattern")), F.array().cast(EMPTY), F.col("cls"), F.lit(""), F.col("class_path"), F.col("archive_name"), pos))
     found = ctx.classes.withColumn("ann", F.try_element_at(F.filter("class_annotations", lambda a: a["type"].isin(*SERVLETS)), F.lit(1))).filter("ann IS NOT NULL")
     m = found.select("input_id", "archive_name", "file_path", "this_class", F.posexplode(F.filter(values(F.col("ann"), "value", "urlPatterns"), lambda p: p != "")).alias("i", "pattern"))
     pos = F.struct(F.col("file_path").alias("file"), F.col("archive_name").alias("archive"), (F.col("i") + 2_000_000).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("k"))
@@ -211,7 +231,7 @@ def servlet(ctx: Context, semantics: Semantics = DEFAULT) -> tuple[DataFrame, Da
     return rows.unionByName(marked), class_rows(found.drop("ann"), F.lit(""), 60)
 
 
-EXTRACTORS: tuple[RouteExtractor, ...] = (boot, spring, struts, webwork, jaxrs, servlet)
+EXTRACTORS: tuple[RouteExtractor, ...] = (boot_and_spring, struts, webwork, jaxrs, servlet)
 
 
 def extract(ctx: Context, semantics: Semantics = DEFAULT, extractors: tuple[RouteExtractor, ...] = EXTRACTORS) -> tuple[DataFrame, DataFrame]:
@@ -219,9 +239,6 @@ def extract(ctx: Context, semantics: Semantics = DEFAULT, extractors: tuple[Rout
     routes, classes = None, None
     for fn in extractors:
         r, c = fn(ctx, semantics)
-        if fn is spring and semantics.boot_supersedes_mvc:
-            flagged = ctx.manifests.filter(configs.is_boot(configs.manifest_main(F.col("manifest")))).select("input_id")
-            r = r.join(flagged, "input_id", "left_anti")
         routes = r if routes is None else routes.unionByName(r)
         if c is not None:
             classes = c if classes is None else classes.unionByName(c)

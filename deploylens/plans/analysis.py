@@ -72,7 +72,7 @@ def scan(spark: SparkSession, inputs: list[str], semantics: Semantics = DEFAULT)
         rows = archives.directory(spark, path, k, semantics)
         found = rows if found is None else found.unionByName(rows)
         names.append(os.path.basename(os.path.normpath(path)))
-    return found, spark.createDataFrame(list(enumerate(names)), "input_id int, archive_name string")
+    return found, spark.createDataFrame(list(enumerate(names)), "input_id long, archive_name string")
 
 
 def run(spark: SparkSession, inputs: list[str], output: str | None = None, semantics: Semantics = DEFAULT) -> Analysis:

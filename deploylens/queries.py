@@ -28,10 +28,7 @@ def query(sql: str | None = None, name: str | None = None):
     def add(fn):
         _QUERIES[name or fn.__name__] = fn
         if sql is not None:
-            whole = sql.replace("{P}", P)
-            if whole.startswith("SELECT CAST(k AS INTEGER) AS input_id"):
-                whole = whole.replace("UNION ALL SELECT k,", "UNION ALL SELECT CAST(k AS INTEGER),")
-            _SQL[name or fn.__name__] = whole
+            _SQL[name or fn.__name__] = sql.replace("{P}", P)
         return fn
 
     return add
@@ -117,7 +114,7 @@ def s_inner_pred(spark, sf):
     return strings(spark, sf, n=_NAME).select("k", paths.inner_archive(F.col("n")).alias("opens"))
 
 
-@query("SELECT k, CASE k % 5 WHEN 0 THEN 'lib/a' || k || '.jar' WHEN 1 THEN 'b.JAR' WHEN 2 THEN 'c.jar' WHEN 3 THEN 'x.jar.src/y' || k || '.jar.src/com/Z.java' ELSE 'p/q.java' END AS jar, CASE k % 5 WHEN 0 THEN 'lib/a' || k || '.jar.src' WHEN 1 THEN 'b.JAR.src' WHEN 2 THEN 'c.jar' WHEN 3 THEN 'x.jar.src/y' || k || '.jar.src/com/Z.java' ELSE 'p/q.java' END AS shown FROM {P}")
+@query("SELECT k, CASE k % 5 WHEN 0 THEN 'lib/a' || k || '.jar' WHEN 1 THEN 'b.JAR' WHEN 2 THEN 'c.jar' WHEN 3 THEN 'x.jar.src/y' || k || '.jar.src/com/Z.java' ELSE 'p/q.java' END AS jar, CASE k % 5 WHEN 0 THEN 'lib/a' || k || '.jar' WHEN 1 THEN 'b.JAR.src' WHEN 2 THEN 'c.jar' WHEN 3 THEN 'x.jar.src/y' || k || '.jar.src/com/Z.java' ELSE 'p/q.java' END AS shown FROM {P}")
 def s_jar_name_norm(spark, sf):
     return strings(spark, sf, n=_SRC).select("k", paths.jar_name(F.col("n")).alias("jar"), paths.jar_display(F.col("n")).alias("shown"))
 
@@ -132,11 +129,10 @@ def s_jarsrc_reroot(spark, sf):
 
 def wars(spark: SparkSession, sf: str) -> DataFrame:
     rows = synth.made(parts(spark, sf), lambda r: synth.archive(r["k"], r["brand"], r["size"]))
-    return rows.select(F.col("k").cast("int").alias("input_id"), F.concat(F.lit("app"), "k", F.lit(".war")).alias("archive_name"), F.col("data").alias("content"))
+    return rows.select(F.col("k").alias("input_id"), F.concat(F.lit("app"), "k", F.lit(".war")).alias("archive_name"), F.col("data").alias("content"))
 
 
 def entries(spark: SparkSession, sf: str, semantics=DEFAULT, kinds=archives.EVERY) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     return archives.entries(wars(spark, sf), kinds, semantics)
 
 
@@ -146,7 +142,7 @@ def held(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def inputs(spark: SparkSession, sf: str) -> DataFrame:
-    return parts(spark, sf).select(F.col("k").cast("int").alias("input_id"), F.concat(F.lit("app"), "k", F.lit(".war")).alias("archive_name"))
+    return parts(spark, sf).select(F.col("k").alias("input_id"), F.concat(F.lit("app"), "k", F.lit(".war")).alias("archive_name"))
 
 
 def context(spark: SparkSession, sf: str) -> R.Context:
@@ -227,36 +223,76 @@ _LITERALS_SQL = f"(SELECT literal, row_number() OVER (ORDER BY ord) - 1 AS i FRO
 JARS = f"(SELECT k, brand, size, literal, literal || '-' || size || '.' || (k % 4) || '.RELEASE.jar' AS jar FROM {P} p JOIN {_LITERALS_SQL} l ON p.k % 64 = l.i)"
 
 
-@query(f"SELECT CAST(k AS INTEGER) AS input_id, 'app' || k || '.war!' || jar AS jar_name FROM {JARS} UNION ALL SELECT k, 'WEB-INF/jstl.jar' FROM {P} UNION ALL SELECT k, 'app' || k || '.war!bad-1.0.jar' FROM {P} WHERE k % 13 = 0 UNION ALL SELECT k, 'app' || k || '.war!' || jar || '!deep.jar' FROM {JARS} WHERE k % 2 = 1 UNION ALL SELECT k, 'app' || k || '.war!' || jar || '!deep.jar!deeper.jar' FROM {JARS} WHERE k % 2 = 1")
+@query(f"SELECT k AS input_id, 'app' || k || '.war!' || jar AS jar_name FROM {JARS} UNION ALL SELECT k, 'app' || k || '.war!jstl.jar' FROM {P} UNION ALL SELECT k, 'app' || k || '.war!' || jar || '!deep.jar' FROM {JARS} WHERE k % 2 = 1 UNION ALL SELECT k, 'app' || k || '.war!' || jar || '!deep.jar!deeper.jar' FROM {JARS} WHERE k % 2 = 1")
 def s_archive_entries(spark, sf):
     return archives.jar_names(entries(spark, sf)).select("input_id", "jar_name")
 
 
-@query(f"SELECT CAST(k AS INTEGER) AS input_id, CAST(depth AS INTEGER) AS depth, CAST(n AS BIGINT) AS n FROM (SELECT k, 0 AS depth, 3 + CAST(k % 7 = 0 AS INT) + CAST(k % 5 = 0 AS INT) AS n FROM {P} UNION ALL SELECT k, 1, 2 FROM {P} UNION ALL SELECT k, 2, 1 FROM {P} WHERE k % 2 = 1)")
+@query(f"SELECT k AS input_id, CAST(depth AS INTEGER) AS depth, CAST(n AS BIGINT) AS n FROM (SELECT k, 0 AS depth, 3 + CAST(k % 7 = 0 AS INT) + CAST(k % 5 = 0 AS INT) AS n FROM {P} UNION ALL SELECT k, 1, 2 FROM {P} UNION ALL SELECT k, 2, 1 FROM {P} WHERE k % 2 = 1)")
 def s_nested_archive(spark, sf):
     return entries(spark, sf).filter("kind IN ('class', 'java')").groupBy("input_id", "depth").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, 'app' || k || '.war' AS archive_name, 'com/acme/DupOuter' AS this_class FROM {P}")
+@query("SELECT k AS input_id, 'app' || k || '.war' AS archive_name, 'com/acme/DupOuter' AS this_class FROM {P}")
 def s_keep_last(spark, sf):
     return archives.classes(entries(spark, sf)).filter("file_path = 'com/acme/Dup.class'").select("input_id", "archive_name", "this_class")
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, 'Broken.class' AS entry_name FROM {P} WHERE k % 7 = 0")
+@query("SELECT k AS input_id, 'Broken.class' AS entry_name FROM {P} WHERE k % 7 = 0")
 def s_parse_errors(spark, sf):
     return entries(spark, sf).filter("kind = 'class' AND error IS NOT NULL").select("input_id", "entry_name")
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, 'bad-1.0.jar' AS jar FROM {P} WHERE k % 13 = 0")
+@query("SELECT k AS input_id, 'bad-1.0.jar' AS jar FROM {P} WHERE k % 13 = 0")
 def s_corrupt_inner(spark, sf):
     return entries(spark, sf).filter("kind = 'archive'").select("input_id", F.regexp_extract("entry_name", "([^!]*)$", 1).alias("jar"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, CAST(k % 2 AS INTEGER) AS inner_wins FROM {P}")
+@query("SELECT k AS input_id, CAST(k % 2 AS INTEGER) AS inner_wins FROM {P}")
 def s_manifest_slot(spark, sf):
     return archives.manifests(entries(spark, sf)).select("input_id", F.startswith("manifest", F.lit("Inner")).cast("int").alias("inner_wins"))
 
 
+@query("SELECT k AS input_id, kind, CAST(least(n, 60) AS INTEGER) AS n FROM (SELECT k, 'xml' AS kind, 40 + k % 50 AS n FROM {P})")
+def s_xml_limit(spark, sf):
+    """Descriptors are cut at the limit for them."""
+    rows = synth.made(parts(spark, sf), lambda r: synth.zipped({"a.xml": b"x" * (40 + r["k"] % 50), "pom.xml": b"y"}))
+    found = archives.entries(rows.select(F.col("k").alias("input_id"), F.lit("a.jar").alias("archive_name"), F.col("data").alias("content")), xml_limit=60)
+    return found.select("input_id", "kind", F.length("data").alias("n"))
+
+
+def tree(r: dict) -> dict[str, bytes]:
+    """A directory: a class, a descriptor twice, archives good and bad, sources of an unpacked jar."""
+    k = r["k"]
+    inner = synth.zipped({"com/acme/Dup.class": bytecode.encode("com/acme/DupInner"), "conf/web.xml": b"<inner/>", "lib/spring-web-5.1.0.RELEASE.jar": synth.zipped({"com/acme/Deep.class": bytecode.encode(f"com/acme/Deep{k}")})})
+    return {
+        "com/acme/Dup.class": bytecode.encode("com/acme/DupOuter"), "b.jar.src.zip": inner, "bad.war": b"no zip", "conf/web.xml": b"<outer/>", "zconf/ok.xml": b"<ok/>",
+        f"x/guava-{k}.1.jar.src/in/y.JAR.SRC/com/A.java": b"package com; class A {}", "META-INF/MANIFEST.MF": f"K: {k}\n".encode(), "pom.xml": b"<p/>",
+    }
+
+
+def dir_trees(spark: SparkSession, sf: str) -> DataFrame:
+    import pyarrow as pa
+
+    def each(batches):
+        for batch in batches:
+            rows = [(r["k"], n, d) for r in batch.to_pylist() for n, d in tree(r).items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["input_id", "name", "content"])
+
+    return parts(spark, sf).mapInArrow(each, "input_id long, name string, content binary").select("input_id", F.lit("app").alias("archive_name"), "name", "content")
+
+
+@query("SELECT k AS input_id, kind, archive_name, name FROM {P} CROSS JOIN (VALUES ('jar', 'app', 'b.jar'), ('jar', 'b.jar', 'b.jar!spring-web-5.1.0.RELEASE.jar'), ('jar', 'app', 'bad.war'), ('archive', 'bad.war', 'bad.war'), ('jar', 'app', 'x/guava-@.1.jar'), ('jar', 'app', 'x/guava-@.1.jar.src/in/y.JAR'), ('manifest', 'app', 'META-INF/MANIFEST.MF'), ('class', 'app', 'com/acme/Dup.class'), ('class', 'b.jar!spring-web-5.1.0.RELEASE.jar', 'com/acme/Deep.class'), ('xml', 'app', 'conf/web.xml'), ('xml', 'app', 'zconf/ok.xml'), ('java', 'x/guava-@.1.jar.src', 'in/y.JAR.SRC/com/A.java')) v(kind, archive_name, name)".replace("archive_name, name FROM", "replace(archive_name, '@', CAST(k AS VARCHAR)) AS archive_name, replace(name, '@', CAST(k AS VARCHAR)) AS name FROM", 1))
+def s_dir_scan(spark, sf):
+    return archives.trees(dir_trees(spark, sf)).select("input_id", "kind", "archive_name", F.col("entry_name").alias("name"))
+
+
+@query("SELECT k AS input_id, name, version FROM {P} CROSS JOIN (VALUES ('Guava', ''), ('Spring Web', '5.1.0')) v(n, v0), LATERAL (SELECT n AS name, CASE WHEN n = 'Guava' THEN k || '.1' ELSE v0 END AS version)")
+def s_dir_components(spark, sf):
+    """An unpacked source tree and a jar within an archive of a directory both give their component."""
+    return detect.components(archives.jar_names(archives.trees(dir_trees(spark, sf)))).select("input_id", "name", "version")
+
+
 # class files ---------------------------------------------------------------------------------
 
 
@@ -330,9 +366,13 @@ def c_invisible_fallback(spark, sf):
     return d.select("k", F.col("class_annotations")[0]["type"].alias("type"))
 
 
-@query()
+_CUT = "(SELECT k, k % 18 AS cut FROM {P})"
+
+
+@query(f"SELECT k, CASE WHEN cut < 11 THEN 'com/acme/Cut' || k ELSE '' END AS this_class, CASE WHEN cut < 9 THEN 'java/lang/Object' ELSE '' END AS super_class, CAST(CASE WHEN cut < 13 THEN 33 ELSE 0 END AS INTEGER) AS access FROM {_CUT} WHERE cut < 15")
 def c_truncation(spark, sf):
-    return decoded(spark, sf, lambda r: synth.spring_class(r["k"], r["brand"])[: 40 + r["k"] % 400] or b"\xca\xfe\xba\xbe").select("k", "this_class")
+    """A file cut within its last counts still parses, as what is missing reads as zero; one cut within a constant does not."""
+    return decoded(spark, sf, lambda r: (lambda d: d[: len(d) - r["k"] % 18])(bytecode.encode(f"com/acme/Cut{r['k']}"))).select("k", "this_class", "super_class", "access")
 
 
 # sources -------------------------------------------------------------------------------------
@@ -388,28 +428,28 @@ def j_ann_resolve(spark, sf):
 
 def xml(spark: SparkSession, sf: str, fn, name: str) -> DataFrame:
     d = synth.made(parts(spark, sf), lambda r: fn(r["k"]).encode())
-    return d.select(F.col("k").cast("int").alias("input_id"), F.lit(name).alias("entry_name"), F.col("data").cast("string").alias("xml"))
+    return d.select(F.col("k").alias("input_id"), F.lit(name).alias("entry_name"), F.col("data").cast("string").alias("xml"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, name, pattern FROM (SELECT k, 's' || k AS name, 's/' || k AS pattern FROM {P} UNION ALL SELECT k, 'ghost', '*.g' FROM {P})")
+@query("SELECT k AS input_id, name, pattern FROM (SELECT k, 's' || k AS name, 's/' || k AS pattern FROM {P} UNION ALL SELECT k, 'ghost', '*.g' FROM {P})")
 def x_webxml(spark, sf):
     m = xml(spark, sf, synth.web_xml, "web.xml").select("input_id", F.explode(configs.web_xml(F.col("xml"))["servlet-mapping"]).alias("m"))
     return m.select("input_id", F.col("m.`servlet-name`").alias("name"), F.col("m.`url-pattern`").alias("pattern"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, 's' || k AS name, '/one,s/' || k AS patterns FROM {P} UNION ALL SELECT k, 'ghost', '*.g' FROM {P}")
+@query("SELECT k AS input_id, 's' || k AS name, '/one,s/' || k AS patterns FROM {P} UNION ALL SELECT k, 'ghost', '*.g' FROM {P}")
 def x_webxml_all(spark, sf):
     m = xml(spark, sf, synth.web_xml, "web.xml").select("input_id", F.explode(configs.web_xml(F.col("xml"), True)["servlet-mapping"]).alias("m"))
     return m.select("input_id", F.col("m.`servlet-name`").alias("name"), F.array_join("m.`url-pattern`", ",").alias("patterns"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, k % 5 = 0 AS struts FROM {P}")
+@query("SELECT k AS input_id, k % 5 = 0 AS struts FROM {P}")
 def x_struts_filter(spark, sf):
     return xml(spark, sf, synth.web_xml, "web.xml").select("input_id", configs.has_struts_filter(configs.web_xml(F.col("xml"))).alias("struts"))
 
 
 _NS = "CASE WHEN k % 2 = 0 THEN '/' ELSE '/n' || (k % 7) END"
-_ACTIONS = f"SELECT CAST(k AS INTEGER) AS input_id, 'p' || k AS package, {_NS} AS namespace, 'a' || k || '_*' AS name, 'com.acme.act.Act' || k AS action_class, 'do' || (k % 3) AS method, CASE WHEN k % 2 = 0 THEN '' ELSE '/n' || (k % 7) END || '/a' || k || '_{{wildcard}}.action' AS url FROM {{P}} UNION ALL SELECT k, 'p' || k, {_NS}, 'b' || k, 'com.acme.act.Act' || k, 'execute', CASE WHEN k % 2 = 0 THEN '' ELSE '/n' || (k % 7) END || '/b' || k || '.action' FROM {{P}}"
+_ACTIONS = f"SELECT k AS input_id, 'p' || k AS package, {_NS} AS namespace, 'a' || k || '_*' AS name, 'com.acme.act.Act' || k AS action_class, 'do' || (k % 3) AS method, CASE WHEN k % 2 = 0 THEN '' ELSE '/n' || (k % 7) END || '/a' || k || '_{{wildcard}}.action' AS url FROM {{P}} UNION ALL SELECT k, 'p' || k, {_NS}, 'b' || k, 'com.acme.act.Act' || k, 'execute', CASE WHEN k % 2 = 0 THEN '' ELSE '/n' || (k % 7) END || '/b' || k || '.action' FROM {{P}}"
 
 
 @query(_ACTIONS)
@@ -486,11 +526,11 @@ def x_spring_beans(spark, sf):
 def alone(spark, sf, classes: DataFrame | None = None, files: DataFrame | None = None) -> R.Context:
     """A context of decoded classes and files without archives."""
     if classes is not None:
-        classes = classes.withColumn("input_id", F.col("k").cast("int")).withColumn("archive_name", F.concat(F.lit("app"), "k", F.lit(".war"))).withColumn("file_path", F.concat("this_class", F.lit(".class")))
+        classes = classes.withColumn("input_id", F.col("k")).withColumn("archive_name", F.concat(F.lit("app"), "k", F.lit(".war"))).withColumn("file_path", F.concat("this_class", F.lit(".class")))
     else:
-        classes = spark.createDataFrame([], f"k long, this_class string, super_class string, class_annotations array<{ANNOTATION}>, methods array<{METHOD}>, input_id int, archive_name string, file_path string")
-    heads_ = heads(spark, sf).select(F.col("k").cast("int").alias("input_id"), F.col("text").alias("manifest"))
-    return R.Context(classes, files if files is not None else spark.createDataFrame([], "input_id int, entry_name string, xml string"), heads_, inputs(spark, sf))
+        classes = spark.createDataFrame([], f"k long, this_class string, super_class string, class_annotations array<{ANNOTATION}>, methods array<{METHOD}>, input_id long, archive_name string, file_path string")
+    heads_ = heads(spark, sf).select(F.col("k").alias("input_id"), F.col("text").alias("manifest"))
+    return R.Context(classes, files if files is not None else spark.createDataFrame([], "input_id long, entry_name string, xml string"), heads_, inputs(spark, sf))
 
 
 def shown(routes: DataFrame) -> DataFrame:
@@ -501,7 +541,7 @@ def _spring_sql(framework: str, where: str = "true") -> str:
     tail = f"'com.acme.web.Part' || k AS class_name, {{m}} AS method_name, '{framework}' AS framework, 'com/acme/web/Part' || k || '.class' AS source_file FROM {{{{P}}}} WHERE {where}"
     verb = "CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN 'GET' WHEN 2 THEN 'POST' WHEN 3 THEN 'PUT' WHEN 4 THEN 'DELETE' ELSE 'PATCH' END"
     rows = [("'/' || brand || '/' || k", verb, "'one'"), ("'/' || brand || '/list'", "'GET'", "'many'"), ("'/' || brand || '/all'", "'GET'", "'many'")]
-    return " UNION ALL ".join(f"SELECT CAST(k AS INTEGER) AS input_id, {u} AS url, {v} AS verbs, {tail.format(m=m)}" for u, v, m in rows).replace("{{P}}", "{P}").replace("{{P}}", "{P}")
+    return " UNION ALL ".join(f"SELECT k AS input_id, {u} AS url, {v} AS verbs, {tail.format(m=m)}" for u, v, m in rows).replace("{{P}}", "{P}").replace("{{P}}", "{P}")
 
 
 @query(_spring_sql("Spring MVC"))
@@ -520,7 +560,7 @@ def e_boot_dup(spark, sf):
     return shown(R.boot(alone(spark, sf, spring_classes(spark, sf)))[0])
 
 
-_ACTION_ROUTES = "SELECT CAST(k AS INTEGER) AS input_id, CASE WHEN k % 2 = 0 THEN '' ELSE '/n' || (k % 7) END || '/a' || k || '_{wildcard}.action' AS url, '' AS verbs, 'com.acme.act.Act' || k AS class_name, 'do' || (k % 3) AS method_name, '@F' AS framework, 'com/acme/act/Act' || k || '.class' AS source_file FROM {P} UNION ALL SELECT k, CASE WHEN k % 2 = 0 THEN '' ELSE '/n' || (k % 7) END || '/b' || k || '.action', '', 'com.acme.act.Act' || k, 'execute', '@F', 'com/acme/act/Act' || k || '.class' FROM {P}"
+_ACTION_ROUTES = "SELECT k AS input_id, CASE WHEN k % 2 = 0 THEN '' ELSE '/n' || (k % 7) END || '/a' || k || '_{wildcard}.action' AS url, '' AS verbs, 'com.acme.act.Act' || k AS class_name, 'do' || (k % 3) AS method_name, '@F' AS framework, 'com/acme/act/Act' || k || '.class' AS source_file FROM {P} UNION ALL SELECT k, CASE WHEN k % 2 = 0 THEN '' ELSE '/n' || (k % 7) END || '/b' || k || '.action', '', 'com.acme.act.Act' || k, 'execute', '@F', 'com/acme/act/Act' || k || '.class' FROM {P}"
 
 
 @query(_ACTION_ROUTES.replace("@F", "Struts2"))
@@ -528,7 +568,7 @@ def e_struts_xml(spark, sf):
     return shown(R.struts(alone(spark, sf, files=xml(spark, sf, lambda k: synth.actions_xml(k, "struts"), "struts.xml")))[0])
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, '/ns/run' || k AS url, '' AS verbs, 'com.acme.act.Act' || k AS class_name, 'run' AS method_name, 'Struts2' AS framework, 'com/acme/act/Act' || k || '.class' AS source_file FROM {P}")
+@query("SELECT k AS input_id, '/ns/run' || k AS url, '' AS verbs, 'com.acme.act.Act' || k AS class_name, 'run' AS method_name, 'Struts2' AS framework, 'com/acme/act/Act' || k || '.class' AS source_file FROM {P}")
 def e_struts_ann(spark, sf):
     return shown(R.struts(alone(spark, sf, decoded(spark, sf, lambda r: synth.struts_class(r["k"]))))[0])
 
@@ -538,7 +578,7 @@ def e_webwork(spark, sf):
     return shown(R.webwork(alone(spark, sf, files=xml(spark, sf, lambda k: synth.actions_xml(k, "xwork"), "conf/xwork.xml")))[0])
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, '/res' || k || '/{id}/' || k AS url, 'GET' AS verbs, 'com.acme.rest.Res' || k AS class_name, 'get' AS method_name, 'JAX-RS' AS framework, 'com/acme/rest/Res' || k || '.class' AS source_file FROM {P} UNION ALL SELECT k, '/res' || k, 'DELETE', 'com.acme.rest.Res' || k, 'del', 'JAX-RS', 'com/acme/rest/Res' || k || '.class' FROM {P}")
+@query("SELECT k AS input_id, '/res' || k || '/{id}/' || k AS url, 'GET' AS verbs, 'com.acme.rest.Res' || k AS class_name, 'get' AS method_name, 'JAX-RS' AS framework, 'com/acme/rest/Res' || k || '.class' AS source_file FROM {P} UNION ALL SELECT k, '/res' || k, 'DELETE', 'com.acme.rest.Res' || k, 'del', 'JAX-RS', 'com/acme/rest/Res' || k || '.class' FROM {P}")
 def e_jaxrs(spark, sf):
     return shown(R.jaxrs(alone(spark, sf, decoded(spark, sf, lambda r: synth.jaxrs_class(r["k"]))))[0])
 
@@ -547,22 +587,22 @@ def web_routes(spark, sf, semantics=DEFAULT) -> DataFrame:
     return shown(R.servlet(alone(spark, sf, files=xml(spark, sf, synth.web_xml, "WEB-INF/web.xml")), semantics)[0])
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, '/s/' || k AS url, '' AS verbs, 'com.acme.web.S' || k AS class_name, '' AS method_name, 'Servlet' AS framework, 'com/acme/web/S' || k || '.class' AS source_file FROM {P} UNION ALL SELECT k, '/*.g', '', '', '', 'Servlet', '' FROM {P}")
+@query("SELECT k AS input_id, '/s/' || k AS url, '' AS verbs, 'com.acme.web.S' || k AS class_name, '' AS method_name, 'Servlet' AS framework, 'com/acme/web/S' || k || '.class' AS source_file FROM {P} UNION ALL SELECT k, '/*.g', '', '', '', 'Servlet', '' FROM {P}")
 def e_servlet_join(spark, sf):
     return web_routes(spark, sf).filter("class_name = '' OR class_name LIKE 'com.acme%'")
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, '/' AS url, '' AS verbs, 'lonely' AS class_name, '' AS method_name, 'Servlet' AS framework, 'lonely.class' AS source_file FROM {P} UNION ALL SELECT k, '/*', '', 'org.apache.struts2.dispatcher.FilterDispatcher', '', 'Servlet', 'org/apache/struts2/dispatcher/FilterDispatcher.class' FROM {P} WHERE k % 5 = 0")
+@query("SELECT k AS input_id, '/' AS url, '' AS verbs, 'lonely' AS class_name, '' AS method_name, 'Servlet' AS framework, 'lonely.class' AS source_file FROM {P} UNION ALL SELECT k, '/*', '', 'org.apache.struts2.dispatcher.FilterDispatcher', '', 'Servlet', 'org/apache/struts2/dispatcher/FilterDispatcher.class' FROM {P} WHERE k % 5 = 0")
 def e_filter_join(spark, sf):
     return web_routes(spark, sf).filter("class_name <> '' AND class_name NOT LIKE 'com.acme%'")
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, u AS url, '' AS verbs, 'com.acme.src.Src' || k AS class_name, '' AS method_name, 'Servlet' AS framework, 'com/acme/src/Src' || k || '.class' AS source_file FROM (SELECT k, '/src/' || k AS u FROM {P} UNION ALL SELECT k, '/*.p' || (k % 5) FROM {P})")
+@query("SELECT k AS input_id, u AS url, '' AS verbs, 'com.acme.src.Src' || k AS class_name, '' AS method_name, 'Servlet' AS framework, 'com/acme/src/Src' || k || '.class' AS source_file FROM (SELECT k, '/src/' || k AS u FROM {P} UNION ALL SELECT k, '/*.p' || (k % 5) FROM {P})")
 def e_webservlet(spark, sf):
     return shown(R.servlet(alone(spark, sf, sources(spark, sf)))[0])
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, 'com.acme.web.Part' || k AS full_name, 'com.acme.web' AS package, 'java.lang.Object' AS super_class, CASE WHEN k % 2 = 0 THEN '@Controller,@RequestMapping' ELSE '@RestController,@RequestMapping' END AS annotations, CASE WHEN k % 2 = 0 THEN '@Controller' ELSE '@RestController' END AS spring_type FROM {P}")
+@query("SELECT k AS input_id, 'com.acme.web.Part' || k AS full_name, 'com.acme.web' AS package, 'java.lang.Object' AS super_class, CASE WHEN k % 2 = 0 THEN '@Controller,@RequestMapping' ELSE '@RestController,@RequestMapping' END AS annotations, CASE WHEN k % 2 = 0 THEN '@Controller' ELSE '@RestController' END AS spring_type FROM {P}")
 def e_class_rows(spark, sf):
     c = R.spring(alone(spark, sf, spring_classes(spark, sf)))[1]
     return c.select("input_id", "full_name", "package", "super_class", F.array_join("annotations", ",").alias("annotations"), "spring_type")
@@ -571,7 +611,7 @@ def e_class_rows(spark, sf):
 @query("SELECT k, CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'com/acme/web/Part' || k || '.class' ELSE 'gone/X' || k || '.class' END AS class_path FROM {P}")
 def e_find_class(spark, sf):
     classes = alone(spark, sf, spring_classes(spark, sf)).classes
-    names = strings(spark, sf, n="CASE k % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'com.acme.web.Part' || k ELSE 'gone.X' || k END").withColumn("input_id", F.col("k").cast("int"))
+    names = strings(spark, sf, n="CASE k % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'com.acme.web.Part' || k ELSE 'gone.X' || k END").withColumn("input_id", F.col("k"))
     return R.find_class(names, classes, "n").select("k", "class_path")
 
 
@@ -586,7 +626,7 @@ def p_has_mapping(spark, sf):
     return spring_classes(spark, sf).select("k", F.explode("methods").alias("m")).select("k", "m.name", R.has_mapping(F.col("m.annotations")).alias("mapped"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, true AS spring, true AS rest, k % 3 = 0 AND k % 2 = 0 AS boot, k % 11 = 0 AS webwork FROM {P}")
+@query("SELECT k AS input_id, true AS spring, true AS rest, k % 3 = 0 AND k % 2 = 0 AS boot, k % 11 = 0 AS webwork FROM {P}")
 def p_can_handle(spark, sf):
     ctx = context(spark, sf)
     a = F.col("class_annotations")
@@ -606,7 +646,7 @@ def jars(spark: SparkSession, sf: str) -> DataFrame:
     names = parts(spark, sf)
     table = F.array(*map(F.lit, synth.LITERALS))
     jar = F.concat(F.element_at(table, (F.col("k") % len(synth.LITERALS) + 1).cast("int")), F.lit("-"), "size", F.lit("."), F.col("k") % 4, F.lit(".RELEASE.jar"))
-    return names.select(F.col("k").cast("int").alias("input_id"), F.lit(1).cast("long").alias("visit_seq"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("app.war!"), jar)).otherwise(F.concat(F.lit("lib/"), jar)).alias("jar_name"))
+    return names.select(F.col("k").alias("input_id"), F.lit(1).cast("long").alias("visit_seq"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("app.war!"), jar)).otherwise(F.concat(F.lit("lib/"), jar)).alias("jar_name"))
 
 
 @query(f"SELECT CAST(p.k AS BIGINT) AS k, c.component, c.category FROM {P} p JOIN {_CATALOG_SQL} c ON p.k % 65 = c.ord")
@@ -615,23 +655,23 @@ def d_catalog(spark, sf):
     return p.join(detect.catalog(spark), "ord").select("k", "component", "category")
 
 
-@query(f"SELECT CAST(k AS INTEGER) AS input_id, component AS name, category AS type, version, CASE WHEN k % 2 = 0 THEN 'app.war!' ELSE 'lib/' END || jar AS source FROM {_FOUND}")
+@query(f"SELECT k AS input_id, component AS name, category AS type, version, CASE WHEN k % 2 = 0 THEN 'app.war!' ELSE 'lib/' END || jar AS source FROM {_FOUND}")
 def d_components(spark, sf):
     return detect.components(jars(spark, sf)).filter("type <> 'Utility' OR version <> ''").select("input_id", "name", "type", "version", F.array_join("jars", ", ").alias("source"))
 
 
-@query(f"SELECT CAST(k AS INTEGER) AS input_id, component AS name, version FROM {_FOUND} WHERE k % 2 = 1")
+@query(f"SELECT k AS input_id, component AS name, version FROM {_FOUND} WHERE k % 2 = 1")
 def d_components_reference(spark, sf):
     return detect.components(jars(spark, sf), reference()).filter("version <> ''").select("input_id", "name", "version")
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, CASE k % 4 WHEN 0 THEN 'Servlet API' WHEN 1 THEN 'ASM' WHEN 2 THEN 'BouncyCastle PKIX' ELSE 'JavaMail' END AS name, 'Utility' AS type, '' AS version FROM {P} WHERE k % 5 <> 0")
+@query("SELECT k AS input_id, CASE k % 4 WHEN 0 THEN 'Servlet API' WHEN 1 THEN 'ASM' WHEN 2 THEN 'BouncyCastle PKIX' ELSE 'JavaMail' END AS name, 'Utility' AS type, '' AS version FROM {P} WHERE k % 5 <> 0")
 def d_unversioned(spark, sf):
     d = strings(spark, sf, jar_name="CASE WHEN k % 5 = 0 THEN 'mailx.zip' ELSE CASE k % 4 WHEN 0 THEN 'x/servlet-api.jar' WHEN 1 THEN 'ASM-' || k || '.jar' WHEN 2 THEN 'bcpkix.jar' ELSE 'mail.JAR' END END")
-    return detect.components(d.select(F.col("k").cast("int").alias("input_id"), F.lit(0).cast("long").alias("visit_seq"), "jar_name")).select("input_id", "name", "type", "version")
+    return detect.components(d.select(F.col("k").alias("input_id"), F.lit(0).cast("long").alias("visit_seq"), "jar_name")).select("input_id", "name", "type", "version")
 
 
-@query(f"SELECT CAST(k AS INTEGER) AS input_id, component, version || '.RELEASE' AS version FROM {_FOUND} WHERE component IN ('Spring Boot', 'Spring MVC', 'Spring Web', 'Struts2', 'JAX-RS', 'Tomcat')")
+@query(f"SELECT k AS input_id, component, version || '.RELEASE' AS version FROM {_FOUND} WHERE component IN ('Spring Boot', 'Spring MVC', 'Spring Web', 'Struts2', 'JAX-RS', 'Tomcat')")
 def d_version_lookup(spark, sf):
     return detect.jar_versions(jars(spark, sf))
 
@@ -639,23 +679,42 @@ def d_version_lookup(spark, sf):
 _BOOT = "k % 3 = 0 AND k % 2 = 0"
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, name, CAST(confidence AS INTEGER) AS confidence FROM (SELECT k, 'Spring Boot' AS name, 95 AS confidence FROM {P} WHERE " + _BOOT + " UNION ALL SELECT k, 'Spring MVC', 90 FROM {P} UNION ALL SELECT k, 'Struts2', 90 FROM {P} WHERE k % 4 = 0 UNION ALL SELECT k, 'WebWork', 85 FROM {P} WHERE k % 11 = 0 UNION ALL SELECT k, 'JAX-RS', 85 FROM {P} UNION ALL SELECT k, 'Servlet', 80 FROM {P})")
+@query("SELECT k AS input_id, name, CAST(confidence AS INTEGER) AS confidence FROM (SELECT k, 'Spring Boot' AS name, 95 AS confidence FROM {P} WHERE " + _BOOT + " UNION ALL SELECT k, 'Spring MVC', 90 FROM {P} UNION ALL SELECT k, 'Struts2', 90 FROM {P} WHERE k % 4 = 0 UNION ALL SELECT k, 'WebWork', 85 FROM {P} WHERE k % 11 = 0 UNION ALL SELECT k, 'JAX-RS', 85 FROM {P} UNION ALL SELECT k, 'Servlet', 80 FROM {P})")
 def d_frameworks(spark, sf):
     found = held(spark, sf)
     ctx = analysis.context(found, inputs(spark, sf))
     return detect.frameworks(ctx, archives.jar_names(found)).select("input_id", "name", "confidence")
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, 'struts-1.xml;struts-2.xml;struts-3.xml' AS evidence FROM {P}")
+_V = "size || '.' || (k % 4) || '.RELEASE'"
+
+
+@query(f"SELECT k AS input_id, name, version, evidence FROM (SELECT k, 'Spring MVC' AS name, CASE WHEN literal IN ('spring-webmvc', 'spring-web') THEN {_V} ELSE '' END AS version, '@Controller/@RestController annotations found' AS evidence FROM {JARS} UNION ALL SELECT k, 'JAX-RS', CASE WHEN literal IN ('javax.ws.rs-api', 'jakarta.ws.rs-api') THEN {_V} ELSE '' END, '@Path annotations found on resource classes' FROM {JARS} UNION ALL SELECT k, 'Servlet', CASE WHEN literal = 'tomcat-embed-core' THEN 'Tomcat ' || {_V} ELSE '' END, 'WEB-INF/web.xml; @WebServlet on com/acme/src/Src' || k FROM {JARS} UNION ALL SELECT k, 'WebWork', '2.x', CASE WHEN k % 5 = 0 THEN 'xwork-a.xml; ActionSupport subclass: com/acme/act/Act' || k ELSE 'xwork-a.xml' END FROM {JARS} WHERE k % 11 = 0)")
+def d_framework_evidence(spark, sf):
+    found = held(spark, sf)
+    rows = detect.frameworks(analysis.context(found, inputs(spark, sf)), archives.jar_names(found)).filter("name IN ('Spring MVC', 'JAX-RS', 'Servlet', 'WebWork')")
+    return rows.select("input_id", "name", "version", F.array_join("evidence", "; ").alias("evidence"))
+
+
+@query("SELECT k AS input_id, name, evidence FROM {P} CROSS JOIN (VALUES ('Eway Framework', 'com/eway/xwork-b.xml; Eway base class: com/eway/framework/Base'), ('WebWork', 'com/eway/xwork-b.xml; ActionSupport subclass: com/eway/framework/Base')) v(name, evidence)")
+def d_eway(spark, sf):
+    """A framework that is known by its classes and files."""
+    classes = decoded(spark, sf, lambda r: bytecode.encode("com/eway/framework/Base", "com/opensymphony/xwork/ActionSupport"))
+    files = parts(spark, sf).select(F.col("k").alias("input_id"), F.lit("com/eway/xwork-b.xml").alias("entry_name"), F.lit("<xwork/>").alias("xml"))
+    empty = spark.createDataFrame([], "input_id long, visit_seq long, jar_name string")
+    return detect.frameworks(alone(spark, sf, classes, files), empty).filter("name IN ('Eway Framework', 'WebWork')").select("input_id", "name", F.array_join("evidence", "; ").alias("evidence"))
+
+
+@query("SELECT k AS input_id, 'struts-1.xml;struts-2.xml;struts-3.xml' AS evidence FROM {P}")
 def d_evidence_topk(spark, sf):
-    files = parts(spark, sf).select(F.col("k").cast("int").alias("input_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("input_id", F.concat(F.lit("struts-"), "i", F.lit(".xml")).alias("entry_name"), F.lit("<struts/>").alias("xml"))
-    empty = spark.createDataFrame([], "input_id int, visit_seq long, jar_name string")
+    files = parts(spark, sf).select(F.col("k").alias("input_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("input_id", F.concat(F.lit("struts-"), "i", F.lit(".xml")).alias("entry_name"), F.lit("<struts/>").alias("xml"))
+    empty = spark.createDataFrame([], "input_id long, visit_seq long, jar_name string")
     return detect.frameworks(alone(spark, sf, files=files), empty).filter("name = 'Struts2'").select("input_id", F.array_join("evidence", ";").alias("evidence"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS input_id, CASE WHEN k % 3 = 0 THEN 'Spring Boot' ELSE 'Unknown' END AS name FROM {P}")
+@query("SELECT k AS input_id, CASE WHEN k % 3 = 0 THEN 'Spring Boot' ELSE 'Unknown' END AS name FROM {P}")
 def d_gate(spark, sf):
-    empty = spark.createDataFrame([], "input_id int, visit_seq long, jar_name string")
+    empty = spark.createDataFrame([], "input_id long, visit_seq long, jar_name string")
     return detect.frameworks(alone(spark, sf), empty).select("input_id", "name")
 
 
@@ -708,33 +767,33 @@ def i_summary(spark, sf):
     return index.summary(deduped, index.controllers(rows, _AT), classes, parts_)
 
 
-def numbered(df: DataFrame, *order) -> DataFrame:
-    """Rows with their place in the order: a rank within each first letter, so that no single task numbers all."""
-    return df.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order)).cast("long"))
+def numbered(df: DataFrame, part: str, order: list) -> DataFrame:
+    """Rows with their place in the order that the sinks write them in, within each value of ``part``, so that no task numbers all."""
+    return df.withColumn("n", F.row_number().over(Window.partitionBy(part).orderBy(*order)).cast("long"))
 
 
-@query(f"SELECT url, verb AS verbs, class_name, row_number() OVER (PARTITION BY framework ORDER BY url, verb, class_name, method_name) AS n FROM (SELECT DISTINCT url, verb, class_name, method_name, framework FROM ({_L}))")
+@query(f"SELECT url, verb AS verbs, class_name, row_number() OVER (PARTITION BY class_name ORDER BY url, verb, class_name, framework, method_name, archive_name) AS n FROM (SELECT DISTINCT url, verb, class_name, method_name, framework, archive_name FROM ({_L}))")
 def o_routes(spark, sf):
-    d = route_rows(spark, sf).select("url", F.array_join("http_methods", ",").alias("verbs"), "class_name", "method_name", F.col("framework").alias("part")).distinct()
-    return numbered(d, "url", "verbs", "class_name", "method_name").select("url", "verbs", "class_name", "n")
+    d = route_rows(spark, sf).select("url", "http_methods", "class_name", "method_name", "framework", "archive_name").distinct()
+    return numbered(d, "class_name", index.route_order()).select("url", F.array_join("http_methods", ",").alias("verbs"), "class_name", "n")
 
 
-@query("SELECT package, full_name, row_number() OVER (PARTITION BY package ORDER BY full_name) AS n FROM (SELECT 'com.' || brand AS package, 'com.' || brand || '.C' || k AS full_name FROM {P})")
+@query("SELECT package, full_name, row_number() OVER (PARTITION BY package ORDER BY full_name, archive_name) AS n FROM (SELECT 'com.' || brand AS package, 'com.' || brand || '.C' || (k % 50) AS full_name, 'a' || k AS archive_name FROM {P})")
 def o_classes(spark, sf):
-    d = strings(spark, sf, package="'com.' || brand", full_name="'com.' || brand || '.C' || k").withColumn("part", F.col("package"))
-    return numbered(d, "full_name").select("package", "full_name", "n")
+    d = strings(spark, sf, package="'com.' || brand", full_name="'com.' || brand || '.C' || (k % 50)", archive_name="'a' || k")
+    return numbered(d, "package", index.class_order()).select("package", "full_name", "n")
 
 
 @query(f"SELECT type, name, row_number() OVER (PARTITION BY type ORDER BY name) AS n FROM (SELECT DISTINCT category AS type, component AS name FROM {_FOUND})")
 def o_components(spark, sf):
-    d = index.merge_components(detect.components(jars(spark, sf)).filter("version <> ''"), ["input_id", "name"]).withColumn("part", F.col("type"))
-    return numbered(d, "name").select("type", "name", "n")
+    d = index.merge_components(detect.components(jars(spark, sf)).filter("version <> ''"), ["input_id", "name"])
+    return numbered(d, "type", index.component_order()).select("type", "name", "n")
 
 
-@query(f"SELECT framework, class_name, row_number() OVER (PARTITION BY framework ORDER BY class_name) AS n FROM (SELECT DISTINCT class_name, framework FROM ({_L}))")
+@query(f"SELECT framework, class_name, row_number() OVER (PARTITION BY framework, left(class_name, 4) ORDER BY class_name) AS n FROM (SELECT DISTINCT class_name, framework FROM ({_L}))")
 def o_controllers(spark, sf):
-    d = index.controllers(route_rows(spark, sf), _AT).withColumn("part", F.col("framework"))
-    return numbered(d, "class_name").select("framework", "class_name", "n")
+    d = index.controllers(route_rows(spark, sf), _AT).withColumn("part", F.concat("framework", F.substring("class_name", 1, 4)))
+    return numbered(d, "part", index.controller_order()).select("framework", "class_name", "n")
 
 
 # views ---------------------------------------------------------------------------------------
@@ -757,7 +816,7 @@ def k_classes_view(spark, sf):
 
 @query("SELECT 'Spring Boot' AS FRAMEWORK, '2.' || (k % 10) || '.0' AS VERSION, 95 AS CONFIDENCE, 'BOOT-INF directory found; MANIFEST.MF Spring-Boot headers' AS EVIDENCE FROM {P} WHERE k % 3 = 0")
 def k_frameworks_view(spark, sf):
-    empty = spark.createDataFrame([], "input_id int, visit_seq long, jar_name string")
+    empty = spark.createDataFrame([], "input_id long, visit_seq long, jar_name string")
     return sinks.frameworks_view(detect.frameworks(alone(spark, sf), empty).filter("name <> 'Unknown'"))
 
 

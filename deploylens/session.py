@@ -6,14 +6,14 @@ from pyspark.sql import SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
-    """Adaptive execution on, UTC, short Arrow batches as rows may hold whole archives."""
+    """Adaptive execution on, UTC, Arrow batches bounded by their bytes, as rows may hold whole archives."""
     builder = SparkSession.builder.appName("deploylens")
     if master:
         builder = builder.master(master)
     defaults = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     }
     for key, value in {**defaults, **conf}.items():

@@ -1,7 +1,8 @@
 """Archives and directories as rows of entries.
 
 One task walks one archive: nested archives are opened where they stand, classes and sources are parsed on the spot, so no raw class bytes
-leave the worker. ``visit_seq`` numbers entries as they are met, ``close_seq`` archives as they end."""
+leave the worker. ``visit_seq`` numbers entries as they are met, ``close_seq`` archives as they end. Of classes, descriptors and manifests
+that share a name within an input the last counts; the walk marks the others as superseded, so nothing is shuffled to find them."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -23,7 +24,8 @@ from ..functions import bytecode, java_source, paths
 from ..semantics import DEFAULT, Semantics
 
 ENTRY_LIMIT, XML_LIMIT, MEMORY_LIMIT = 500 << 20, 10 << 20, 100 << 20
-_JAR_SRC = re.compile(r"(?i)(\.jar)\.src(\.zip)?\Z")
+_JAR_SRC = re.compile(r"(?i)(\.jar)\.src(?:\.zip)?\Z")
+_JAR_SRC_ZIP = re.compile(r"(?i)(\.jar)\.src\.zip\Z")
 
 
 def _kind(name: str) -> str:
@@ -52,170 +54,178 @@ def parsed_row(kind: str, data: bytes, semantics: Semantics) -> tuple[dict | Non
 class Walk:
     """The entries of one archive, its inner archives included."""
 
-    def __init__(self, input_id: int, kinds: frozenset[str], semantics: Semantics):
-        self.input_id, self.kinds, self.semantics = input_id, kinds, semantics
+    def __init__(self, input_id, kinds: frozenset[str], semantics: Semantics, xml_limit: int = XML_LIMIT):
+        self.input_id, self.kinds, self.semantics, self.xml_limit = input_id, kinds, semantics, xml_limit
         self.visits = self.closes = 0
+        self.last: dict[tuple, dict] = {}
 
     def row(self, archive: str, depth: int, name: str, kind: str, **more) -> dict:
         self.visits += 1
-        return {"input_id": self.input_id, "archive_name": archive, "depth": depth, "visit_seq": self.visits, "close_seq": 0, "entry_name": name, "kind": kind, "data": None, "parsed": None, "error": None, **more}
+        return {"input_id": self.input_id, "archive_name": archive, "depth": depth, "visit_seq": self.visits, "close_seq": 0, "entry_name": name, "kind": kind, "data": None, "parsed": None, "error": None, "superseded": False, **more}
 
-    def archive(self, source, name: str, depth: int) -> Iterator[dict]:
+    def counts(self, key: tuple, row: dict) -> dict:
+        """``row``, which takes the place of an earlier one of its key."""
+        if key in self.last:
+            self.last[key]["superseded"] = True
+        self.last[key] = row
+        return row
+
+    def all(self, source, name: str, depth: int = 0) -> list[dict]:
         """Rows of an archive; one that can't be read is a row with an error."""
-        most = self.semantics.max_depth
-        if most is not None and depth > most:
-            return
         try:
             opened = zipfile.ZipFile(source)
         except (zipfile.BadZipFile, OSError, ValueError) as e:
-            yield self.row(name, depth, name, "archive", error=f"unreadable: {e}")
+            return [self.row(name, depth, name, "archive", error=f"unreadable: {e}")]
+        return list(self.entries(opened, name, depth))
+
+    def entries(self, opened: zipfile.ZipFile, name: str, depth: int) -> Iterator[dict]:
+        most = self.semantics.max_depth
+        if most is not None and depth > most:
             return
         later = []
         with opened:
             for info in opened.infolist():
                 if info.is_dir():
                     continue
-                kind = _kind(info.filename)
+                kind, base = _kind(info.filename), info.filename.rsplit("/", 1)[-1]
+                stored = f"{name}!{_JAR_SRC.sub(r'\1', base)}"
                 if _opens(info.filename, kind, self.semantics):
-                    inner = f"{name}!{info.filename.rsplit('/', 1)[-1]}"
-                    yield self.row(name, depth, inner, "jar")
-                    if self.kinds - {"jar"}:
-                        with tempfile.SpooledTemporaryFile(max_size=MEMORY_LIMIT) as held:
-                            try:
-                                with opened.open(info) as stream:
-                                    while block := stream.read(1 << 20):
-                                        held.write(block)
-                            except (zipfile.BadZipFile, OSError, ValueError, RuntimeError) as e:
-                                yield self.row(inner, depth + 1, inner, "archive", error=f"unreadable: {e}")
-                                continue
+                    with tempfile.SpooledTemporaryFile(max_size=MEMORY_LIMIT) as held:
+                        try:
+                            with opened.open(info) as stream:
+                                while block := stream.read(1 << 20):
+                                    held.write(block)
                             held.seek(0)
-                            yield from self.archive(held, inner, depth + 1)
+                            inner = zipfile.ZipFile(held)
+                        except (zipfile.BadZipFile, OSError, ValueError, RuntimeError) as e:  # skipped, and no jar name
+                            yield self.row(stored, depth + 1, stored, "archive", error=f"unreadable: {e}")
+                            continue
+                        yield self.row(name, depth, stored, "jar")
+                        yield from self.entries(inner, f"{name}!{_JAR_SRC_ZIP.sub(r'\1', base)}", depth + 1)
                 elif kind == "jar":
-                    yield self.row(name, depth, info.filename, "jar")
+                    yield self.row(name, depth, stored, "jar")
                 elif kind in self.kinds and kind in ("class", "java", "xml", "manifest"):
                     try:
                         with opened.open(info) as stream:
-                            data = stream.read(XML_LIMIT if kind == "xml" else ENTRY_LIMIT)
+                            data = stream.read(self.xml_limit if kind == "xml" else ENTRY_LIMIT)
                     except (zipfile.BadZipFile, OSError, ValueError, RuntimeError) as e:
                         yield self.row(name, depth, info.filename, kind, error=f"unreadable: {e}")
                         continue
-                    if kind in ("xml", "manifest"):
-                        yield self.row(name, depth, info.filename, kind, data=data)
+                    if kind == "xml":
+                        yield self.counts(("xml", info.filename), self.row(name, depth, info.filename, kind, data=data))
+                    elif kind == "manifest":
+                        row = self.row(name, depth, info.filename, kind, data=data)
+                        if depth and self.semantics.outer_manifest:
+                            yield row | {"superseded": True}
+                        else:
+                            yield self.counts(("manifest",), row)
                     else:
                         row, error = parsed_row(kind, data, self.semantics)
                         later.append(self.row(name, depth, info.filename, kind, parsed=row, error=error))
         self.closes += 1
         for row in later:
-            yield row | {"close_seq": self.closes}
+            row["close_seq"] = self.closes
+            if row["parsed"] is not None:
+                self.counts(("class", name if self.semantics.class_key_archive else "", row["entry_name"]), row)
+            yield row
 
 
 EVERY = frozenset({"class", "java", "xml", "manifest", "jar"})
 
 
-def entries(archives: DataFrame, kinds: frozenset[str] = EVERY, semantics: Semantics = DEFAULT) -> DataFrame:
-    """Rows of the archives in (input_id, archive_name, content). ``kinds`` says what to inflate and parse: for jar
-    names alone, no entry is read."""
+def entries(archives: DataFrame, kinds: frozenset[str] = EVERY, semantics: Semantics = DEFAULT, xml_limit: int = XML_LIMIT) -> DataFrame:
+    """Rows of the archives in (input_id, archive_name, content). ``kinds`` says what to inflate and parse besides inner archives. An
+    archive's rows are held until it ends, as a later entry may take the place of an earlier one."""
     schema = to_arrow_schema(StructType.fromDDL(schemas.ENTRIES))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["input_id", "archive_name", "content"]).to_pylist():
-                walk, held = Walk(row["input_id"], kinds, semantics), []
-                for entry in walk.archive(io.BytesIO(row["content"] or b""), row["archive_name"], 0):
-                    held.append(entry)
-                    if len(held) == 500:
-                        yield pa.RecordBatch.from_pylist(held, schema)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, schema)
+            for n in range(batch.num_rows):
+                number, name, content = (batch.column(c)[n] for c in ("input_id", "archive_name", "content"))
+                source = pa.BufferReader(content.as_buffer()) if content.is_valid else io.BytesIO()
+                held = Walk(number.as_py(), kinds, semantics, xml_limit).all(source, name.as_py())
+                for at in range(0, len(held), 500):
+                    yield pa.RecordBatch.from_pylist(held[at : at + 500], schema)
 
     return archives.mapInArrow(each, schemas.ENTRIES)
 
 
 def files(spark: SparkSession, inputs: list[str]) -> DataFrame:
-    """(input_id, archive_name, content) of archive files; names are relative to the working directory where below it."""
-    frames = []
-    for k, path in enumerate(inputs):
-        shown = os.path.relpath(path)
-        shown = os.path.basename(path) if shown.startswith("..") else shown
-        frames.append(spark.read.format("binaryFile").load(path).select(F.lit(k).alias("input_id"), F.lit(shown).alias("archive_name"), "content"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
+    """(input_id, archive_name, content) of archive files, read in one scan; names are relative to the working directory where below it."""
+    shown = [os.path.relpath(p) for p in inputs]
+    rows = [(k, os.path.basename(p) if r.startswith("..") else r, os.path.abspath(p)) for k, (p, r) in enumerate(zip(inputs, shown, strict=True))]
+    named = spark.createDataFrame(rows, "input_id long, archive_name string, at string")
+    found = spark.read.format("binaryFile").load([os.path.abspath(p) for p in dict.fromkeys(inputs)])
+    return found.select(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/").alias("at"), "content").join(named, "at").select("input_id", "archive_name", "content")
 
 
 def directory(spark: SparkSession, root: str, input_id: int, semantics: Semantics = DEFAULT) -> DataFrame:
-    """Entries of a directory tree. Archives in it are one level down and named even if unreadable; ``.jar.src`` directories are jar
-    names, and what lies in one belongs to the last on its path."""
-    base = os.path.basename(os.path.normpath(root))
+    """Entries of a directory tree on disk."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = re.escape(os.path.abspath(root).rstrip("/"))
-    relative = F.regexp_replace("path", rf"^(?:file:)?/*{prefix}/", "").alias("name")
-    found = found.select(F.when(relative.startswith("/"), relative).otherwise(relative).alias("name"), "content")
-    schema = to_arrow_schema(StructType.fromDDL(schemas.ENTRIES))
+    name = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), rf"^(?:file:)?/*{prefix}/", "").alias("name")
+    base = os.path.basename(os.path.normpath(root))
+    return trees(found.select(F.lit(input_id).alias("input_id"), F.lit(base).alias("archive_name"), name, "content"), semantics)
+
+
+def trees(found: DataFrame, semantics: Semantics = DEFAULT) -> DataFrame:
+    """Entries of directory trees, given the files as (input_id, archive_name, name, content), name being relative to the tree.
+
+    Files count in the order of a walk that takes each directory's names in order. Archives are one level down, go by their path, and are named even
+    if unreadable; ``.jar.src`` directories are jar names, and what lies in one belongs to the last on its path. Directories without files are not seen."""
+    own = schemas.ENTRIES + ", path string"
+    schema = to_arrow_schema(StructType.fromDDL(own))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = []
             for row in batch.to_pylist():
-                name, data = row["name"], row["content"] or b""
-                kind, walk = _kind(name), Walk(input_id, EVERY, semantics)
+                name, data, base = row["name"], row["content"] or b"", row["archive_name"]
+                kind, walk = _kind(name), Walk(row["input_id"], EVERY, semantics)
+                made = []
                 if kind in ("jar", "war", "zip"):
-                    held.append(walk.row(base, 0, name, "jar"))
-                    held += walk.archive(io.BytesIO(data), f"{base}!{name.rsplit('/', 1)[-1]}", 1)
+                    made.append(walk.row(base, 0, _JAR_SRC.sub(r"\1", name), "jar"))
+                    made += walk.all(io.BytesIO(data), _JAR_SRC_ZIP.sub(r"\1", name), 1)
                 elif kind in ("xml", "manifest"):
-                    held.append(walk.row(base, 0, name, kind, data=data))
+                    made.append(walk.row(base, 0, name, kind, data=data))
                 elif kind in ("class", "java"):
-                    made, error = parsed_row(kind, data, semantics)
-                    held.append(walk.row(base, 0, name, kind, parsed=made, error=error) | {"close_seq": 1 << 40})
-            if held:
-                yield pa.RecordBatch.from_pylist(held, schema)
-
-    rows = found.mapInArrow(each, schemas.ENTRIES)
-    split = rows.withColumn("_in", F.when((F.col("depth") == 0) & F.col("kind").isin("class", "java"), paths.source_archive(F.col("entry_name"))).otherwise(""))
-    split = split.withColumn("archive_name", F.when(F.col("_in") != "", F.col("_in")).otherwise(F.col("archive_name")))
-    split = split.withColumn("entry_name", F.when(F.col("_in") != "", paths.source_path(F.col("entry_name"))).otherwise(F.col("entry_name"))).drop("_in")
-    dirs = found.select(F.regexp_extract("name", r"(?i)^(.*\.jar\.src)/", 1).alias("entry_name")).filter("entry_name <> ''").distinct()
-    named = dirs.select(F.lit(input_id).alias("input_id"), F.lit(base).alias("archive_name"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("visit_seq"), F.lit(0).cast("long").alias("close_seq"), "entry_name", F.lit("jar").alias("kind"))
-    return split.unionByName(named, allowMissingColumns=True)
+                    parsed, error = parsed_row(kind, data, semantics)
+                    made.append(walk.row(base, 0, name, kind, parsed=parsed, error=error, close_seq=1 << 40))
+                for at in range(0, len(made), 500):
+                    yield pa.RecordBatch.from_pylist([r | {"path": name} for r in made[at : at + 500]], schema)
+
+    rows = found.mapInArrow(each, own)
+    inside = (F.col("depth") == 0) & F.col("kind").isin("class", "java") & (paths.source_archive(F.col("entry_name")) != "")
+    rows = rows.withColumn("archive_name", F.when(inside, paths.source_archive(F.col("entry_name"))).otherwise(F.col("archive_name")))
+    rows = rows.withColumn("entry_name", F.when(inside, paths.source_path(F.col("entry_name"))).otherwise(F.col("entry_name")))
+    counted = ~F.col("superseded") & (F.col("data").isNotNull() | F.col("parsed").isNotNull())
+    group = F.when(F.col("kind").isin("class", "java"), F.concat_ws("\n", F.lit("class"), F.when(F.lit(semantics.class_key_archive), F.col("archive_name")), "entry_name")).when(F.col("kind") == "xml", F.concat_ws("\n", F.lit("xml"), "entry_name")).otherwise("manifest")
+    order = F.struct((F.col("close_seq") == 1 << 40).alias("late"), F.split("path", "/").alias("at"), "close_seq", "visit_seq")
+    rest = [c for c in rows.columns if c not in ("input_id", "path")]
+    last = rows.filter(counted).groupBy("input_id", group.alias("_group")).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    files_of = last.select("input_id", "_row.*").unionByName(rows.filter(~counted).drop("path"))
+    parts = F.split("name", "/")
+    above = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")), lambda d: F.lower(d).rlike(r"\.jar\.src\z") & (d != F.col("name")))
+    dirs = found.select("input_id", "archive_name", F.explode(above).alias("dir")).distinct()
+    named = dirs.select("input_id", "archive_name", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("visit_seq"), F.lit(0).cast("long").alias("close_seq"), paths.jar_name(F.col("dir")).alias("entry_name"), F.lit("jar").alias("kind"), F.lit(False).alias("superseded"))
+    return files_of.unionByName(named, allowMissingColumns=True)
 
 
 # what an input amounts to --------------------------------------------------------------------
 
 
-def _last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key: a partial aggregate, where a window would shuffle every row."""
-    rest = [c for c in rows.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return picked.select(*keys, "_row.*")
-
-
 def classes(found: DataFrame, semantics: Semantics = DEFAULT) -> DataFrame:
     """Parsed classes, one for each path (the outer archive's) or each archive and path."""
-    rows = found.filter("kind IN ('class', 'java') AND parsed IS NOT NULL")
-    rows = rows.select("input_id", "archive_name", F.col("entry_name").alias("file_path"), F.col("kind").alias("origin"), "close_seq", "visit_seq", "parsed")
-    keys = ["input_id", "archive_name", "file_path"] if semantics.class_key_archive else ["input_id", "file_path"]
-    return _last(rows, keys, ["close_seq", "visit_seq"]).select("input_id", "archive_name", "file_path", "origin", "parsed.*")
+    rows = found.filter("kind IN ('class', 'java') AND parsed IS NOT NULL AND NOT superseded")
+    return rows.select("input_id", "archive_name", F.col("entry_name").alias("file_path"), F.col("kind").alias("origin"), "parsed.*")
 
 
 def xml_files(found: DataFrame) -> DataFrame:
-    rows = found.filter("kind = 'xml' AND data IS NOT NULL").select("input_id", "entry_name", "visit_seq", F.col("data").cast("string").alias("xml"))
-    return _last(rows, ["input_id", "entry_name"], ["visit_seq"])
+    return found.filter("kind = 'xml' AND data IS NOT NULL AND NOT superseded").select("input_id", "entry_name", "visit_seq", F.col("data").cast("string").alias("xml"))
 
 
 def manifests(found: DataFrame, semantics: Semantics = DEFAULT) -> DataFrame:
-    rows = found.filter("kind = 'manifest' AND data IS NOT NULL")
-    if semantics.outer_manifest:
-        rows = rows.filter("depth = 0")
-    return _last(rows.select("input_id", "visit_seq", F.col("data").cast("string").alias("manifest")), ["input_id"], ["visit_seq"])
+    return found.filter("kind = 'manifest' AND data IS NOT NULL AND NOT superseded").select("input_id", "visit_seq", F.col("data").cast("string").alias("manifest"))
 
 
 def jar_names(found: DataFrame) -> DataFrame:
     return found.filter("kind = 'jar'").select("input_id", "visit_seq", F.col("entry_name").alias("jar_name"))
-
-
-def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -17,10 +17,10 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def arriving(spark: SparkSession, directory: str, semantics: Semantics = DEFAULT) -> DataFrame:
-    """A stream of entries. The number of an input is a hash of its path, so that it needs no state."""
+    """A stream of entries. The number of an input is a 64-bit hash of its path, so that it needs no state."""
     found = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.{jar,war,zip}").load(directory)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return archives.entries(found.select(F.hash("path").alias("input_id"), name.alias("archive_name"), "content"), semantics=semantics)
+    return archives.entries(found.select(F.xxhash64("path").alias("input_id"), name.alias("archive_name"), "content"), semantics=semantics)
 
 
 def append(entries: DataFrame, table: str, checkpoint: str, once: bool = False) -> StreamingQuery:

@@ -32,7 +32,7 @@ def test_a_war_from_scan_to_sinks(spark, war, tmp_path):
 
 
 def test_depth_limit_and_inner_archives(spark):
-    deep = synth.zipped({"lib/b.jar": synth.zipped({"lib/c.jar": synth.zipped({"lib/d.jar": synth.zipped({"X.java": "class X {}"})})}), "other.war": b"x"})
+    deep = synth.zipped({"lib/b.jar": synth.zipped({"lib/c.jar": synth.zipped({"lib/d.jar": synth.zipped({"X.java": "class X {}"})})}), "other.war": synth.zipped({"a.txt": "x"})})
     df = spark.createDataFrame([(0, "a.war", deep)], "input_id int, archive_name string, content binary")
     seen = lambda s: {r["entry_name"] for r in archives.entries(df, semantics=s).collect()}
     assert "X.java" not in seen(DEFAULT) and "a.war!b.jar!c.jar!d.jar" in seen(DEFAULT)
@@ -49,7 +49,7 @@ def test_directories_and_source_archives(spark, tmp_path):
     made = analysis.analyse(*analysis.scan(spark, [str(root)]))
     files = {(r["archive_name"], r["file_path"]) for r in made.classes.collect()}
     assert files == {("x.jar.src", "com/A.java")}
-    assert {r["entry_name"] for r in archives.jar_names(made.entries).collect() for r in [{"entry_name": r["jar_name"]}]} == {"bad.jar", "x.jar.src"}
+    assert {r["entry_name"] for r in archives.jar_names(made.entries).collect() for r in [{"entry_name": r["jar_name"]}]} == {"bad.jar", "x.jar"}
     assert {r["framework"] for r in made.routes.collect()} == {"JAX-RS", "Servlet"}
 
 
@@ -102,6 +102,6 @@ def test_long_xml_is_cut_at_its_limit():
     import io
 
     data = synth.zipped({"a.xml": b"<" + b"a" * (archives.XML_LIMIT + 5), "b.txt": b"x"})
-    rows = list(archives.Walk(0, archives.EVERY, DEFAULT).archive(io.BytesIO(data), "x.jar", 0))
+    rows = archives.Walk(0, archives.EVERY, DEFAULT).all(io.BytesIO(data), "x.jar")
     assert [(r["kind"], len(r["data"])) for r in rows] == [("xml", archives.XML_LIMIT)]
-    assert list(archives.Walk(0, frozenset({"jar"}), DEFAULT).archive(io.BytesIO(data), "x.jar", 0)) == []
+    assert archives.Walk(0, frozenset({"jar"}), DEFAULT).all(io.BytesIO(data), "x.jar") == []

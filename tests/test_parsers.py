@@ -102,7 +102,7 @@ def test_golden_names(spark):
     name = F.col("n")
     assert one(spark, paths.jar_name(name), n="spring-webmvc-5.1.18.RELEASE.jar.src.zip") == "spring-webmvc-5.1.18.RELEASE.jar"
     assert one(spark, paths.jar_name(name), n="spring-webmvc-5.1.18.RELEASE.jar.src") == "spring-webmvc-5.1.18.RELEASE.jar"
-    assert one(spark, paths.jar_display(name), n="spring-webmvc.jar.src.zip") == "spring-webmvc.jar.src"
+    assert one(spark, paths.jar_display(name), n="spring-webmvc.jar.src.zip") == "spring-webmvc.jar"
     assert one(spark, paths.simple_annotation(name), n="Lorg/springframework/web/bind/annotation/RequestMapping;") == "RequestMapping"
     assert one(spark, configs.action_url(F.lit("/"), name), n="user_*") == "/user_{wildcard}.action"
 
