@@ -18,8 +18,9 @@ LITERALS = [r[3] for r in detect.catalog_rows() if r[3] != detect.NO_DASH]
 
 
 def made(rows: DataFrame, fn: Callable[[dict], bytes], keep: str = "k long") -> DataFrame:
-    """``rows`` with ``data``, the artefact of each."""
+    """``rows`` with ``data``, the artefact of each. A row is small and its artefact takes time, so a table in one file is dealt over all tasks."""
     names = [c.split()[0] for c in keep.split(",")]
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
