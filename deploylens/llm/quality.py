@@ -1,12 +1,12 @@
 """Quality rules combined by weak supervision.
 
-Each rule looks at one statistic of a text and votes good, bad, or abstains. Most know one kind of bad text only, and can't tell that
-a text is good because it is not of that kind; those vote bad or abstain. Expectation-maximisation over
-the counts of vote patterns (a bounded table, whatever the corpus) estimates how often each rule votes on good and on bad texts
-and how common good ones are; abstentions say nothing. A text is kept if its posterior probability of being good is at
-least one half, unless the base rule fails it.
+Each rule looks at one statistic of a text and votes good, bad, or, between its two bounds, abstains. No vote decides:
+expectation-maximisation over the counts of vote patterns (a bounded table, whatever the corpus) estimates, for each rule, how often it votes
+good and bad on good texts and on bad ones, and how common good texts are. The start, and a prior that weighs as much as a few texts,
+only say which way a rule is meant; a rule that votes alike on both kinds gets no weight, and one that errs often a small one. A text is kept if its
+posterior probability of being good is at least one half, unless the base rule fails it. Abstentions say nothing.
 
-Null texts have no words and fail the base rule. Counts are over whole texts. Repeated rows get a
+Null texts have no words and fail the base rule. Very long texts are counted whole; counts are over whole texts. Repeated rows get a
 row each; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from . import common
 
 GOOD, BAD, ABSTAIN = 1, 2, 0
-ROUNDS = 100
-#: Bounds on how often a rule may err (a bad vote on a good text, and so on) and hit, so that none is trusted wholly or read backwards.
-ERRS, HITS = (0.002, 0.08), (0.1, 0.98)
+ROUNDS = 200
+#: Votes (good, bad) of a rule that the estimate starts from, on good texts and on bad ones; as a prior they count as so many texts.
+START_GOOD, START_BAD, PRIOR_TEXTS = (0.9, 0.1), (0.4, 0.6), 4.0
 
 _word = regex.compile(r"[^\x20\x09-\x0D]").search
 _words = regex.compile(r"[^\x20\x09-\x0D]+").findall
@@ -35,17 +35,17 @@ _upper = regex.compile(r"\p{Lu}").findall
 _ends = regex.compile(r"[.!?…。](?=[\x20\x09-\x0D]|\Z)").findall
 _shout = regex.compile(r"[!?]{2,}").findall
 
-#: name, votes bad above this, votes good at or below this (if it does). Between the bounds a rule abstains.
+#: name, votes bad above this, votes good up to this.
 RULES = (
-    ("symbols", 0.10, None),
-    ("repeats", 0.30, None),
-    ("repeated lines", 0.60, None),
-    ("capitals", 0.40, None),
-    ("shouting", 0.20, None),
-    ("few letters", 0.30, None),
-    ("one word", 0.25, None),
-    ("word length", 3.0, None),
-    ("sentences", 1.5, 0.5),
+    ("symbols", 0.10, 0.01),
+    ("repeats", 0.20, 0.02),
+    ("repeated lines", 0.30, 0.05),
+    ("capitals", 0.40, 0.10),
+    ("shouting", 0.20, 0.02),
+    ("few letters", 0.20, 0.06),
+    ("one word", 0.20, 0.10),
+    ("word length", 1.0, 0.5),
+    ("sentences", 0.8, 0.05),
 )
 
 
@@ -85,7 +85,7 @@ def statistics(text: str) -> tuple:
 
 def vote(rates: tuple) -> int:
     """The rules' votes as a number in base 3."""
-    return sum(3**k * (BAD if r > bad else GOOD if good is not None and r <= good else ABSTAIN) for k, (r, (_, bad, good)) in enumerate(zip(rates, RULES, strict=True)))
+    return sum(3**k * (BAD if r > bad else GOOD if r <= good else ABSTAIN) for k, (r, (_, bad, good)) in enumerate(zip(rates, RULES, strict=True)))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -120,19 +120,13 @@ def unpack(votes: np.ndarray) -> np.ndarray:
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> VoteModel:
     """Expectation-maximisation over vote patterns and how many texts have each."""
-    k = patterns.shape[1]
     cast = np.stack([patterns == GOOD, patterns == BAD], 1).astype(float)
-    bounds_good, bounds_bad = (np.array([HITS, ERRS]), np.array([(0.05, 0.9), HITS]))  # by vote
-    model = VoteModel(0.9, np.stack([np.full(k, 0.9), np.full(k, 0.02)]), np.stack([np.full(k, 0.6), np.full(k, 0.3)]))
+    start = [np.array(x)[:, None] * np.ones(patterns.shape[1]) for x in (START_GOOD, START_BAD)]
+    model = VoteModel(0.7, *start)
     for _ in range(rounds):
         good = counts * model.posterior(patterns)
-        bad = counts - good
-        rates = [(np.tensordot(w, cast, 1) + 0.1) / (w.sum() + 1) for w in (good, bad)]
-        model = VoteModel(
-            float(np.clip(good.sum() / max(1.0, counts.sum()), 0.7, 0.95)),
-            np.clip(rates[0], bounds_good[:, :1], bounds_good[:, 1:]),
-            np.clip(rates[1], bounds_bad[:, :1], bounds_bad[:, 1:]),
-        )
+        votes = [np.tensordot(w, cast, 1) + PRIOR_TEXTS * s for w, s in zip((good, counts - good), start, strict=True)]
+        model = VoteModel(float((good.sum() + 2) / (counts.sum() + 4)), *(v / v.sum(0) for v in votes))
     return model
 
 
