@@ -6,8 +6,9 @@ largest difference of their distances to a pivot, and with the two lengths that
 above. Rows of a block are evaluated in the order of that bound until it falls below the k-th score
 found so far, which ends the block with nothing missed.
 
-Queries and rows are packed into blocks of bounded size. Every block of queries meets every block of rows by
-an equi-join on the query block's number, shuffled and streamed, so neither side is ever held whole.
+Rows are packed into blocks of bounded size, with their distances to the pivots beside them, computed once; components take two bytes where they
+fit. Every group of queries meets every block of rows by its number, shuffled and streamed, so neither side is ever held whole; a block none of whose
+bounds reaches the k-th scores found before costs no evaluation.
 
 Vectors that are null, or hold null or non-finite components, take no part; nor do rows without a vec_id, and a
 row whose length differs from a query's is no candidate of it. Rows that share a vec_id are candidates
@@ -28,7 +29,7 @@ SCALE = 64
 QUERY_STEP = 20
 K = 20
 #: Rows that serve as pivots.
-PIVOTS = 32
+PIVOTS = 64
 #: Vectors of a block of rows, and of a block of queries.
 ROW_BLOCK, QUERY_BLOCK = 2048, 256
 #: Candidates evaluated before the first look at the bound; each further look comes after twice as many.
@@ -56,9 +57,9 @@ def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (p * p).sum(1)[:, None] - 2 * p @ x.T + (x * x).sum(1)[None, :])).astype(np.float32)
 
 
-def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, pivot: np.ndarray, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query, (vec_id, score) of the k best rows of this block, best first, ties to the smaller id; rows that score
-    below ``least``, what the query's k-th row elsewhere scores, may be left out.
+def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, rd: np.ndarray, k: int, pivot: np.ndarray, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query, (vec_id, score) of the k best rows of this block, best first, ties to the smaller id. ``rd`` has the rows' distances to the
+    pivots, a row a pivot. Rows that score below ``least``, what the query's k-th row elsewhere scores, may be left out.
 
     Rows are evaluated by chunks in the order of their bounds: the best chunk first, then those whose bound still reaches the k-th
     score. Products of quantised components are summed in floats only where they stay below 2**52, so they are exact."""
@@ -66,7 +67,7 @@ def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row
     exact = float(big) ** 2 * max(rows.shape[1], 1) < 2**52
     q, r = (queries.astype(float), rows.astype(float)) if exact else (queries.astype(object), rows.astype(object))
     qf, rf = queries.astype(float), rows.astype(float)
-    qd, rd = distances(qf, pivot).T, distances(rf, pivot)
+    qd = distances(qf, pivot).T
     qn, rn = (qf * qf).sum(1), (rf * rf).sum(1)
     slack = 1e-6 * (qd.max(initial=0) + rd.max(initial=0)) + 1e-6  # rounding never eliminates
     apart, far = np.empty_like(rd), np.zeros(len(r), np.float32)
@@ -103,45 +104,48 @@ def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row
     return out
 
 
-def blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """(n, dim, ids, data): rows of one dimension packed as bytes, ``size`` at most, where they lie."""
+def blocks(vectors: DataFrame, size: int, pivot: dict[int, np.ndarray]) -> DataFrame:
+    """(n, dim, ids, data, far): rows of one dimension packed as bytes, ``size`` at most, where they lie, with the table of their distances to the pivots."""
 
     def each(batches):
-        held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+        held: dict[int, tuple[list[int], list[list[int]]]] = {}
 
         def packed(dim):
             ids, xs = held.pop(dim)
-            return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([np.stack(xs).astype("<i8").tobytes()])], ["n", "dim", "ids", "data"])
+            x = np.array(xs, np.int64).reshape(len(ids), dim)
+            far = distances(x.astype(float), pivot.get(dim, np.zeros((0, dim))))
+            small = np.abs(x).max(initial=0) < 2**15
+            cols = [pa.array([len(ids)], pa.int32()), pa.array([dim], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (np.array(ids, "<i8"), x.astype("<i2" if small else "<i8"), far.astype("<f4")))]
+            return pa.RecordBatch.from_arrays(cols, ["n", "dim", "ids", "data", "far"])
 
         for batch in batches:
             for i, x in zip(batch.column("vec_id").to_pylist(), batch.column("x").to_pylist(), strict=True):
                 ids, xs = held.setdefault(len(x), ([], []))
                 ids.append(i)
-                xs.append(np.array(x, np.int64))
+                xs.append(x)
                 if len(ids) == size:
                     yield packed(len(x))
         for dim in list(held):
             yield packed(dim)
 
-    return vectors.mapInArrow(each, "n int, dim int, ids binary, data binary")
+    return vectors.mapInArrow(each, "n int, dim int, ids binary, data binary, far binary")
 
 
 def exact_topk(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) for quantised ``queries`` against quantised ``rows``."""
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROW_BLOCK))
     queries = queries.groupBy("vec_id").agg(F.min("x").alias("x"))
     count = queries.count()
     groups = max(1, -(-count // QUERY_BLOCK))
     asked = queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
     pivot = pivots(rows)
-    held = common.written(blocks(rows, ROW_BLOCK), "vectors")
+    held = common.written(blocks(rows, ROW_BLOCK, pivot), "vectors")
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lanes = max(1, -(-tasks // groups))
     # each block of rows goes once to each group of queries; a lane takes a share of the blocks
     lane = F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")
     sent = held.select("*", lane.alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    sent = sent.select("g", "lane", F.lit(1).alias("side"), "dim", "ids", "data")
+    sent = sent.select("g", "lane", F.lit(1).alias("side"), "dim", "ids", "data", "far")
     flat = F.transform("x", lambda v: v)
     own = asked.select("g", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("vec_id"), flat.alias("x"))
     own = own.select("g", "lane", F.lit(0).alias("side"), F.size("x").alias("dim"), "vec_id", "x")
@@ -176,7 +180,10 @@ def exact_topk(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
                 qi, q = asked_by[dim]
                 ids = np.frombuffer(cols["ids"][n].as_py(), "<i8")
                 least = np.array([best[i][1][-1] if i in best and len(best[i][1]) == k else -np.inf for i in qi.tolist()])
-                found = block_topk(q, qi, np.frombuffer(cols["data"][n].as_py(), "<i8").reshape(len(ids), dim), ids, k, pivot.get(dim, np.zeros((0, dim))), least)
+                data, own = cols["data"][n].as_py(), pivot.get(dim, np.zeros((0, dim)))
+                x = np.frombuffer(data, "<i2" if len(data) == 2 * dim * len(ids) else "<i8").astype(np.int64).reshape(len(ids), dim)
+                far = np.frombuffer(cols["far"][n].as_py(), "<f4").reshape(len(own), len(ids))
+                found = block_topk(q, qi, x, ids, far, k, own, least)
                 for one, (i, s) in zip(qi.tolist(), found, strict=True):
                     if one in best:
                         i, s = np.concatenate([best[one][0], i]), np.concatenate([best[one][1], s])
@@ -185,7 +192,6 @@ def exact_topk(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
                     best[one] = i, s
         yield from done()
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     found = both.mapInArrow(each, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
