@@ -115,13 +115,12 @@ def bounds(cos: np.ndarray, length: np.ndarray, short: list[tuple[np.ndarray, np
 def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
     """The model from rows of doc_id, text and lang."""
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample // 20).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    quota = sample // len(counts)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, quota / n))).otherwise(share)
+    quota = max(FEW, sample // len(counts))  # no language is left out, however many there are
+    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, quota / n))))
+    share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = labelled.filter(place < share).select("doc_id", "lang", "text")
 

@@ -133,7 +133,37 @@ def test_quality_agrees_with_labels(spark):
     rows = [r for r in quality.judge(docs).join(labels, "doc_id").collect() if not r["base_failed"]]
     good, bad = [r for r in rows if r["quality"] == 1], [r for r in rows if r["quality"] == 0]
     assert np.mean([r["kept"] for r in good]) > 0.97
-    assert np.mean([not r["kept"] for r in bad]) > 0.5
+    assert np.mean([not r["kept"] for r in bad]) > 0.9
+
+
+def test_estimates_follow_the_votes():
+    """Votes drawn from known rates: the estimates come near them, and one bad vote of a rule that errs keeps a text, of one that does not drops it."""
+    rng = np.random.default_rng(5)
+    k, n = len(quality.RULES), 40_000
+    good = rng.random(n) < 0.8
+    on_good, on_bad = np.array([0.001, 0.3] + [0.02] * (k - 2)), np.array([0.9, 0.5] + [0.6] * (k - 2))
+    votes = np.where(rng.random((n, k)) < np.where(good[:, None], on_good, on_bad), quality.BAD, quality.GOOD)
+    votes[rng.random((n, k)) < 0.3] = quality.ABSTAIN
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    model = quality.estimate(patterns, counts.astype(float))
+    assert abs(model.prior - 0.8) < 0.02
+    assert np.abs(model.on_good[1] - on_good).max() < 0.02 and np.abs(model.on_bad[1] - on_bad).max() < 0.05
+    kept = model.posterior(patterns)[which.ravel()] >= 0.5
+    weight = np.log([(1 - on_good) / (1 - on_bad), on_good / on_bad])  # what the true rates would say
+    best = np.log(4) + ((votes == quality.GOOD) * weight[0] + (votes == quality.BAD) * weight[1]).sum(1) >= 0
+    assert np.mean(kept == good) > np.mean(best == good) - 0.002
+    one = (votes == quality.BAD).sum(1) == 1
+    assert kept[one & (votes[:, 1] == quality.BAD) & (votes[:, 0] != quality.ABSTAIN)].mean() > 0.9
+    assert (~kept)[(votes == quality.BAD).sum(1) >= 4].mean() > 0.99
+
+
+def test_no_single_rule_decides(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = quality.measured(docs).groupBy("votes").count().collect()
+    patterns, counts = quality.unpack(np.array([r["votes"] for r in found])), np.array([r["count"] for r in found], float)
+    kept = quality.estimate(patterns, counts).posterior(patterns) >= 0.5
+    one = (patterns == quality.BAD).sum(1) == 1
+    assert counts[one & kept].sum() > 0 and counts[one & ~kept].sum() > 0
 
 
 def test_pipeline_runs_over_odd_rows(spark, odd, none):
