@@ -6,8 +6,8 @@ largest difference of their distances to a pivot, and with the two lengths that
 above. Rows of a block are evaluated in the order of that bound until it falls below the k-th score
 found so far, which ends the block with nothing missed.
 
-Rows are packed into blocks of bounded size, with their distances to the pivots beside them, computed once; components take two bytes where they
-fit. Every group of queries meets every block of rows by its number, shuffled and streamed, so neither side is ever held whole; a block none of whose
+Rows are packed into blocks of bounded size, with their distances to the pivots beside them, computed once and kept in
+steps of a byte; components take a byte or two where they fit. Every group of queries meets every block of rows by its number, shuffled and streamed, so neither side is ever held whole; a block none of whose
 bounds reaches the k-th scores found before costs no evaluation.
 
 Vectors that are null, or hold null or non-finite components, take no part; nor do rows without a vec_id, and a
@@ -57,9 +57,9 @@ def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (p * p).sum(1)[:, None] - 2 * p @ x.T + (x * x).sum(1)[None, :])).astype(np.float32)
 
 
-def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, rd: np.ndarray, k: int, pivot: np.ndarray, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, rd: np.ndarray, k: int, pivot: np.ndarray, least: np.ndarray | None = None, rough: float = 0.0) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query, (vec_id, score) of the k best rows of this block, best first, ties to the smaller id. ``rd`` has the rows' distances to the
-    pivots, a row a pivot. Rows that score below ``least``, what the query's k-th row elsewhere scores, may be left out.
+    pivots, a row a pivot, which may be ``rough`` off. Rows that score below ``least``, what the query's k-th row elsewhere scores, may be left out.
 
     Rows are evaluated by chunks in the order of their bounds: the best chunk first, then those whose bound still reaches the k-th
     score. Products of quantised components are summed in floats only where they stay below 2**52, so they are exact."""
@@ -69,7 +69,7 @@ def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row
     qf, rf = queries.astype(float), rows.astype(float)
     qd = distances(qf, pivot).T
     qn, rn = (qf * qf).sum(1), (rf * rf).sum(1)
-    slack = 1e-6 * (qd.max(initial=0) + rd.max(initial=0)) + 1e-6  # rounding never eliminates
+    slack = 1e-6 * (qd.max(initial=0) + rd.max(initial=0)) + 1e-6 + rough  # rounding never eliminates
     apart, far = np.empty_like(rd), np.zeros(len(r), np.float32)
     out = []
     for i in range(len(q)):
@@ -105,7 +105,8 @@ def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row
 
 
 def blocks(vectors: DataFrame, size: int, pivot: dict[int, np.ndarray]) -> DataFrame:
-    """(n, dim, ids, data, far): rows of one dimension packed as bytes, ``size`` at most, where they lie, with the table of their distances to the pivots."""
+    """(n, dim, step, ids, data, far): rows of one dimension packed as bytes, ``size`` at most, where they lie, with the table of their distances
+    to the pivots in whole steps."""
 
     def each(batches):
         held: dict[int, tuple[list[int], list[list[int]]]] = {}
@@ -114,9 +115,10 @@ def blocks(vectors: DataFrame, size: int, pivot: dict[int, np.ndarray]) -> DataF
             ids, xs = held.pop(dim)
             x = np.array(xs, np.int64).reshape(len(ids), dim)
             far = distances(x.astype(float), pivot.get(dim, np.zeros((0, dim))))
-            small = np.abs(x).max(initial=0) < 2**15
-            cols = [pa.array([len(ids)], pa.int32()), pa.array([dim], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (np.array(ids, "<i8"), x.astype("<i2" if small else "<i8"), far.astype("<f4")))]
-            return pa.RecordBatch.from_arrays(cols, ["n", "dim", "ids", "data", "far"])
+            step, most = max(1e-9, float(far.max(initial=0)) / 255), np.abs(x).max(initial=0)
+            kind = next(k for k, top in (("<i1", 2**7), ("<i2", 2**15), ("<i8", np.inf)) if most < top)
+            cols = [pa.array([len(ids)], pa.int32()), pa.array([dim], pa.int32()), pa.array([step]), *(pa.array([v.tobytes()], pa.binary()) for v in (np.array(ids, "<i8"), x.astype(kind), np.floor(far / step).astype(np.uint8)))]
+            return pa.RecordBatch.from_arrays(cols, ["n", "dim", "step", "ids", "data", "far"])
 
         for batch in batches:
             for i, x in zip(batch.column("vec_id").to_pylist(), batch.column("x").to_pylist(), strict=True):
@@ -128,7 +130,7 @@ def blocks(vectors: DataFrame, size: int, pivot: dict[int, np.ndarray]) -> DataF
         for dim in list(held):
             yield packed(dim)
 
-    return vectors.mapInArrow(each, "n int, dim int, ids binary, data binary, far binary")
+    return vectors.mapInArrow(each, "n int, dim int, step double, ids binary, data binary, far binary")
 
 
 def exact_topk(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
@@ -145,7 +147,7 @@ def exact_topk(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     # each block of rows goes once to each group of queries; a lane takes a share of the blocks
     lane = F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")
     sent = held.select("*", lane.alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    sent = sent.select("g", "lane", F.lit(1).alias("side"), "dim", "ids", "data", "far")
+    sent = sent.select("g", "lane", F.lit(1).alias("side"), "dim", "step", "ids", "data", "far")
     flat = F.transform("x", lambda v: v)
     own = asked.select("g", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("vec_id"), flat.alias("x"))
     own = own.select("g", "lane", F.lit(0).alias("side"), F.size("x").alias("dim"), "vec_id", "x")
@@ -181,9 +183,10 @@ def exact_topk(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
                 ids = np.frombuffer(cols["ids"][n].as_py(), "<i8")
                 least = np.array([best[i][1][-1] if i in best and len(best[i][1]) == k else -np.inf for i in qi.tolist()])
                 data, own = cols["data"][n].as_py(), pivot.get(dim, np.zeros((0, dim)))
-                x = np.frombuffer(data, "<i2" if len(data) == 2 * dim * len(ids) else "<i8").astype(np.int64).reshape(len(ids), dim)
-                far = np.frombuffer(cols["far"][n].as_py(), "<f4").reshape(len(own), len(ids))
-                found = block_topk(q, qi, x, ids, far, k, own, least)
+                x = np.frombuffer(data, f"<i{len(data) // max(1, dim * len(ids)) or 8}").astype(np.int64).reshape(len(ids), dim)
+                step = cols["step"][n].as_py()
+                far = (np.frombuffer(cols["far"][n].as_py(), np.uint8).reshape(len(own), len(ids)).astype(np.float32) + np.float32(0.5)) * np.float32(step)
+                found = block_topk(q, qi, x, ids, far, k, own, least, step)
                 for one, (i, s) in zip(qi.tolist(), found, strict=True):
                     if one in best:
                         i, s = np.concatenate([best[one][0], i]), np.concatenate([best[one][1], s])
