@@ -128,7 +128,11 @@ class Codec:
         #: Text between spaces and line ends; exact only while pieces hold spaces at their start and no line end.
         plain = not any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in self.ranks)
         self.parts = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if plain else r"(?s).+").findall
-        self.size = np.array([1 if kind == BYTE else 0 if kind == CONTROL else len(p.replace(SPACE, " ").encode("utf-8")) for p, _, kind in self.pieces])
+        kinds = np.array([kind for *_, kind in self.pieces])
+        lead = np.array([kind != BYTE or not 0x80 <= int(p[3:5], 16) < 0xC0 for p, _, kind in self.pieces])
+        #: By id: whether it is a byte, whether it begins a character, and how many normalised characters it brings.
+        self.is_byte, self.leads = kinds == BYTE, lead
+        self.chars = np.where(self.is_byte, lead, np.where(kinds == CONTROL, 0, np.where(kinds == UNKNOWN, 1, [len(p) for p, *_ in self.pieces]))).astype(np.int64)
         self.memo: dict[str, bytes] = {}
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
 
@@ -253,23 +257,24 @@ class Codec:
         """Whether normalising only marks spaces, so that source bytes follow from the pieces alone."""
         return not self.charmap.units and not self.trim and self.escape and self.byte_fallback
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each text: ids with begin and end, and for each id the first and past-the-last byte of its source.
+    def aligned(self, text: str) -> tuple[str, np.ndarray]:
+        """The normalised text and, for each of its characters, where its source ends. Without a map hit a character stands for itself, so
+        the record is the running sum of the characters' bytes; with a map it is what ``normalise`` has walked over."""
+        if not self.simple:
+            made, spans = self.normalise(text)
+            return made, np.array([e for _, e in spans], np.int64)
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        ends = np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), dtype=np.int64)
+        return self.plain(text), np.concatenate([[0], ends]) if self.dummy_prefix and text else ends
 
-        A literal space mark in the text is three source bytes where a space is one; such texts, and
-        models with a character map, go through the recorded alignment."""
-        marked = [self.simple and SPACE not in t for t in texts]
-        normal = [(self.plain(t), None) if m else self.normalise(t) for t, m in zip(texts, marked, strict=True)]
+    def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: ids with begin and end, and for each id the first and past-the-last byte of its source, by the recorded alignment."""
+        normal = [self.aligned(t) for t in texts]
         parts = [self.parts(made) for made, _ in normal]
         memo, out = self.known(parts), []
-        for own, (_, spans) in zip(parts, normal, strict=True):
+        for own, (_, record) in zip(parts, normal, strict=True):
             ids = np.frombuffer(b"".join([memo[p] for p in own]), "<u4")
-            if spans is None:
-                ends = np.cumsum(self.size[ids], dtype=np.int64)
-                if len(ends):
-                    ends -= bool(self.dummy_prefix)  # the mark put before the text has no source
-            else:
-                ends = self.project(ids, spans)
+            ends = self.project(ids, record)
             starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
             n = ends[-1] if len(ends) else 0
             out.append((np.concatenate([[self.bos], ids, [self.eos]]).astype("<u4"), np.concatenate([[0], starts, [n]]).astype(np.int64), np.concatenate([[0], ends, [n]]).astype(np.int64)))
@@ -278,24 +283,16 @@ class Codec:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.encode_batch([text])[0]
 
-    def project(self, ids: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    def project(self, ids: np.ndarray, record: np.ndarray) -> np.ndarray:
         """Where the source of each piece ends, by the alignment of the normalised characters. Of the
         byte pieces of one character, each takes a byte while the source has one."""
-        ends, at, left = [], 0, 0
-        for i in ids.tolist():
-            piece, _, kind = self.pieces[i]
-            if kind == BYTE:
-                b = int(piece[3:5], 16)
-                if b < 0x80 or b >= 0xC0:
-                    left = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-                    first, last = spans[at]
-                left -= 1
-                ends.append(max(first, last - left) if left else last)
-                at += not left
-            else:
-                at += 1 if kind == UNKNOWN else len(piece)
-                ends.append(spans[at - 1][1])
-        return np.array(ends, np.int64)
+        at = np.cumsum(self.chars[ids]) - 1
+        if not len(at):
+            return at
+        own, k = self.is_byte[ids], np.arange(len(ids))
+        nth = k - np.maximum.accumulate(np.where(self.leads[ids], k, 0)) + 1
+        first = np.where(at > 0, record[at - 1], 0)
+        return np.where(own, np.minimum(first + nth, record[at]), record[at])
 
     def decode(self, ids: np.ndarray) -> str:
         made = "".join(map(self.surface.__getitem__, ids.tolist()))
@@ -337,15 +334,16 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """The digests of ``encode_documents`` without shipping ids back: doc_id, n_tokens, ids_sha256,
-    decoded_sha256, and n_source_bytes, where the last span ends."""
+    decoded_sha256, n_source_bytes, where the last span ends, and spans_sha256, of the ends of all spans as 64-bit integers."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c, n, ids_sha, text_sha, covered = codec(path), [], [], [], []
+        c, n, ids_sha, text_sha, covered, spans_sha = codec(path), [], [], [], [], []
         for ids, _, ends in c.encode_batch(common.texts(batch)):
             n.append(len(ids))
             ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
             text_sha.append(hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest())
             covered.append(int(ends[-1]))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(covered, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes"])
+            spans_sha.append(hashlib.sha256(ends.astype("<i8").tobytes()).hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(covered, pa.int64()), pa.array(spans_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes", "spans_sha256"])
 
-    return common.map_batches(common.doc_texts(docs), fn, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_source_bytes long")
+    return common.map_batches(common.doc_texts(docs), fn, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_source_bytes long, spans_sha256 string")

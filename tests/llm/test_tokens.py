@@ -44,6 +44,24 @@ def test_spans_cover_the_source(odd):
     assert b"".join(data[a:b] for a, b in zip(starts[1:-1], ends[1:-1], strict=True)) == data
 
 
+def test_alignment_equals_the_walk_over_the_map():
+    """The record of characters that stand for themselves is what the walk by longest prefix records."""
+    import random
+
+    rng, c = random.Random(4), sc.Codec(PIECES)
+    for _ in range(300):
+        text = "".join(rng.choice("ab ▁é日😀\n\t.Z\x00") for _ in range(rng.randint(0, 40)))
+        made, record = c.aligned(text)
+        walked, spans = c.normalise(text)
+        assert made == walked and record.tolist() == [e for _, e in spans]
+        ids, starts, ends = c.encode(text)
+        data = text.encode()
+        assert ends[-1] == len(data) and b"".join(data[x:y] for x, y in zip(starts[1:-1], ends[1:-1], strict=True)) == data
+        for i, x, y in zip(ids[1:-1].tolist(), starts[1:-1], ends[1:-1], strict=True):
+            if not c.is_byte[i]:  # a piece is its own source, but for the mark of a space
+                assert c.pieces[i][0].replace("▁", " ").lstrip(" ") == data[x:y].decode().replace("▁", " ").lstrip(" ")
+
+
 def charsmap(pairs):
     """A compiled map for single-byte sources, in the double-array layout."""
     strings, units = b"", {0: 1 << 10}
