@@ -7,7 +7,7 @@ abstain. Expectation-maximisation over the counts of vote patterns by kind, a ta
 how reliable each labeler is; its posteriors then train the final classifier, a log-linear model of
 kind and votes, that decides on the candidates. Base spans always stay.
 
-Null texts count as empty. Offsets are code points, ends exclusive. Repeated rows get a row each; other columns
+Very long texts are scanned whole. Null texts count as empty. Offsets are code points, ends exclusive. Repeated rows get a row each; other columns
 are ignored; an empty table gives an empty result.
 """
 

@@ -3,9 +3,10 @@
 Base patterns find assigned secrets, access keys and long hexadecimal strings. Beside them, every long unbroken string
 of key characters is a candidate: a window moves over it, the counts of its characters change by one in and one out, and
 the Shannon entropy follows from them. The highest window decides, against a bound for the candidate's
-character class. Plain words, numbers, and what an allow-list names are suppressed. Base spans stay.
+character class. Candidates without a digit or without a letter (words, names, numbers), and those that hold a word of the allow-list, are
+suppressed. Base spans stay.
 
-Null texts count as empty. Offsets are code points, ends exclusive. Repeated rows get a row each; other columns
+Very long texts are scanned whole. Null texts count as empty. Offsets are code points, ends exclusive. Repeated rows get a row each; other columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -32,7 +33,6 @@ _VALUE = r"^[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?(.*)$"
 _ACCESS = "AKIA[A-Z0-9]++"
 _HEX = "[0-9a-f]{16,}+"
 _CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
-_WORDS = r"^[+/_=-]*[A-Za-z]?[a-z]*(?:[+/_=-]+[A-Za-z]?[a-z]*){0,40}$|^[A-Z+/_=-]*$|^[0-9+/_=-]*$"
 
 
 def base(text: Column) -> Column:
@@ -69,9 +69,9 @@ def highest_entropy(s: Column) -> Column:
 
 def suspicious(x: Column) -> Column:
     m = x["m"]
-    allowed = m.rlike(_WORDS) | F.lower(m).rlike(ALLOWED)
+    allowed = ~(m.rlike("[0-9]") & m.rlike("[A-Za-z]")) | F.lower(m).rlike(ALLOWED)
     bound = F.when(m.rlike("^[0-9a-f]+$"), BOUNDS["hex"]).when(m.rlike("^[0-9a-z+/_=-]+$"), BOUNDS["lower"]).when(m.rlike("^[0-9A-Z+/_=-]+$"), BOUNDS["upper"]).when(m.rlike("^[0-9A-Za-z]+$"), BOUNDS["alnum"]).otherwise(BOUNDS["mixed"])
-    return F.when(allowed | ~m.rlike("[0-9]"), False).otherwise(highest_entropy(m) >= bound)
+    return F.when(allowed, False).otherwise(highest_entropy(m) >= bound)
 
 
 def scan(docs: DataFrame) -> DataFrame:
