@@ -7,7 +7,7 @@ is rejected where it has no letter, or where its distance to the nearest centroi
 training text of about its length had, with a margin. Lengths with few training texts take their bound from texts cut
 to that length, or from the nearest lengths (``bounds``).
 
-Training takes at most ``SAMPLE`` rows in all, dealt evenly over the languages by a hash of doc_id; prediction reads
+Training takes about ``SAMPLE`` rows in all, dealt evenly over the languages by a hash of doc_id, and ``FEW`` a language at least; prediction reads
 whole texts of all rows. Null or letterless texts get ``und`` and score 0. Without any labelled row all get
 ``und``. Repeated rows get a row each; other columns are ignored; an empty table gives an empty result.
 """
@@ -87,8 +87,8 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     while len(centres) < min(k, len(x)):
         centres = np.concatenate([centres, x[[int(np.argmin((x @ centres.T).max(1)))]]])
     for _ in range(rounds):
-        own = np.argmax(x @ centres.T, 1)
-        centres = np.stack([unit(x[own == j].mean(0)) if (own == j).any() else centres[j] for j in range(len(centres))])
+        member = (np.argmax(x @ centres.T, 1)[None] == np.arange(len(centres))[:, None]).astype(x.dtype)
+        centres = np.where(member.any(1)[:, None], unit(member @ x), centres)
     return centres
 
 
@@ -133,20 +133,22 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(cut), pa.array([a.tobytes() for a in at]), pa.array([c[a].astype(np.int32).tobytes() for c, a in zip(made, at, strict=True)])], ["lang", "cut", "at", "n"])
 
     found = common.map_batches(chosen, fn, "lang string, cut boolean, at binary, n binary").collect()
-    rows = [r for r in found if not r["cut"]]
+    rows = sorted((r for r in found if not r["cut"]), key=lambda r: r["lang"])  # a language is a slice
     short = [(np.frombuffer(r["at"], np.int16), np.frombuffer(r["n"], np.int32)) for r in found if r["cut"]]
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
-    raw = np.zeros((len(rows), DIMS), np.float32)
+    x = np.zeros((len(rows), DIMS), np.float32)  # the one large array: all that follows changes it where it lies
     for k, r in enumerate(rows):
-        raw[k, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["n"], np.int32)
-    sizes = raw.sum(1).astype(np.int64)
-    idf = np.log((1 + len(rows)) / (1 + (raw > 0).sum(0))).astype(np.float32) + 0.1
-    x = np.log1p(raw) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    label = np.array([langs.index(r["lang"]) for r in rows])
-    made = [cluster(x[label == k], centroids) for k in range(len(langs))]
+        x[k, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["n"], np.int32)
+    sizes = x.sum(1, dtype=np.float64).astype(np.int64)
+    idf = np.log((1 + len(rows)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(0.1)
+    np.log1p(x, out=x)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    edges = np.searchsorted([r["lang"] for r in rows], [*langs, chr(0x10FFFF)])
+    del found, rows
+    made = [cluster(x[a:b], centroids) for a, b in zip(edges, edges[1:], strict=False)]
     all_c, owner = np.concatenate(made), np.repeat(np.arange(len(langs)), [len(c) for c in made])
     cos = (x @ all_c.T).max(1)
     length = np.array([int(n).bit_length() for n in sizes])
