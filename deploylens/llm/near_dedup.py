@@ -40,7 +40,9 @@ PRINT_DISTANCE = 44
 #: Nodes of a bucket that one task holds; a bucket with more is dealt over pairs of shares of it.
 BUCKET_NODES = 40_000
 #: Variants sorted at once.
-SORTED_VARIANTS = 4_000_000
+SORTED_VARIANTS = 1_000_000
+#: Pairs whose prints are compared at once.
+PAIRS = 1 << 18
 #: Nodes and shingles of a tile's side, about.
 TILE_NODES, TILE_SHINGLES = 1024, 400_000
 #: Bits of a tile's shingles that are compared at once.
@@ -103,8 +105,8 @@ def gathered(prints: np.ndarray, view: int, mask: int) -> tuple[np.ndarray, np.n
         """Connects the pairs whose prints are near."""
         own = label[a] != label[b]
         a, b = a[own], b[own]
-        for at in range(0, len(a), 1 << 20):
-            x, y = a[at : at + (1 << 20)], b[at : at + (1 << 20)]
+        for at in range(0, len(a), PAIRS):
+            x, y = a[at : at + PAIRS], b[at : at + PAIRS]
             hit = near(x, y)
             if hit.any():
                 top, low = simhash.forest(label[x[hit]], label[y[hit]])
@@ -122,8 +124,11 @@ def gathered(prints: np.ndarray, view: int, mask: int) -> tuple[np.ndarray, np.n
             if shares > 1:
                 packed = packed[(v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & np.uint64(shares - 1) == share]
             made.append(packed)
-        packed = np.sort(np.concatenate(made))
-        v, w = packed >> np.uint64(32), (packed & np.uint64(2**32 - 1)).astype(np.int64)
+        packed = np.concatenate(made)
+        made.clear()
+        packed.sort()
+        v, w = (packed >> np.uint64(32)).astype(np.uint32), (packed & np.uint64(2**32 - 1)).astype(np.int32)
+        del packed
         same = v[1:] == v[:-1]
         i = np.flatnonzero(same)
         if not len(i):
