@@ -45,8 +45,18 @@ def spans(text: Column, pattern: str, kind: str, gate: Column) -> Column:
 
 
 def clear_of(found: Column, taken: Column) -> Column:
-    """The spans of ``found`` that overlap none of ``taken``."""
-    return F.filter(found, lambda a: ~F.exists(taken, lambda b: (a["s"] < b["e"]) & (b["s"] < a["e"])))
+    """The spans of ``found`` that overlap none of ``taken``, which is looked through in chunks: only those that reach a span are
+    compared with it one by one. Each kind in ``taken`` is in order, so a chunk covers a short part of the text."""
+
+    def chunk(c: Column) -> Column:
+        part = F.slice(taken, c * CHUNK + 1, F.lit(CHUNK))
+        return F.struct(F.array_min(F.transform(part, lambda b: b["s"])).alias("s"), F.array_max(F.transform(part, lambda b: b["e"])).alias("e"), part.alias("spans"))
+
+    meet = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
+    last = F.floor((F.size(taken) - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), chunk)
+    free = lambda p: F.filter(found, lambda a: ~F.exists(p, lambda c: meet(a, c) & F.exists(c["spans"], lambda b: meet(a, b))))
+    return F.when(F.size(taken) == 0, found).otherwise(F.flatten(F.transform(F.array(chunks), free)))  # through an array of one, so that chunks are made once
 
 
 def joined(found: Column) -> Column:
