@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language_id, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup, topk, toxicity
+from . import common, language_id, packing, periodic_runs, pii, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup, topk, toxicity
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(common.table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest_documents(common.table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -55,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_packing, op4_simhash, op5_pii, op6_suffix_dedup, op7_language_id, op8_secret_scan, op9_toxicity, op10_quality, pipeline)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_packing, op4_simhash, op5_pii, op6_suffix_dedup, op7_language_id, op8_secret_scan, op9_toxicity, op10_quality, op13_periodic_runs, pipeline)}
 
 
 TOPK_SQL = """
