@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language_id, packing, periodic_runs, pii, quality, secret_scan, sentencepiece_codec, simhash, spelling, suffix_dedup, topk, toxicity
+from . import common, language_id, ordered_packing, packing, periodic_runs, pii, quality, secret_scan, sentencepiece_codec, simhash, spelling, suffix_dedup, topk, toxicity
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(common.table(spark, sf_dir, "documents"))
 
 
+def op11_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered_packing.pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(common.table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_packing, op4_simhash, op5_pii, op6_suffix_dedup, op7_language_id, op8_secret_scan, op9_toxicity, op10_quality, op12_spelling, op13_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_packing, op4_simhash, op5_pii, op6_suffix_dedup, op7_language_id, op8_secret_scan, op9_toxicity, op10_quality, op11_ordered_packing, op12_spelling, op13_periodic_runs, pipeline)}
 
 
 TOPK_SQL = """
