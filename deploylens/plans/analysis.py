@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators import detect, index, routes
 from ..semantics import DEFAULT, Semantics
-from ..sources import archives, sinks
+from ..sources import archives, sinks, split
 
 ROUTE_ORDER = ["input_id", "neg", "pos"]
 CLASS_ORDER = ["input_id", "neg", "file_path"]
+#: Files of this size and more are not held whole by a task.
+SPLIT_BYTES = 256 << 20
 
 
 @dataclass
@@ -66,8 +68,14 @@ def scan(spark: SparkSession, inputs: list[str], semantics: Semantics = DEFAULT)
     plain = [p for p in ordered if not os.path.isdir(p)]
     found, names = None, []
     if plain:
-        found = archives.entries(archives.files(spark, plain), semantics=semantics)
         names = [os.path.basename(p) if os.path.relpath(p).startswith("..") else os.path.relpath(p) for p in plain]
+        small = [p for p in plain if os.path.getsize(p) < SPLIT_BYTES]
+        if small:
+            found = archives.entries(archives.files(spark, plain, small), semantics=semantics)
+        if len(small) < len(plain):
+            large = split.files(spark, plain).filter(~F.col("uri").isin([os.path.abspath(p) for p in small]))
+            rows = split.entries(large, semantics=semantics)
+            found = rows if found is None else found.unionByName(rows)
     for k, path in enumerate(ordered[len(plain) :], len(plain)):
         rows = archives.directory(spark, path, k, semantics)
         found = rows if found is None else found.unionByName(rows)

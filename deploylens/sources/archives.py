@@ -150,12 +150,12 @@ def entries(archives: DataFrame, kinds: frozenset[str] = EVERY, semantics: Seman
     return archives.mapInArrow(each, schemas.ENTRIES)
 
 
-def files(spark: SparkSession, inputs: list[str]) -> DataFrame:
-    """(input_id, archive_name, content) of archive files, read in one scan; names are relative to the working directory where below it."""
+def files(spark: SparkSession, inputs: list[str], wanted: list[str] | None = None) -> DataFrame:
+    """(input_id, archive_name, content) of archive files (of ``wanted`` among them, if given), read in one scan; names are relative to the working directory where below it."""
     shown = [os.path.relpath(p) for p in inputs]
     rows = [(k, os.path.basename(p) if r.startswith("..") else r, os.path.abspath(p)) for k, (p, r) in enumerate(zip(inputs, shown, strict=True))]
     named = spark.createDataFrame(rows, "input_id long, archive_name string, at string")
-    found = spark.read.format("binaryFile").load([os.path.abspath(p) for p in dict.fromkeys(inputs)])
+    found = spark.read.format("binaryFile").load([os.path.abspath(p) for p in dict.fromkeys(inputs if wanted is None else wanted)])
     return found.select(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/").alias("at"), "content").join(named, "at").select("input_id", "archive_name", "content")
 
 
