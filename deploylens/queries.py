@@ -9,14 +9,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import synth
+from . import scratch, synth
 from .functions import bytecode, configs, java_source, paths
 from .operators import detect, index
 from .operators import routes as R
 from .plans import analysis
 from .schemas import ANNOTATION, METHOD
 from .semantics import DEFAULT, documented, reference
-from .sources import archives, sinks
+from .sources import archives, sinks, split
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -293,6 +293,60 @@ def s_dir_components(spark, sf):
     return detect.components(archives.jar_names(archives.trees(dir_trees(spark, sf)))).select("input_id", "name", "version")
 
 
+BUNDLE = 64
+
+
+def bundle(rows: list[dict]) -> bytes:
+    """A war of so many parts: a controller each, and an inner jar, every other one stored, which holds a class of one name
+    (broken for some), a resource, and for odd keys a jar of its own."""
+    files: list[tuple[str, bytes | str, bool]] = []
+    for r in rows:
+        k = r["k"]
+        inner = [("com/acme/Dup.class", b"\xca\xfe\xba\xbe\0\0\0\x34\0\x03\xff" if k % 5 == 0 else bytecode.encode(f"com/acme/Dup{k}"), False), (f"com/acme/rest/Res{k}.class", synth.jaxrs_class(k), True)]
+        if k % 2:
+            inner.append(("lib/deep.jar", synth.zipped({f"com/acme/Deep{k}.class": bytecode.encode(f"com/acme/Deep{k}")}), k % 3 == 0))
+        files += [(f"WEB-INF/classes/com/acme/web/Part{k}.class", synth.spring_class(k, r["brand"]), False), (f"WEB-INF/lib/x{k}.jar", synth.packed(inner), k % 4 < 2)]
+    return synth.packed(files)
+
+
+def bundles(spark: SparkSession, sf: str) -> DataFrame:
+    """(input_id, archive_name, uri) of archives that tasks write from the table's rows, a bounded number of rows each."""
+    import pandas as pd
+
+    root = f"{scratch.shared_dir(spark)}/bundles-{scratch.uuid.uuid4().hex}"
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("k")
+        number = int(rows["k"].iloc[0]) // BUNDLE
+        uri = f"{root}/b{number}.war"
+        split.put(uri, bundle(rows.to_dict("records")))
+        return pd.DataFrame({"input_id": [number], "archive_name": [f"b{number}.war"], "uri": [uri]})
+
+    made = parts(spark, sf).groupBy(F.floor(F.col("k") / BUNDLE)).applyInPandas(write, "input_id long, archive_name string, uri string")
+    return scratch.Scratch(spark).written(made, "bundles")
+
+
+@query(f"""WITH p AS (SELECT k, brand, k // {BUNDLE} AS b, 'b' || (k // {BUNDLE}) || '.war' AS w FROM {{P}}),
+d AS (SELECT b, w, max(k) AS k FROM p WHERE k % 5 <> 0 GROUP BY b, w)
+SELECT b AS input_id, 'class' AS kind, w AS archive_name, 'WEB-INF/classes/com/acme/web/Part' || k || '.class' AS name, 'com/acme/web/Part' || k AS this_class FROM p
+UNION ALL SELECT b, 'jar', w, w || '!x' || k || '.jar', NULL FROM p
+UNION ALL SELECT b, 'class', w || '!x' || k || '.jar', 'com/acme/rest/Res' || k || '.class', 'com/acme/rest/Res' || k FROM p
+UNION ALL SELECT b, 'class', w || '!x' || k || '.jar', 'com/acme/Dup.class', 'com/acme/Dup' || k FROM d
+UNION ALL SELECT b, 'jar', w || '!x' || k || '.jar', w || '!x' || k || '.jar!deep.jar', NULL FROM p WHERE k % 2 = 1
+UNION ALL SELECT b, 'class', w || '!x' || k || '.jar!deep.jar', 'com/acme/Deep' || k || '.class', 'com/acme/Deep' || k FROM p WHERE k % 2 = 1""")
+def s_split_archive(spark, sf):
+    """What counts in archives whose entries are listed and read by ranges."""
+    rows = split.entries(bundles(spark, sf)).filter("NOT superseded AND error IS NULL")
+    return rows.select("input_id", "kind", "archive_name", F.col("entry_name").alias("name"), "parsed.this_class")
+
+
+@query(f"SELECT k // {BUNDLE} AS input_id, count(*) AS n, CAST(sum(CAST(k % 2 = 1 AS INT)) AS BIGINT) AS deep FROM {{P}} GROUP BY 1")
+def s_inner_frontier(spark, sf):
+    """Inner archives found, level by level."""
+    every = split.directories(bundles(spark, sf), scratch.Scratch(spark), frozenset({"jar"}), DEFAULT).filter("kind = 'jar'")
+    return every.groupBy("input_id").agg(F.sum((F.col("depth") == 0).cast("long")).alias("n"), F.sum((F.col("depth") == 1).cast("long")).alias("deep"))
+
+
 # class files ---------------------------------------------------------------------------------
 
 

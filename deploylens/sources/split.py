@@ -79,13 +79,25 @@ class Part:
         return data
 
 
-def opened(uri: str) -> Part:
-    """A file of the local or a mounted file system, or of a store by its URI."""
+def stored_at(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and path of a URI, or of a path of the local or a mounted file system."""
     if "://" in uri or uri.startswith("file:"):
-        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-        file = fs.open_input_file(path)
-        return Part(file, 0, file.size())
-    return Part(open(uri, "rb"), 0, os.path.getsize(uri))
+        return pyarrow.fs.FileSystem.from_uri(uri)
+    return pyarrow.fs.LocalFileSystem(), uri
+
+
+def opened(uri: str) -> Part:
+    fs, path = stored_at(uri)
+    file = fs.open_input_file(path)
+    return Part(file, 0, file.size())
+
+
+def put(uri: str, data: bytes) -> None:
+    """Writes a file and the folders above it; a repeated task writes the same."""
+    fs, path = stored_at(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(data)
 
 
 def blocks(archive: Part, step: dict) -> Iterator[bytes]:

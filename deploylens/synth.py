@@ -106,6 +106,15 @@ def zipped(files: dict[str, bytes | str]) -> bytes:
     return out.getvalue()
 
 
+def packed(files: list[tuple[str, bytes | str, bool]]) -> bytes:
+    """Names (which may repeat), contents, and whether they are stored as they are."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data, stored in files:
+            z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), data, zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
 def jar_of(k: int, size: int) -> str:
     return f"{LITERALS[k % len(LITERALS)]}-{size}.{k % 4}.RELEASE.jar"
 
