@@ -144,8 +144,17 @@ def members(c: Cursor, pool: Pool) -> list[dict]:
     return out
 
 
-def decode(data: bytes) -> dict:
-    """The row of a class file; ValueError where it is none."""
+def passed(c: Cursor) -> None:
+    """Goes over fields or methods without reading them."""
+    for _ in range(c.u2()):
+        c.u2(), c.u2(), c.u2()
+        for _ in range(c.u2()):
+            c.u2()
+            c.take(c.u4())
+
+
+def decode(data: bytes, light: bool = False) -> dict:
+    """The row of a class file; ValueError where it is none. A ``light`` row has no methods and no values of annotations."""
     c = Cursor(data)
     if c.u4() != 0xCAFEBABE:
         raise ValueError("no class file")
@@ -153,11 +162,18 @@ def decode(data: bytes) -> dict:
     pool = Pool(c)
     access, this, parent = c.u2(), pool.class_name(c.u2()), pool.class_name(c.u2())
     interfaces = [pool.class_name(c.u2()) for _ in range(c.u2())]
-    members(c, pool)
-    methods = members(c, pool)
+    passed(c)
+    methods: list[dict] = []
+    if light:
+        passed(c)
+    else:
+        methods = members(c, pool)
+    marks = annotations(attributes(c, pool), pool)
+    if light:
+        marks = [{"type": a["type"], "elements": []} for a in marks]
     return {
         "major": major, "minor": minor, "access": access, "this_class": this, "super_class": parent, "interfaces": interfaces,
-        "class_annotations": annotations(attributes(c, pool), pool), "methods": methods,
+        "class_annotations": marks, "methods": methods,
     }
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import configs, paths
+from ..functions import paths
 from ..semantics import DEFAULT, Semantics
+from . import marks
 from . import routes as R
 
 #: (component, category, jar literal), in order of match. Fixed values.
@@ -169,57 +170,41 @@ VERSION_COMPONENTS = ("JAX-RS", "Spring Boot", "Spring MVC", "Spring Web", "Stru
 EWAY = "com/eway"
 
 
+def version_hit(jar: Column, semantics: Semantics = DEFAULT) -> Column:
+    """The catalogue entry and version that a stored jar name stands for."""
+    return versioned(paths.basename(jar, True) if semantics.version_basename else jar, semantics)
+
+
 def jar_versions(jars: DataFrame, semantics: Semantics = DEFAULT) -> DataFrame:
     """(input_id, component, version): the first jar that gives a framework's version, as it stands in the name."""
-    name = paths.basename(F.col("jar_name"), True) if semantics.version_basename else F.col("jar_name")
-    hit = versioned(name, semantics)
+    hit = version_hit(F.col("jar_name"), semantics)
     found = jars.select("input_id", "visit_seq", "jar_name", hit.alias("hit")).filter(F.col("hit.component").isin(*VERSION_COMPONENTS))
     return found.groupBy("input_id", F.col("hit.component").alias("component")).agg(F.min_by("hit.version", F.struct("visit_seq", "jar_name")).alias("version"))
 
 
 def frameworks(ctx: R.Context, jars: DataFrame, semantics: Semantics = DEFAULT) -> DataFrame:
-    """(input_id, ord, name, version, confidence, evidence). All marks of an input are gathered in one aggregation
-    over its classes and one over its files."""
-    cls, marks = F.col("this_class"), F.col("class_annotations")
-    flag = lambda c: F.max(F.coalesce(c, F.lit(False)))
-    few = lambda c, n: F.slice(F.array_sort(F.collect_set(c)), 1, n)
-    by_class = ctx.classes.groupBy("input_id").agg(
-        flag(R.present(marks, [R.CONTROLLER, R.REST])).alias("mvc"), flag(R.present(marks, R.PATHS)).alias("rest"),
-        flag(F.contains(cls, F.lit(EWAY))).alias("eway_class"), flag(cls.rlike("com/opensymphony/(webwork|xwork)")).alias("webwork_class"),
-        F.min(F.when(F.contains(cls, F.lit(f"{EWAY}/framework")), cls)).alias("eway_base"), F.min(F.when(F.contains("super_class", F.lit("ActionSupport")), cls)).alias("support"),
-        F.array_sort(F.collect_set(F.when(R.present(marks, R.SERVLETS), cls))).alias("servlets"),
-    )
-    name = F.col("entry_name")
-    xwork, default = configs.is_xwork_file(name), F.endswith(F.lower(name), F.lit("webwork-default.xml"))
-    by_file = ctx.xml_files.groupBy("input_id").agg(
-        few(F.when(xwork & F.contains(name, F.lit(EWAY)), name), 3).alias("eway_files"), F.min(F.when(default, name)).alias("eway_default"),
-        few(F.when(configs.is_struts_file(name), name), 3).alias("struts_files"), few(F.when(xwork, name), 3).alias("xwork_files"),
-        F.array_sort(F.collect_set(F.when(configs.is_web_file(name), name))).alias("web_files"),
-    )
-    main = configs.manifest_main(F.col("manifest"))
-    heads = ctx.manifests.select("input_id", configs.is_boot(main).alias("boot"), F.coalesce(main["Spring-Boot-Version"], F.lit("")).alias("boot_version"))
-    versions = jar_versions(jars, semantics).groupBy("input_id").agg(F.map_from_entries(F.collect_list(F.struct("component", "version"))).alias("versions"))
-    row = ctx.inputs.select("input_id")
-    for part in (by_class, by_file, heads, versions):
-        row = row.join(part, "input_id", "left")
-    none = F.array().cast("array<string>")
-    some = lambda c: F.coalesce(F.col(c), none)
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    version = lambda *names: F.coalesce(*(F.try_element_at(F.col("versions"), F.lit(n)) for n in names), F.lit(""))
-    one = lambda text, c: F.when(F.col(c).isNotNull(), F.array(F.concat(F.lit(text), F.col(c)))).otherwise(none)
-    eway = (F.size(some("eway_files")) > 0) | F.col("eway_default").isNotNull() | yes("eway_class")
-    eway_evidence = F.concat(F.when(F.size(some("eway_files")) > 0, some("eway_files")).when(F.col("eway_default").isNotNull(), F.array("eway_default")).otherwise(none), one("Eway base class: ", "eway_base"))
-    webwork = (F.size(some("xwork_files")) > 0) | yes("webwork_class")
-    servlet = (F.size(some("web_files")) > 0) | (F.size(some("servlets")) > 0)
+    """(input_id, ord, name, version, confidence, evidence) of the inputs of a context."""
+    return frameworks_of(marks.of_context(ctx, jars, semantics), ctx.inputs)
+
+
+def frameworks_of(found: DataFrame, inputs: DataFrame) -> DataFrame:
+    """The same, given the inputs' ``marks``."""
+    row = inputs.select("input_id").join(found, "input_id", "left")
+    has, version = marks.has, marks.version_of
+    eway_files, struts_files, xwork_files = (marks.named(n, 3) for n in ("eway_file", "struts_file", "xwork_file"))
+    first = lambda text, mark: F.transform(marks.named(mark, 1), lambda n: F.concat(F.lit(text), n))
+    eway = has("eway_file", "eway_default", "eway_class")
+    eway_evidence = F.concat(F.when(has("eway_file"), eway_files).otherwise(marks.named("eway_default", 1)), first("Eway base class: ", "eway_base"))
+    webwork = has("xwork_file", "webwork_class")
     tomcat = version("Tomcat")
     found = (
-        (yes("boot"), "Spring Boot", F.coalesce(F.nullif("boot_version", F.lit("")), version("Spring Boot")), 95, F.array(F.lit("BOOT-INF directory found"), F.lit("MANIFEST.MF Spring-Boot headers"))),
-        (yes("mvc"), "Spring MVC", version("Spring MVC", "Spring Web"), 90, F.array(F.lit("@Controller/@RestController annotations found"))),
+        (has("boot"), "Spring Boot", F.coalesce(F.nullif("boot_version", F.lit("")), version("Spring Boot")), 95, F.array(F.lit("BOOT-INF directory found"), F.lit("MANIFEST.MF Spring-Boot headers"))),
+        (has("mvc"), "Spring MVC", version("Spring MVC", "Spring Web"), 90, F.array(F.lit("@Controller/@RestController annotations found"))),
         (eway, "Eway Framework", F.lit("2.x"), 90, eway_evidence),
-        (F.size(some("struts_files")) > 0, "Struts2", F.coalesce(F.nullif(version("Struts2"), F.lit("")), F.lit("2.x")), 90, some("struts_files")),
-        (webwork | eway, "WebWork", F.lit("2.x"), 85, F.when(webwork, F.concat(some("xwork_files"), one("ActionSupport subclass: ", "support"))).otherwise(F.array(F.lit("xwork configuration files found (Eway Framework base)")))),
-        (yes("rest"), "JAX-RS", version("JAX-RS"), 85, F.array(F.lit("@Path annotations found on resource classes"))),
-        (servlet, "Servlet", F.when(tomcat != "", F.concat(F.lit("Tomcat "), tomcat)).otherwise(""), 80, F.concat(some("web_files"), F.transform(some("servlets"), lambda c: F.concat(F.lit("@WebServlet on "), c)))),
+        (has("struts_file"), "Struts2", F.coalesce(F.nullif(version("Struts2"), F.lit("")), F.lit("2.x")), 90, struts_files),
+        (webwork | eway, "WebWork", F.lit("2.x"), 85, F.when(webwork, F.concat(xwork_files, first("ActionSupport subclass: ", "action_support"))).otherwise(F.array(F.lit("xwork configuration files found (Eway Framework base)")))),
+        (has("rest"), "JAX-RS", version("JAX-RS"), 85, F.array(F.lit("@Path annotations found on resource classes"))),
+        (has("web_file", "servlet_class"), "Servlet", F.when(tomcat != "", F.concat(F.lit("Tomcat "), tomcat)).otherwise(""), 80, F.concat(marks.named("web_file"), F.transform(marks.named("servlet_class"), lambda c: F.concat(F.lit("@WebServlet on "), c)))),
     )
     kind = "struct<ord:int,name:string,version:string,confidence:int,evidence:array<string>>"
     each = [F.when(cond, F.struct(F.lit(k).alias("ord"), F.lit(n).alias("name"), v.alias("version"), F.lit(c).alias("confidence"), e.alias("evidence"))).cast(kind) for k, (cond, n, v, c, e) in enumerate(found)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -12,10 +12,19 @@ ROUTE_KEY = ["http_methods", "url", "class_name", "method_name", "framework"]
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key, as an aggregate that combines before the shuffle."""
-    rest = [c for c in rows.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return picked.select(*keys, "_row.*").select(*rows.columns)
+    """The first row of each key. A 64-bit hash of the key stands before it, so that the sorts compare numbers and look at
+    the key itself where hashes agree; of each task's rows only the first of a key is shuffled."""
+    key, n = free_name(rows, "_key"), free_name(rows, "_n")
+    at = Window.partitionBy(key, *keys).orderBy(*order)
+    ranked = rows.withColumn(key, F.xxhash64(*keys)).withColumn(n, F.row_number().over(at))
+    return ranked.filter(F.col(n) == 1).select(*rows.columns)
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def dedup_routes(routes: DataFrame, order: list[str], semantics: Semantics = DEFAULT) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detect, index, routes
+from ..operators import detect, index, marks, routes
 from ..semantics import DEFAULT, Semantics
 from ..sources import archives, sinks, split
 
@@ -54,7 +54,7 @@ def analyse(entries: DataFrame, inputs: DataFrame, semantics: Semantics = DEFAUL
     classes = index.dedup_classes(classes.withColumn("neg", -F.col("prio")), CLASS_ORDER)
     jars = archives.jar_names(entries)
     components = index.merge_components(detect.components(jars, semantics), ["input_id", "name"])
-    return Analysis(entries, found, index.controllers(found, ROUTE_ORDER), classes, detect.frameworks(ctx, jars, semantics), components)
+    return Analysis(entries, found, index.controllers(found, ROUTE_ORDER), classes, detect.frameworks_of(marks.of_entries(entries, semantics), inputs), components)
 
 
 def scan(spark: SparkSession, inputs: list[str], semantics: Semantics = DEFAULT) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import scratch, synth
 from .functions import bytecode, configs, java_source, paths
-from .operators import detect, index
+from .operators import detect, index, marks
 from .operators import routes as R
 from .plans import analysis
 from .schemas import ANNOTATION, METHOD
@@ -132,8 +132,8 @@ def wars(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("k").alias("input_id"), F.concat(F.lit("app"), "k", F.lit(".war")).alias("archive_name"), F.col("data").alias("content"))
 
 
-def entries(spark: SparkSession, sf: str, semantics=DEFAULT, kinds=archives.EVERY) -> DataFrame:
-    return archives.entries(wars(spark, sf), kinds, semantics)
+def entries(spark: SparkSession, sf: str, semantics=DEFAULT, kinds=archives.EVERY, light: bool = False) -> DataFrame:
+    return archives.entries(wars(spark, sf), kinds, semantics, light=light)
 
 
 def held(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,10 +145,6 @@ def inputs(spark: SparkSession, sf: str) -> DataFrame:
     return parts(spark, sf).select(F.col("k").alias("input_id"), F.concat(F.lit("app"), "k", F.lit(".war")).alias("archive_name"))
 
 
-def context(spark: SparkSession, sf: str) -> R.Context:
-    return analysis.context(held(spark, sf), inputs(spark, sf))
-
-
 #: What the catalogue must say, for the oracles alone: order, component, category, literal. Fixed values.
 _CATALOG_SQL = """(SELECT * FROM (VALUES
   (0, 'Spring MVC', 'Framework', 'spring-webmvc'),
@@ -680,14 +676,26 @@ def p_has_mapping(spark, sf):
     return spring_classes(spark, sf).select("k", F.explode("methods").alias("m")).select("k", "m.name", R.has_mapping(F.col("m.annotations")).alias("mapped"))
 
 
-@query("SELECT k AS input_id, true AS spring, true AS rest, k % 3 = 0 AND k % 2 = 0 AS boot, k % 11 = 0 AS webwork FROM {P}")
+@query("SELECT k AS input_id, true AS spring, true AS rest, k % 3 = 0 AND k % 2 = 0 AS boot, k % 11 = 0 AS webwork, k % 4 = 0 OR k % 5 = 0 AS struts, true AS servlet FROM {P}")
 def p_can_handle(spark, sf):
-    ctx = context(spark, sf)
-    a = F.col("class_annotations")
-    flags = ctx.classes.groupBy("input_id").agg(F.max(R.present(a, [R.CONTROLLER, R.REST])).alias("spring"), F.max(R.present(a, R.PATHS)).alias("rest"))
-    boot = ctx.manifests.select("input_id", configs.is_boot(configs.manifest_main(F.col("manifest"))).alias("boot"))
-    work = R.uses_webwork(ctx).select("input_id", F.lit(True).alias("webwork"))
-    return flags.join(boot, "input_id").join(work, "input_id", "left").select("input_id", "spring", "rest", "boot", F.coalesce("webwork", F.lit(False)).alias("webwork"))
+    """All gates, in one pass over light entries."""
+    found = marks.of_entries(entries(spark, sf, light=True), filters=True)
+    return found.select("input_id", *(gate.alias(name) for name, gate in marks.gates().items()))
+
+
+@query("SELECT k AS input_id, k % 4 < 2 AS struts, k % 4 <> 3 AS servlet FROM {P}")
+def p_struts_filter(spark, sf):
+    """A Struts filter of WEB-INF/web.xml opens its gate; one of another descriptor only where there is none."""
+    filtered = "<web-app><filter><filter-name>f</filter-name><filter-class>org.apache.struts2.dispatcher.FilterDispatcher</filter-class></filter></web-app>"
+    files = parts(spark, sf).filter("k % 4 <> 3").select(
+        F.col("k").alias("input_id"), F.when(F.col("k") % 4 == 0, "WEB-INF/web.xml").otherwise("conf/my-web.xml").alias("entry_name"),
+        F.lit(filtered).alias("xml"),
+    )
+    plain = parts(spark, sf).filter("k % 4 = 2").select(F.col("k").alias("input_id"), F.lit("WEB-INF/web.xml").alias("entry_name"), F.lit("<web-app/>").alias("xml"))
+    empty = spark.createDataFrame([], "input_id long, visit_seq long, jar_name string")
+    ctx = alone(spark, sf, files=files.unionByName(plain))
+    found = ctx.inputs.select("input_id").join(marks.of_context(ctx, empty, filters=True), "input_id", "left")
+    return found.select("input_id", *(marks.gates()[n].alias(n) for n in ("struts", "servlet")))
 
 
 # detection -----------------------------------------------------------------------------------
@@ -735,9 +743,8 @@ _BOOT = "k % 3 = 0 AND k % 2 = 0"
 
 @query("SELECT k AS input_id, name, CAST(confidence AS INTEGER) AS confidence FROM (SELECT k, 'Spring Boot' AS name, 95 AS confidence FROM {P} WHERE " + _BOOT + " UNION ALL SELECT k, 'Spring MVC', 90 FROM {P} UNION ALL SELECT k, 'Struts2', 90 FROM {P} WHERE k % 4 = 0 UNION ALL SELECT k, 'WebWork', 85 FROM {P} WHERE k % 11 = 0 UNION ALL SELECT k, 'JAX-RS', 85 FROM {P} UNION ALL SELECT k, 'Servlet', 80 FROM {P})")
 def d_frameworks(spark, sf):
-    found = held(spark, sf)
-    ctx = analysis.context(found, inputs(spark, sf))
-    return detect.frameworks(ctx, archives.jar_names(found)).select("input_id", "name", "confidence")
+    found = marks.of_entries(entries(spark, sf, light=True))
+    return detect.frameworks_of(found, inputs(spark, sf)).select("input_id", "name", "confidence")
 
 
 _V = "size || '.' || (k % 4) || '.RELEASE'"
@@ -745,8 +752,7 @@ _V = "size || '.' || (k % 4) || '.RELEASE'"
 
 @query(f"SELECT k AS input_id, name, version, evidence FROM (SELECT k, 'Spring MVC' AS name, CASE WHEN literal IN ('spring-webmvc', 'spring-web') THEN {_V} ELSE '' END AS version, '@Controller/@RestController annotations found' AS evidence FROM {JARS} UNION ALL SELECT k, 'JAX-RS', CASE WHEN literal IN ('javax.ws.rs-api', 'jakarta.ws.rs-api') THEN {_V} ELSE '' END, '@Path annotations found on resource classes' FROM {JARS} UNION ALL SELECT k, 'Servlet', CASE WHEN literal = 'tomcat-embed-core' THEN 'Tomcat ' || {_V} ELSE '' END, 'WEB-INF/web.xml; @WebServlet on com/acme/src/Src' || k FROM {JARS} UNION ALL SELECT k, 'WebWork', '2.x', CASE WHEN k % 5 = 0 THEN 'xwork-a.xml; ActionSupport subclass: com/acme/act/Act' || k ELSE 'xwork-a.xml' END FROM {JARS} WHERE k % 11 = 0)")
 def d_framework_evidence(spark, sf):
-    found = held(spark, sf)
-    rows = detect.frameworks(analysis.context(found, inputs(spark, sf)), archives.jar_names(found)).filter("name IN ('Spring MVC', 'JAX-RS', 'Servlet', 'WebWork')")
+    rows = detect.frameworks_of(marks.of_entries(entries(spark, sf, light=True)), inputs(spark, sf)).filter("name IN ('Spring MVC', 'JAX-RS', 'Servlet', 'WebWork')")
     return rows.select("input_id", "name", "version", F.array_join("evidence", "; ").alias("evidence"))
 
 

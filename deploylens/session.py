@@ -15,6 +15,7 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)

@@ -44,18 +44,24 @@ def _opens(name: str, kind: str, semantics: Semantics) -> bool:
     return kind in ("jar", "war") and "lib/" in name.lower()
 
 
-def parsed_row(kind: str, data: bytes, semantics: Semantics) -> tuple[dict | None, str | None]:
+def parsed_row(kind: str, data: bytes, semantics: Semantics, light: bool = False) -> tuple[dict | None, str | None]:
+    """A class or source parsed, or why not; a ``light`` row has no methods and no values of annotations."""
     try:
-        return (bytecode.decode(data) if kind == "class" else java_source.decode(data.decode("utf-8", "replace"), semantics.overload_annotations)), None
+        if kind == "class":
+            return bytecode.decode(data, light), None
+        row = java_source.decode(data.decode("utf-8", "replace"), semantics.overload_annotations)
     except ValueError as e:
         return None, str(e)
+    if light:
+        row |= {"methods": [], "class_annotations": [{"type": a["type"], "elements": []} for a in row["class_annotations"]]}
+    return row, None
 
 
 class Walk:
     """The entries of one archive, its inner archives included."""
 
-    def __init__(self, input_id, kinds: frozenset[str], semantics: Semantics, xml_limit: int = XML_LIMIT):
-        self.input_id, self.kinds, self.semantics, self.xml_limit = input_id, kinds, semantics, xml_limit
+    def __init__(self, input_id, kinds: frozenset[str], semantics: Semantics, xml_limit: int = XML_LIMIT, light: bool = False):
+        self.input_id, self.kinds, self.semantics, self.xml_limit, self.light = input_id, kinds, semantics, xml_limit, light
         self.visits = self.closes = 0
         self.last: dict[tuple, dict] = {}
 
@@ -120,7 +126,7 @@ class Walk:
                         else:
                             yield self.counts(("manifest",), row)
                     else:
-                        row, error = parsed_row(kind, data, self.semantics)
+                        row, error = parsed_row(kind, data, self.semantics, self.light)
                         later.append(self.row(name, depth, info.filename, kind, parsed=row, error=error))
         self.closes += 1
         for row in later:
@@ -133,9 +139,9 @@ class Walk:
 EVERY = frozenset({"class", "java", "xml", "manifest", "jar"})
 
 
-def entries(archives: DataFrame, kinds: frozenset[str] = EVERY, semantics: Semantics = DEFAULT, xml_limit: int = XML_LIMIT) -> DataFrame:
-    """Rows of the archives in (input_id, archive_name, content). ``kinds`` says what to inflate and parse besides inner archives. An
-    archive's rows are held until it ends, as a later entry may take the place of an earlier one."""
+def entries(archives: DataFrame, kinds: frozenset[str] = EVERY, semantics: Semantics = DEFAULT, xml_limit: int = XML_LIMIT, light: bool = False) -> DataFrame:
+    """Rows of the archives in (input_id, archive_name, content). ``kinds`` says what to inflate and parse besides inner archives; ``light`` classes come
+    without methods and values of annotations, which is all that framework marks need. An archive's rows are held until it ends, as a later entry may take the place of an earlier one."""
     schema = to_arrow_schema(StructType.fromDDL(schemas.ENTRIES))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +149,7 @@ def entries(archives: DataFrame, kinds: frozenset[str] = EVERY, semantics: Seman
             for n in range(batch.num_rows):
                 number, name, content = (batch.column(c)[n] for c in ("input_id", "archive_name", "content"))
                 source = pa.BufferReader(content.as_buffer()) if content.is_valid else io.BytesIO()
-                held = Walk(number.as_py(), kinds, semantics, xml_limit).all(source, name.as_py())
+                held = Walk(number.as_py(), kinds, semantics, xml_limit, light).all(source, name.as_py())
                 for at in range(0, len(held), 500):
                     yield pa.RecordBatch.from_pylist(held[at : at + 500], schema)
 
