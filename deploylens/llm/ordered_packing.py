@@ -21,10 +21,12 @@ import json
 import re
 import zlib
 from collections import deque
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -40,9 +42,7 @@ WINDOW_COST = 2
 STRIDE = 128
 #: Ids that are cut at once.
 STREAM = 1 << 19
-MEMO_PIECES = 700_000
-#: Signs that stand right behind words.
-_SIGNS = frozenset(".,;:!?")
+MEMO_PIECES = 1_000_000
 
 # tokens --------------------------------------------------------------------------------------
 
@@ -50,17 +50,17 @@ _SIGNS = frozenset(".,;:!?")
 class Pieces(dict):
     """Ids by piece, each made when it is first met. ``lead`` stands before every piece."""
 
-    def __init__(self, made, lead: str):
-        self.made, self.lead = made, lead
+    def __init__(self, tokens: ByteTokens, lead: str):
+        self.tokens, self.lead = tokens, lead
 
     def __missing__(self, piece: str) -> bytes:
-        # a word with a comma or the like behind it has the ids of both: no token of the usual splitting holds letters and signs
-        if piece[-1:] in _SIGNS and piece[:-1].isalpha():
-            found = self[piece[:-1]] + self.made(piece[-1])
-        elif piece or self.lead:
-            found = self.made(self.lead + piece)
+        sign = self.tokens.signs.get(piece[-1:])
+        if piece.isalpha() and piece.isascii():
+            found = self.tokens.model(self.lead + piece)
+        elif sign is not None and piece[:-1].isalpha():  # no token of the usual splitting holds letters and signs
+            found = self[piece[:-1]] + sign
         else:
-            found = b""
+            found = self.tokens.made(self.lead + piece)
         if len(piece) <= 64:
             if len(self) >= MEMO_PIECES:
                 self.clear()
@@ -69,10 +69,10 @@ class Pieces(dict):
 
 
 class ByteTokens:
-    """Ids of whole texts by a byte-level tokenizer file, sentence by sentence, remembered by piece.
+    """Ids of whole texts by a byte-level tokenizer file, and where sentences end, remembered by piece.
 
-    A text is cut before white space that follows something else, as no token reaches across such a place. Latin pieces are split here
-    and merged by the tokenizer's model part by part; any other piece, and a text with special tokens or rare separators, goes to the tokenizer whole."""
+    A text is cut before each space that follows no white space, as no token reaches across such a place. Latin pieces are split here
+    and merged part by part; any other piece, and a text with special tokens or rare separators, goes to the tokenizer whole."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -81,45 +81,74 @@ class ByteTokens:
         before = made.get("pre_tokenizer") or {}
         if made.get("normalizer") or made["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
             raise ValueError(f"{path}: no byte-level model with the usual splitting and without normalisation")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole_only = [*"\x1c\x1d\x1e\x1f", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.latin = re.compile("[ \n!-~¡-¬®-ɏ]*").fullmatch
-        self.spaced, self.odd, self.runs = re.compile(r"\s ").search, re.compile("[\x1c-\x1f]").search, re.compile(r"\s*\S+|\s+").findall
-        self.ends = re.compile("[.!?…][\"'»”’)\\]]*(?=\\s)|\\S(?=[ \\t]*\\n)|[。！？]+").finditer
+        self.runs = re.compile(r"\s*\S+|\s+").findall
+        end = "[.!?…][\"'»”’)\\]]*"
+        self.ends, self.ended = re.compile(rf"{end}(?=\s|\Z)").finditer, re.compile(rf"{end}\Z").search
+        spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+        self.spaced = {True: [f"{c} " for c in spaces if c.isascii()], False: [f"{c} " for c in spaces]}
         # the printable stand-ins of byte-level models: visible Latin-1 as it is, the rest from 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-        self.stand_in = {**{b: b for b in shown}, **{b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(shown))}}
-        self.plain, self.after_space = Pieces(self.made, ""), Pieces(self.made, " ")
+        byte_of = {**{chr(b): b for b in shown}, **{chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}}
+        vocabulary = made["model"]["vocab"]
+        merged = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in made["model"]["merges"]]
+        if any(x >= y for x, y in pairwise(merged)):
+            raise ValueError(f"{path}: merges are not in the order of their ids")
+        # where ids follow the merges' order they are ranks, which this library merges by without a pattern of its own
+        ranks = {bytes(byte_of[c] for c in token): k for token, k in vocabulary.items() if all(c in byte_of for c in token)}
+        self.merged = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.signs = {c: bytes(self.made(c)) for c in ".,;:!?"}
+        self.plain, self.after_space = Pieces(self, ""), Pieces(self, " ")
+
+    def model(self, part: str) -> bytes:
+        return array.array("I", self.merged(part)).tobytes()
 
     def made(self, piece: str) -> bytes:
-        if not self.latin(piece):
-            return self.whole(piece)
-        parts = [piece] if piece.lstrip(" ").isalpha() and piece[:2] != "  " else self.parts(piece)
-        ids = [t.id for part in parts for t in self.tokenizer.model.tokenize(part.encode("utf-8").decode("latin-1").translate(self.stand_in))]
-        return array.array("I", ids).tobytes()
+        if self.latin(piece):
+            if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+                return self.model(piece)
+            return b"".join(map(self.model, self.parts(piece)))
+        return self.whole(piece)
 
     def whole(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> tuple[bytes, list[int]]:
         """All ids as little-endian 32-bit integers, and how many there are when a sentence has ended."""
-        if self.odd(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.whole_only):
             return self.whole(text), []
+        if any(s in text for s in self.spaced[text.isascii()]):
+            return self.by_runs(text)
         plain, after_space = self.plain, self.after_space
-        out, cuts, size, a = [], [], 0, 0
-        for b in [*(m.end() for m in self.ends(text)), len(text)]:
-            if b < len(text) and not text[b].isspace():  # a token may reach across
-                continue
-            part = text[a:b]
-            if self.spaced(part):
-                data = b"".join(map(plain.__getitem__, self.runs(part)))
-            else:
-                first, *rest = part.split(" ")
-                data = plain[first] + b"".join(map(after_space.__getitem__, rest))
+        first, *rest = text.split(" ")
+        made = [plain[first], *map(after_space.__getitem__, rest)]
+        out, cuts, size, a, k, seen = [], [], 0, 0, 0, 0
+        for m in self.ends(text):
+            b = m.end()
+            seen, a = seen + text.count(" ", a, b), b
+            if b == len(text) or text[b] == " ":
+                data = b"".join(made[k : seen + 1])
+                out.append(data)
+                size, k = size + len(data) // 4, seen + 1
+                cuts.append(size)
+            else:  # within a piece, before white space of another kind
+                start = text.rfind(" ", 0, b) + 1
+                head = (after_space if start else plain)[text[start:b]]
+                cuts.append(size + (len(b"".join(made[k:seen])) + len(head)) // 4)
+        out += made[k:]
+        return b"".join(out), cuts
+
+    def by_runs(self, text: str) -> tuple[bytes, list[int]]:
+        """The same of a text with runs of white space."""
+        out, cuts, size = [], [], 0
+        for piece in self.runs(text):
+            data = self.plain[piece]
             out.append(data)
             size += len(data) // 4
-            cuts.append(size)
-            a = b
+            if self.ended(piece):
+                cuts.append(size)
         return b"".join(out), cuts
 
 
