@@ -42,7 +42,8 @@ WINDOW_COST = 2
 STRIDE = 128
 #: Ids that are cut at once.
 STREAM = 1 << 19
-MEMO_PIECES = 1_000_000
+#: Pieces whose ids a worker keeps, some 200 bytes each.
+MEMO_PIECES = 1_500_000
 
 # tokens --------------------------------------------------------------------------------------
 
@@ -54,14 +55,16 @@ class Pieces(dict):
         self.tokens, self.lead = tokens, lead
 
     def __missing__(self, piece: str) -> bytes:
-        sign = self.tokens.signs.get(piece[-1:])
+        keep = len(piece) <= 64
         if piece.isalpha() and piece.isascii():
             found = self.tokens.model(self.lead + piece)
-        elif sign is not None and piece[:-1].isalpha():  # no token of the usual splitting holds letters and signs
-            found = self[piece[:-1]] + sign
+        elif (sign := self.tokens.signs.get(piece[-1:])) is not None and piece[:-1].isalpha():
+            word = piece[:-1]  # no token of the usual splitting holds letters and signs
+            keep = keep and word in self  # rare words are kept once only
+            found = self[word] + sign
         else:
             found = self.tokens.made(self.lead + piece)
-        if len(piece) <= 64:
+        if keep:
             if len(self) >= MEMO_PIECES:
                 self.clear()
             self[piece] = found
