@@ -13,7 +13,8 @@ bounds reaches the k-th scores found before costs no evaluation.
 Vectors that are null, or hold null or non-finite components, take no part; nor do rows without a vec_id, and a
 row whose length differs from a query's is no candidate of it. Rows that share a vec_id are candidates
 each, but not of the query with that vec_id, which is asked once (with the smallest vector). Ties go to
-the smaller vec_id. Other columns are ignored; an empty table gives an empty result.
+the smaller vec_id. Components and scores beyond 64 bits (components of some 1e17 and more) are taken as the
+largest number of their sign, and rank as such. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from . import common
 
 SCALE = 64
 QUERY_STEP = 20
+#: The largest score.
+TOP = 2**63 - 1
 K = 20
 #: Rows that serve as pivots.
 PIVOTS = 64
@@ -81,7 +84,7 @@ def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row
         bound = (qn[i] + rn - least_far * least_far) / 2 + 1e-9 * (rn + qn[i]) + 1e-6
         bound[row_ids == query_ids[i]] = -np.inf
         kth = -np.inf if least is None else least[i]
-        best_s, best_id = np.zeros(0, q.dtype), np.zeros(0, np.int64)
+        best_s, best_id = np.zeros(0, float if exact else np.int64), np.zeros(0, np.int64)
         left = np.flatnonzero(bound >= kth) if np.isfinite(kth) else np.flatnonzero(bound > -np.inf)
         size = CHUNK
         while len(left):
@@ -91,7 +94,9 @@ def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row
             else:
                 own, left = left, left[:0]
             size *= 2
-            made = (r @ q[i])[own] if 2 * len(own) > len(r) else r[own] @ q[i]
+            made = (r @ q[i])[own] if exact and 2 * len(own) > len(r) else r[own] @ q[i]
+            if not exact:
+                made = np.array([min(TOP, max(-TOP, int(v))) for v in made], np.int64)
             if len(made) > 4 * k:  # the rest can't be among the k, ties included
                 near = np.flatnonzero(made >= np.partition(made, len(made) - k)[len(made) - k])
                 own, made = own[near], made[near]

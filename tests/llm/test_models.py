@@ -34,6 +34,17 @@ def test_search_equals_brute_force(spark):
     assert topk.search(df.filter("vec_id = -1")).count() == 0
 
 
+def test_scores_beyond_64_bits_are_the_largest_number(spark):
+    """Finite components of any size take part; what goes beyond 64 bits ranks as the largest number of its sign."""
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 1.0]), (2, [-1e300, 0.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0]), (5, [1e17, 1.0]), (20, [1e18, -1e18])]
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    top = 2**63 - 1
+    assert [found[0, k] for k in range(1, 7)] == [(1, top), (3, top), (5, top), (20, top), (4, 0), (2, -top)]
+    big = [(i, [float(10 ** (i % 19)) * (-1) ** i, 1.0]) for i in range(60)]
+    a = topk.search(spark.createDataFrame(big, "vec_id long, embedding array<double>")).collect()
+    assert len(a) == 60 and all(abs(r["score"]) <= top for r in a)
+
+
 def test_search_equals_brute_force_on_a_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     assert Counter(map(tuple, topk.search(df).collect())) == brute_topk([(r["vec_id"], r["embedding"]) for r in df.collect()])
