@@ -417,7 +417,8 @@ def removed(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     every = alone.unionByName(direct).unionByName(crowds(fetched.filter(~few), scratch, width))
     every = scratch.written(every.groupBy("anchor", "region").agg(F.flatten(F.collect_list("runs")).alias("runs")), "repeated")
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
-    marks = found.select("id", "digest", "anchor", "region", "first").join(every, ["anchor", "region"]).select("id", "digest", moved.alias("runs"))
+    places = found.select("id", "digest", "anchor", "region", "first").distinct()  # rows that share number and text have their places once
+    marks = places.join(every, ["anchor", "region"]).select("id", "digest", moved.alias("runs"))
     marks = common.written(marks.groupBy("id", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs")), "repeats")
     scratch.spent()
     return rows, marks

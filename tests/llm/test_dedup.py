@@ -104,6 +104,18 @@ def test_repeats_equal_brute_force(spark, odd, docs, none):
     assert suffix_dedup.digest_documents(none).count() == 0
 
 
+def test_repeated_rows_cost_no_more_than_others(spark):
+    """Rows that share number and text, or have no number, have their places once, however many they are."""
+    text = " ".join(f"{i * i % 9973}" for i in range(700))
+    most = {}
+    for n in (2, 300):
+        df = spark.createDataFrame([(None, text)] * n, "doc_id long, text string")
+        _, marks = suffix_dedup.removed(df)
+        most[n] = [len(r["runs"]) for r in marks.collect()]
+        assert {tuple(r)[1:4] for r in suffix_dedup.digest_documents(df).collect()} == {(len(text), len(text), 1)}
+    assert len(most[300]) == 1 and most[2] == most[300]
+
+
 def test_crowded_anchors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_REGIONS", 3)  # nearly every anchor is crowded and dealt over blocks
     rows = repeats(spark).select("doc_id", "text").collect()
