@@ -19,7 +19,7 @@ SPLIT_BYTES = 256 << 20
 
 @dataclass
 class Analysis:
-    entries: DataFrame
+    entries: DataFrame | None
     routes: DataFrame
     controllers: DataFrame
     classes: DataFrame
@@ -36,7 +36,8 @@ class Analysis:
     def register(self) -> None:
         """Temporary views, for SQL over the analysis."""
         for name in ("entries", "routes", "controllers", "classes", "frameworks", "components"):
-            getattr(self, name).createOrReplaceTempView(name)
+            if getattr(self, name) is not None:
+                getattr(self, name).createOrReplaceTempView(name)
 
     def summary(self) -> DataFrame:
         return index.summary(self.routes, self.controllers, self.classes, self.components)
@@ -46,15 +47,31 @@ def context(entries: DataFrame, inputs: DataFrame, semantics: Semantics = DEFAUL
     return routes.Context(archives.classes(entries, semantics), archives.xml_files(entries), archives.manifests(entries, semantics), inputs)
 
 
-def analyse(entries: DataFrame, inputs: DataFrame, semantics: Semantics = DEFAULT, extractors: tuple = routes.EXTRACTORS) -> Analysis:
-    """All relations of ``entries``; ``inputs`` is (input_id, archive_name). The caller persists ``entries`` if it asks for several."""
+def facts(entries: DataFrame, inputs: DataFrame, semantics: Semantics = DEFAULT, extractors: tuple = routes.EXTRACTORS) -> dict[str, DataFrame]:
+    """What each input gives by itself: routes and classes with their order, components, frameworks."""
     ctx = context(entries, inputs, semantics)
     found, classes = routes.extract(ctx, semantics, extractors)
-    found = index.dedup_routes(found.withColumn("neg", -F.col("prio")), ROUTE_ORDER, semantics)
-    classes = index.dedup_classes(classes.withColumn("neg", -F.col("prio")), CLASS_ORDER)
-    jars = archives.jar_names(entries)
-    components = index.merge_components(detect.components(jars, semantics), ["input_id", "name"])
-    return Analysis(entries, found, index.controllers(found, ROUTE_ORDER), classes, detect.frameworks_of(marks.of_entries(entries, semantics), inputs), components)
+    return {
+        "routes": found.withColumn("neg", -F.col("prio")), "classes": classes.withColumn("neg", -F.col("prio")),
+        "components": detect.components(archives.jar_names(entries), semantics), "frameworks": detect.frameworks_of(marks.of_entries(entries, semantics), inputs),
+    }
+
+
+def firsts(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Facts without those that others of theirs come before. What is left of two sets of facts can be put together and thinned again."""
+    return found | {"routes": index.first_by(found["routes"], index.ROUTE_KEY, ROUTE_ORDER), "classes": index.dedup_classes(found["classes"], CLASS_ORDER)}
+
+
+def merged(found: dict[str, DataFrame], entries: DataFrame | None, semantics: Semantics = DEFAULT) -> Analysis:
+    """The relations over all inputs."""
+    kept = index.dedup_routes(found["routes"], ROUTE_ORDER, semantics)
+    classes = index.dedup_classes(found["classes"], CLASS_ORDER)
+    return Analysis(entries, kept, index.controllers(kept, ROUTE_ORDER), classes, found["frameworks"], index.merge_components(found["components"], ["input_id", "name"]))
+
+
+def analyse(entries: DataFrame, inputs: DataFrame, semantics: Semantics = DEFAULT, extractors: tuple = routes.EXTRACTORS) -> Analysis:
+    """All relations of ``entries``; ``inputs`` is (input_id, archive_name). The caller persists ``entries`` if it asks for several."""
+    return merged(facts(entries, inputs, semantics, extractors), entries, semantics)
 
 
 def scan(spark: SparkSession, inputs: list[str], semantics: Semantics = DEFAULT) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ from .operators import routes as R
 from .plans import analysis
 from .schemas import ANNOTATION, METHOD
 from .semantics import DEFAULT, documented, reference
-from .sources import archives, sinks, split
+from .sources import archives, files, listing, sinks, split
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -315,7 +315,7 @@ def bundles(spark: SparkSession, sf: str) -> DataFrame:
         rows = rows.sort_values("k")
         number = int(rows["k"].iloc[0]) // BUNDLE
         uri = f"{root}/b{number}.war"
-        split.put(uri, bundle(rows.to_dict("records")))
+        files.put(uri, bundle(rows.to_dict("records")))
         return pd.DataFrame({"input_id": [number], "archive_name": [f"b{number}.war"], "uri": [uri]})
 
     made = parts(spark, sf).groupBy(F.floor(F.col("k") / BUNDLE)).applyInPandas(write, "input_id long, archive_name string, uri string")
@@ -343,6 +343,33 @@ def s_inner_frontier(spark, sf):
     return every.groupBy("input_id").agg(F.sum((F.col("depth") == 0).cast("long")).alias("n"), F.sum((F.col("depth") == 1).cast("long")).alias("deep"))
 
 
+@query(f"""WITH p AS (SELECT k, k // {BUNDLE} AS b FROM {{P}})
+SELECT b AS input_id, 'class' AS kind, 'tree' AS archive_name, 'com/acme/K' || k || '.class' AS name FROM p
+UNION ALL SELECT b, 'jar', 'tree', 'src/s' || k || '.jar' FROM p
+UNION ALL SELECT b, 'java', 'src/s' || k || '.jar.src', 'com/A.java' FROM p WHERE k % 2 = 1""")
+def s_listed_tree(spark, sf):
+    """Trees that tasks write and tasks list: folders without files count, and what is no code is never opened."""
+    import pandas as pd
+
+    root = f"{scratch.shared_dir(spark)}/trees-{scratch.uuid.uuid4().hex}"
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        number = int(rows["k"].iloc[0]) // BUNDLE
+        at = f"{root}/t{number}"
+        for k in rows["k"]:
+            files.put(f"{at}/com/acme/K{k}.class", bytecode.encode(f"com/acme/K{k}"))
+            files.put(f"{at}/media/{k}.bin", b"\0")
+            if k % 2:
+                files.put(f"{at}/src/s{k}.jar.src/com/A.java", b"package com; class A {}")
+            else:
+                files.put_folder(f"{at}/src/s{k}.jar.src")
+        return pd.DataFrame({"input_id": [number], "archive_name": ["tree"], "uri": [at]})
+
+    made = parts(spark, sf).groupBy(F.floor(F.col("k") / BUNDLE)).applyInPandas(write, "input_id long, archive_name string, uri string")
+    roots = scratch.Scratch(spark).written(made, "roots")
+    return archives.trees(listing.tree(roots, at_once=100)).select("input_id", "kind", "archive_name", F.col("entry_name").alias("name"))
+
+
 # class files ---------------------------------------------------------------------------------
 
 

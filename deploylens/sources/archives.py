@@ -21,7 +21,9 @@ from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions import bytecode, java_source, paths
+from ..scratch import parallelism
 from ..semantics import DEFAULT, Semantics
+from . import files as files_of
 
 ENTRY_LIMIT, XML_LIMIT, MEMORY_LIMIT = 500 << 20, 10 << 20, 100 << 20
 _JAR_SRC = re.compile(r"(?i)(\.jar)\.src(?:\.zip)?\Z")
@@ -166,40 +168,63 @@ def files(spark: SparkSession, inputs: list[str], wanted: list[str] | None = Non
 
 
 def directory(spark: SparkSession, root: str, input_id: int, semantics: Semantics = DEFAULT) -> DataFrame:
-    """Entries of a directory tree on disk."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = re.escape(os.path.abspath(root).rstrip("/"))
-    name = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), rf"^(?:file:)?/*{prefix}/", "").alias("name")
-    base = os.path.basename(os.path.normpath(root))
-    return trees(found.select(F.lit(input_id).alias("input_id"), F.lit(base).alias("archive_name"), name, "content"), semantics)
+    """Entries of a directory tree: it is listed first, and only files that are wanted are read. ``root`` is a path or a URI that tasks can open."""
+    from . import listing
+
+    uri = root if "://" in root else os.path.abspath(root)
+    roots = spark.createDataFrame([(input_id, os.path.basename(os.path.normpath(root)), uri)], "input_id long, archive_name string, uri string")
+    return trees(listing.tree(roots), semantics)
 
 
 def trees(found: DataFrame, semantics: Semantics = DEFAULT) -> DataFrame:
-    """Entries of directory trees, given the files as (input_id, archive_name, name, content), name being relative to the tree.
+    """Entries of directory trees, given the files as (input_id, archive_name, name, content), name being relative to the tree, or as ``listing.tree`` has them.
 
     Files count in the order of a walk that takes each directory's names in order. Archives are one level down, go by their path, and are named even
-    if unreadable; ``.jar.src`` directories are jar names, and what lies in one belongs to the last on its path. Directories without files are not seen."""
+    if unreadable; ``.jar.src`` directories are jar names (those without files too, where they are listed), and what lies in one belongs to the last on its path."""
     own = schemas.ENTRIES + ", path string"
     schema = to_arrow_schema(StructType.fromDDL(own))
+    listed = "root" in found.columns
+    held = found
+    if listed:
+        held = found.filter(~F.col("folder")).select("input_id", "archive_name", "name", "root").repartition(parallelism(found.sparkSession), "input_id", "name")
+
+    def made(number: int, base: str, name: str, opened) -> list[dict]:
+        kind, walk = _kind(name), Walk(number, EVERY, semantics)
+        inner = kind in ("jar", "war", "zip")
+        if not inner and kind not in ("xml", "manifest", "class", "java"):
+            return []
+        rows = [walk.row(base, 0, _JAR_SRC.sub(r"\1", name), "jar")] if inner else []
+        shown = _JAR_SRC_ZIP.sub(r"\1", name)
+        try:
+            source = opened()
+            try:
+                if inner:
+                    return rows + walk.all(source, shown, 1)
+                data = source.read()
+            finally:
+                source.close()
+        except OSError as e:
+            failed = walk.row(shown, 1, shown, "archive") if inner else walk.row(base, 0, name, kind)
+            return [*rows, failed | {"error": f"unreadable: {e}"}]
+        if kind in ("xml", "manifest"):
+            return [walk.row(base, 0, name, kind, data=data)]
+        parsed, error = parsed_row(kind, data, semantics)
+        return [walk.row(base, 0, name, kind, parsed=parsed, error=error, close_seq=1 << 40)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                name, data, base = row["name"], row["content"] or b"", row["archive_name"]
-                kind, walk = _kind(name), Walk(row["input_id"], EVERY, semantics)
-                made = []
-                if kind in ("jar", "war", "zip"):
-                    made.append(walk.row(base, 0, _JAR_SRC.sub(r"\1", name), "jar"))
-                    made += walk.all(io.BytesIO(data), _JAR_SRC_ZIP.sub(r"\1", name), 1)
-                elif kind in ("xml", "manifest"):
-                    made.append(walk.row(base, 0, name, kind, data=data))
-                elif kind in ("class", "java"):
-                    parsed, error = parsed_row(kind, data, semantics)
-                    made.append(walk.row(base, 0, name, kind, parsed=parsed, error=error, close_seq=1 << 40))
-                for at in range(0, len(made), 500):
-                    yield pa.RecordBatch.from_pylist([r | {"path": name} for r in made[at : at + 500]], schema)
-
-    rows = found.mapInArrow(each, own)
+            for k in range(batch.num_rows):
+                number, base, name = (batch.column(c)[k].as_py() for c in ("input_id", "archive_name", "name"))
+                if listed:
+                    root = batch.column("root")[k].as_py()
+                    rows = made(number, base, name, lambda root=root, name=name: files_of.opened(files_of.below(root, name)))
+                else:
+                    content = batch.column("content")[k]
+                    rows = made(number, base, name, lambda content=content: pa.BufferReader(content.as_buffer()) if content.is_valid else io.BytesIO())
+                for at in range(0, len(rows), 500):
+                    yield pa.RecordBatch.from_pylist([r | {"path": name} for r in rows[at : at + 500]], schema)
+
+    rows = held.mapInArrow(each, own)
     inside = (F.col("depth") == 0) & F.col("kind").isin("class", "java") & (paths.source_archive(F.col("entry_name")) != "")
     rows = rows.withColumn("archive_name", F.when(inside, paths.source_archive(F.col("entry_name"))).otherwise(F.col("archive_name")))
     rows = rows.withColumn("entry_name", F.when(inside, paths.source_path(F.col("entry_name"))).otherwise(F.col("entry_name")))
@@ -208,12 +233,12 @@ def trees(found: DataFrame, semantics: Semantics = DEFAULT) -> DataFrame:
     order = F.struct((F.col("close_seq") == 1 << 40).alias("late"), F.split("path", "/").alias("at"), "close_seq", "visit_seq")
     rest = [c for c in rows.columns if c not in ("input_id", "path")]
     last = rows.filter(counted).groupBy("input_id", group.alias("_group")).agg(F.max_by(F.struct(*rest), order).alias("_row"))
-    files_of = last.select("input_id", "_row.*").unionByName(rows.filter(~counted).drop("path"))
-    parts = F.split("name", "/")
-    above = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")), lambda d: F.lower(d).rlike(r"\.jar\.src\z") & (d != F.col("name")))
+    counting = last.select("input_id", "_row.*").unionByName(rows.filter(~counted).drop("path"))
+    parts, folder = F.split("name", "/"), F.col("folder") if listed else F.lit(False)
+    above = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")), lambda d: F.lower(d).rlike(r"\.jar\.src\z") & ((d != F.col("name")) | folder))
     dirs = found.select("input_id", "archive_name", F.explode(above).alias("dir")).distinct()
     named = dirs.select("input_id", "archive_name", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("visit_seq"), F.lit(0).cast("long").alias("close_seq"), paths.jar_name(F.col("dir")).alias("entry_name"), F.lit("jar").alias("kind"), F.lit(False).alias("superseded"))
-    return files_of.unionByName(named, allowMissingColumns=True)
+    return counting.unionByName(named, allowMissingColumns=True)
 
 
 # what an input amounts to --------------------------------------------------------------------

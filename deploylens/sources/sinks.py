@@ -1,4 +1,4 @@
-"""Sinks: Parquet and CSV directories, and one spreadsheet for reports of a reader's size."""
+"""Sinks: Parquet and CSV directories, and one workbook."""
 
 from __future__ import annotations
 
@@ -16,8 +16,9 @@ SHEETS = {
     "Framework": ("FRAMEWORK", "VERSION", "CONFIDENCE", "EVIDENCE"),
     "Components": ("COMPONENT", "TYPE", "VERSION", "SOURCE"),
 }
-#: Rows a sheet can hold.
-SHEET_ROWS = 1_048_575
+#: Rows a sheet can hold besides its header, and rows of a piece of one.
+SHEET_ROWS, FRAGMENT_ROWS = 1_048_575, 1000
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 
 
 def routes_view(routes: DataFrame) -> DataFrame:
@@ -54,38 +55,62 @@ def _column(k: int) -> str:
     return (_column(k // 26 - 1) if k >= 26 else "") + chr(65 + k % 26)
 
 
-def _sheet(header: tuple[str, ...], rows) -> str:
-    def cell(v, k: int, n: int, style: str = "") -> str:
-        at = f'r="{_column(k)}{n}"'
-        if isinstance(v, int):
-            return f"<c {at}{style}><v>{v}</v></c>"
-        clean = "".join(c for c in str(v or "") if c >= " " or c in "\t\n")
-        return f'<c {at}{style} t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
+def _cell(v, style: str = "") -> str:
+    if isinstance(v, int):
+        return f"<c{style}><v>{v}</v></c>"
+    clean = "".join(c for c in str(v or "") if c >= " " or c in "\t\n")
+    return f'<c{style} t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
 
+
+def _head(header: tuple[str, ...]) -> str:
     widths = "".join(f'<col min="{k + 1}" max="{k + 1}" width="{min(60.0, max(12.0, 1.5 * len(h)))}" customWidth="1"/>' for k, h in enumerate(header))
-    body = [f'<row r="1">{"".join(cell(h, k, 1, " s=\"1\"") for k, h in enumerate(header))}</row>']
-    for n, row in enumerate(rows, 2):
-        body.append(f'<row r="{n}">{"".join(cell(v, k, n) for k, v in enumerate(row))}</row>')
-    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{ns}"><cols>{widths}</cols><sheetData>{"".join(body)}</sheetData><autoFilter ref="A1:{_column(len(header) - 1)}{len(body)}"/></worksheet>'
+    return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><cols>{widths}</cols><sheetData><row>{"".join(_cell(h, " s=\"1\"") for h in header)}</row>'
+
+
+def fragments(df: DataFrame, rows: int = FRAGMENT_ROWS) -> DataFrame:
+    """(n, xml): the rows of a relation as pieces of a sheet, made by the tasks that hold them and in their order. Places are left to the reader, who counts."""
+    import pyarrow as pa
+
+    def each(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                cols = [c.to_pylist() for c in part.columns]
+                xml = "".join(f"<row>{''.join(map(_cell, row))}</row>" for row in zip(*cols, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), pa.array([xml])], ["n", "xml"])
+
+    return df.mapInArrow(each, "n int, xml string")
 
 
-def write_xlsx(views: dict[str, DataFrame], path: str) -> None:
-    """One workbook. A sheet has a fixed largest number of rows; a longer relation is refused, and Parquet is the way."""
-    ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+def write_xlsx(views: dict[str, DataFrame], path: str, sheet_rows: int = SHEET_ROWS) -> dict[str, int]:
+    """One workbook; rows by sheet. Tasks make the sheets' pieces, and the driver passes them on to the file one at a time. A relation with more rows than a sheet holds
+    goes on in further sheets."""
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package, kind = "http://schemas.openxmlformats.org/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    names = [n for n in SHEETS if n in views]
+    sheets: dict[str, int] = {}
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k in range(1, len(names) + 1))
+        for name in (n for n in SHEETS if n in views):
+            header = SHEETS[name]
+            pieces = fragments(views[name], min(FRAGMENT_ROWS, sheet_rows)).toLocalIterator(prefetchPartitions=True)
+            left, part = next(pieces, None), 0
+            while left is not None or not part:
+                part += 1
+                title = name if part == 1 else f"{name} {part}"
+                sheets[title] = 0
+                with z.open(f"xl/worksheets/sheet{len(sheets)}.xml", "w", force_zip64=True) as out:
+                    out.write(_head(header).encode())
+                    while left is not None and sheets[title] + left["n"] <= sheet_rows:
+                        out.write(left["xml"].encode())
+                        sheets[title] += left["n"]
+                        left = next(pieces, None)
+                    out.write(f'</sheetData><autoFilter ref="A1:{_column(len(header) - 1)}{sheets[title] + 1}"/></worksheet>'.encode())
+        numbers = range(1, len(sheets) + 1)
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k in numbers)
         z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{parts}</Types>')
         z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        sheets = "".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(names, 1))
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{ns}" xmlns:r="{rel}"><sheets>{sheets}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(names) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{package}/relationships">{links}<Relationship Id="rId{len(names) + 1}" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", f'<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="{ns}"><fonts count="2"><font><sz val="11"/><name val="Calibri"/></font><font><b/><sz val="11"/><color rgb="FFFFFFFF"/><name val="Arial"/></font></fonts><fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FF4472C4"/></patternFill></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/></cellXfs></styleSheet>')
-        for k, n in enumerate(names, 1):
-            df = views[n]
-            if df.count() > SHEET_ROWS:
-                raise ValueError(f"{n} has more rows than a sheet holds; write Parquet")
-            z.writestr(f"xl/worksheets/sheet{k}.xml", _sheet(SHEETS[n], (tuple(r) for r in df.toLocalIterator())))
+        named = "".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, n in zip(numbers, sheets, strict=True))
+        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{_MAIN}" xmlns:r="{rel}"><sheets>{named}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in numbers)
+        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{package}/relationships">{links}<Relationship Id="rId{len(sheets) + 1}" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="{_MAIN}"><fonts count="2"><font><sz val="11"/><name val="Calibri"/></font><font><b/><sz val="11"/><color rgb="FFFFFFFF"/><name val="Arial"/></font></fonts><fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FF4472C4"/></patternFill></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/></cellXfs></styleSheet>')
+    return sheets

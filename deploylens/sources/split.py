@@ -26,7 +26,6 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -36,6 +35,7 @@ from .. import schemas
 from ..scratch import Scratch, parallelism
 from ..semantics import DEFAULT, Semantics
 from . import archives
+from .files import Part, opened
 
 #: Packed bytes that one task reads, about.
 TASK_BYTES = 64 << 20
@@ -51,55 +51,6 @@ FAILURES = (zipfile.BadZipFile, OSError, ValueError, RuntimeError, EOFError, zli
 # bytes ---------------------------------------------------------------------------------------
 
 
-class Part:
-    """A range of a file that reads like a file."""
-
-    def __init__(self, file, base: int, size: int):
-        self.file, self.base, self.size, self.at = file, base, size, 0
-
-    def seekable(self) -> bool:
-        return True
-
-    def tell(self) -> int:
-        return self.at
-
-    def seek(self, to: int, whence: int = 0) -> int:
-        to += (0, self.at, self.size)[whence]
-        if to < 0:
-            raise OSError("a place before the start")
-        self.at = to
-        return to
-
-    def read(self, n: int | None = -1) -> bytes:
-        left = max(0, self.size - self.at)
-        n = left if n is None or n < 0 else min(n, left)
-        self.file.seek(self.base + self.at)
-        data = self.file.read(n)
-        self.at += len(data)
-        return data
-
-
-def stored_at(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system and path of a URI, or of a path of the local or a mounted file system."""
-    if "://" in uri or uri.startswith("file:"):
-        return pyarrow.fs.FileSystem.from_uri(uri)
-    return pyarrow.fs.LocalFileSystem(), uri
-
-
-def opened(uri: str) -> Part:
-    fs, path = stored_at(uri)
-    file = fs.open_input_file(path)
-    return Part(file, 0, file.size())
-
-
-def put(uri: str, data: bytes) -> None:
-    """Writes a file and the folders above it; a repeated task writes the same."""
-    fs, path = stored_at(uri)
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    with fs.open_output_stream(path) as out:
-        out.write(data)
-
-
 def blocks(archive: Part, step: dict) -> Iterator[bytes]:
     """The content of an entry, a block at a time; an error if it is not what the directory says."""
     if step["flags"] & 1:

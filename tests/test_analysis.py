@@ -105,3 +105,37 @@ def test_long_xml_is_cut_at_its_limit():
     rows = archives.Walk(0, archives.EVERY, DEFAULT).all(io.BytesIO(data), "x.jar")
     assert [(r["kind"], len(r["data"])) for r in rows] == [("xml", archives.XML_LIMIT)]
     assert archives.Walk(0, frozenset({"jar"}), DEFAULT).all(io.BytesIO(data), "x.jar") == []
+
+
+def test_long_relations_go_on_in_further_sheets(spark, tmp_path):
+    import re
+
+    rows = spark.range(2500).select(F.concat(F.lit("n"), F.lpad("id", 4, "0")).alias("COMPONENT"), F.lit("T<&>\x01").alias("TYPE"), F.lit(None).cast("string").alias("VERSION"), F.lit("s").alias("SOURCE")).orderBy("COMPONENT")
+    empty = spark.createDataFrame([], "FRAMEWORK string, VERSION string, CONFIDENCE int, EVIDENCE string")
+    path = tmp_path / "long.xlsx"
+    sheets = sinks.write_xlsx({"Components": rows, "Framework": empty}, str(path), sheet_rows=1000)
+    assert sheets.pop("Framework") == 0 and list(sheets)[:2] == ["Components", "Components 2"] and sum(sheets.values()) == 2500 and max(sheets.values()) <= 1000
+    with zipfile.ZipFile(path) as z:
+        assert re.findall('sheet name="([^"]+)"', z.read("xl/workbook.xml").decode()) == ["Framework", *sheets]
+        made = [z.read(f"xl/worksheets/sheet{k}.xml").decode() for k in range(2, len(sheets) + 2)]
+        assert [len(re.findall(r">n\d+<", x)) for x in made] == list(sheets.values())
+        assert [x for text in made for x in re.findall(r">(n\d+)<", text)] == [f"n{k:04}" for k in range(2500)] and "T&lt;&amp;&gt;<" in made[-1]
+        assert f'autoFilter ref="A1:D{list(sheets.values())[-1] + 1}"' in made[-1]
+
+
+def test_relations_of_a_stream_are_those_of_all(spark, tmp_path):
+    """After each batch, what has been kept of the archives gives what an analysis of all of them gives; entries are not read again."""
+    directory, table = tmp_path / "in", str(tmp_path / "facts")
+    directory.mkdir()
+    for numbers in ((60, 61), (77, 4, 60_060), ()):
+        for k in numbers:
+            (directory / f"app{k}.war").write_bytes(synth.archive(k, "b", 3))
+        watch.follow(watch.arriving(spark, str(directory)), table, str(tmp_path / "check"), once=True).awaitTermination()
+        found = watch.relations(spark, table)
+        rows = spark.read.format("binaryFile").load(str(directory)).select(F.xxhash64("path").alias("input_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("archive_name"), "content")
+        wanted = analysis.analyse(archives.entries(rows), rows.select("input_id", "archive_name"))
+        for name in ("routes", "classes", "controllers", "frameworks", "components"):
+            a, b = getattr(found, name), getattr(wanted, name)
+            assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect())), name
+        watch.compact(spark, table)
+    assert len([d for d in os.listdir(f"{table}/routes") if d.startswith("batch=")]) == 1
