@@ -346,7 +346,7 @@ def s_inner_frontier(spark, sf):
 @query(f"""WITH p AS (SELECT k, k // {BUNDLE} AS b FROM {{P}})
 SELECT b AS input_id, 'class' AS kind, 'tree' AS archive_name, 'com/acme/K' || k || '.class' AS name FROM p
 UNION ALL SELECT b, 'jar', 'tree', 'src/s' || k || '.jar' FROM p
-UNION ALL SELECT b, 'java', 'src/s' || k || '.jar.src', 'com/A.java' FROM p WHERE k % 2 = 1""")
+UNION ALL SELECT b, 'java', 'src/s' || k || '.jar.src', 'com/A' || k || '.java' FROM p WHERE k % 2 = 1""")
 def s_listed_tree(spark, sf):
     """Trees that tasks write and tasks list: folders without files count, and what is no code is never opened."""
     import pandas as pd
@@ -360,7 +360,7 @@ def s_listed_tree(spark, sf):
             files.put(f"{at}/com/acme/K{k}.class", bytecode.encode(f"com/acme/K{k}"))
             files.put(f"{at}/media/{k}.bin", b"\0")
             if k % 2:
-                files.put(f"{at}/src/s{k}.jar.src/com/A.java", b"package com; class A {}")
+                files.put(f"{at}/src/s{k}.jar.src/com/A{k}.java", f"package com; class A{k} {{}}".encode())
             else:
                 files.put_folder(f"{at}/src/s{k}.jar.src")
         return pd.DataFrame({"input_id": [number], "archive_name": ["tree"], "uri": [at]})
