@@ -56,14 +56,14 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         keep = len(piece) <= 64
-        if piece.isalpha() and piece.isascii():
+        if piece.isalpha() and (piece.isascii() or self.tokens.latin(piece)):
             found = self.tokens.model(self.lead + piece)
         elif (sign := self.tokens.signs.get(piece[-1:])) is not None and piece[:-1].isalpha():
             word = piece[:-1]  # no token of the usual splitting holds letters and signs
             keep = keep and word in self  # rare words are kept once only
             found = self[word] + sign
         else:
-            found = self.tokens.made(self.lead + piece)
+            found = self.tokens.made(self.lead + piece) if self.lead or piece else b""
         if keep:
             if len(self) >= MEMO_PIECES:
                 self.clear()
@@ -101,12 +101,12 @@ class ByteTokens:
             raise ValueError(f"{path}: merges are not in the order of their ids")
         # where ids follow the merges' order they are ranks, which this library merges by without a pattern of its own
         ranks = {bytes(byte_of[c] for c in token): k for token, k in vocabulary.items() if all(c in byte_of for c in token)}
-        self.merged = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.merged = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.signs = {c: bytes(self.made(c)) for c in ".,;:!?"}
         self.plain, self.after_space = Pieces(self, ""), Pieces(self, " ")
 
     def model(self, part: str) -> bytes:
-        return array.array("I", self.merged(part)).tobytes()
+        return array.array("I", self.merged(part.encode())).tobytes()
 
     def made(self, piece: str) -> bytes:
         if self.latin(piece):
@@ -125,8 +125,9 @@ class ByteTokens:
         if any(s in text for s in self.spaced[text.isascii()]):
             return self.by_runs(text)
         plain, after_space = self.plain, self.after_space
-        first, *rest = text.split(" ")
-        made = [plain[first], *map(after_space.__getitem__, rest)]
+        pieces = text.split(" ")
+        made = list(map(after_space.__getitem__, pieces))
+        made[0] = plain[pieces[0]]
         out, cuts, size, a, k, seen = [], [], 0, 0, 0, 0
         for m in self.ends(text):
             b = m.end()
@@ -198,30 +199,33 @@ def windows(at: np.ndarray, cost: np.ndarray, capacity: int = CAPACITY) -> list[
         froms.append(source[hit])
         tos.append(hit + k)
         size *= 2
-    to = np.concatenate(tos)
-    order = np.argsort(to, kind="stable")
-    source = np.concatenate(froms)[order].tolist()
-    first = np.searchsorted(to[order], np.arange(n + 2)).tolist()
+    exact: dict[int, list[int]] = {}  # by place's number: the places exactly a power of two back
+    for j, i in zip(np.concatenate(tos).tolist(), np.concatenate(froms).tolist(), strict=True):
+        exact.setdefault(j, []).append(i)
     where, own = place.tolist(), [0, *cost.tolist()]
     own[n] = 0
     best, back = [0] * (n + 1), [0] * (n + 1)
-    queue: deque[tuple[int, int]] = deque()  # (best + place, number), ascending in both
+    values: deque[int] = deque()  # best + place, ascending
+    numbers: deque[int] = deque()
+    last = 0
     for j in range(1, n + 1):
+        while values and values[-1] >= last:
+            values.pop()
+            numbers.pop()
+        values.append(last)
+        numbers.append(j - 1)
         p = where[j]
-        value = best[j - 1] + where[j - 1]
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, j - 1))
         low = p - capacity
-        while where[queue[0][1]] < low:
-            queue.popleft()
-        least, via = queue[0]
-        least += capacity - p
-        for k in range(first[j], first[j + 1]):
-            i = source[k]
-            if best[i] < least or best[i] == least and i < via:
-                least, via = best[i], i
+        while where[numbers[0]] < low:
+            values.popleft()
+            numbers.popleft()
+        least, via = values[0] + capacity - p, numbers[0]
+        if j in exact:
+            for i in exact[j]:
+                if best[i] < least or best[i] == least and i < via:
+                    least, via = best[i], i
         best[j], back[j] = least + own[j] + WINDOW_COST, via
+        last = best[j] + p
     out, j = [], n
     while j:
         out.append(where[j])
