@@ -44,6 +44,37 @@ def spans(text: Column, pattern: str, kind: str, gate: Column) -> Column:
     return F.when(gate, made).otherwise(none())
 
 
+NEAR = "array<struct<kind:string,s:int,e:int,m:string,before:string,after:string>>"
+
+
+def around(text: Column, pattern: str, kind: str, gate: Column, most: int, stand_in: str | None = None) -> Column:
+    """The same with ``most`` code points before each match and the one after it, from the pieces that the text was cut into. ``stand_in``
+    is what a control character of the text takes the place of."""
+    plain = lambda c: c if stand_in is None else F.translate(c, "\x01", stand_in)
+
+    def ends(parts: Column) -> Column:
+        found, gaps = parts["found"], parts["gaps"]
+        whole = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, x: F.concat(F.right(g, F.lit(most)), F.right(x["m"], F.lit(most))))
+        return F.struct(found.alias("found"), gaps.alias("gaps"), whole.alias("whole"))
+
+    def dressed(parts: Column) -> Column:
+        found, gaps, whole = parts["found"], parts["gaps"], parts["whole"]
+        # a match has a character at least: so many of them before it reach as far as asked
+        lead = lambda i: F.array_join(F.slice(whole, F.greatest(i + 1 - most, F.lit(1)), F.least(i, F.lit(most))), "")
+
+        def one(x: Column, i: Column) -> Column:
+            gap = F.right(gaps[i], F.lit(most))
+            before = F.when((F.length(gap) >= most) | (i == 0), gap).otherwise(F.right(F.concat(lead(i), gap), F.lit(most)))
+            follows = F.when(gaps[i + 1] != "", F.left(gaps[i + 1], F.lit(1))).otherwise(F.left(F.coalesce(F.try_element_at(found, i + 2)["m"], F.lit("")), F.lit(1)))
+            return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), plain(before).alias("before"), plain(follows).alias("after"))
+
+        return F.transform(found, one)
+
+    parts = F.struct(spans(text, pattern, kind, gate).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    made = F.flatten(F.transform(F.transform(F.array(parts), ends), dressed))  # through arrays of one, so that each step is made once
+    return F.when(gate, made).otherwise(F.array().cast(NEAR))
+
+
 def clear_of(found: Column, taken: Column) -> Column:
     """The spans of ``found`` that overlap none of ``taken``, which is looked through in chunks: only those that reach a span are
     compared with it one by one. Each kind in ``taken`` is in order, so a chunk covers a short part of the text."""
