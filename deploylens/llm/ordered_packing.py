@@ -43,7 +43,7 @@ STRIDE = 128
 #: Ids that are cut at once.
 STREAM = 1 << 19
 #: Pieces whose ids a worker keeps, some 200 bytes each.
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 2_000_000
 
 # tokens --------------------------------------------------------------------------------------
 
@@ -52,12 +52,12 @@ class Pieces(dict):
     """Ids by piece, each made when it is first met. ``lead`` stands before every piece."""
 
     def __init__(self, tokens: ByteTokens, lead: str):
-        self.tokens, self.lead = tokens, lead
+        self.tokens, self.merged, self.lead = tokens, tokens.merged, lead
 
     def __missing__(self, piece: str) -> bytes:
         keep = len(piece) <= 64
         if piece.isalpha() and (piece.isascii() or self.tokens.latin(piece)):
-            found = self.tokens.model(self.lead + piece)
+            found = array.array("I", self.merged((self.lead + piece).encode())).tobytes()
         elif (sign := self.tokens.signs.get(piece[-1:])) is not None and piece[:-1].isalpha():
             word = piece[:-1]  # no token of the usual splitting holds letters and signs
             keep = keep and word in self  # rare words are kept once only
@@ -129,13 +129,16 @@ class ByteTokens:
         made = list(map(after_space.__getitem__, pieces))
         made[0] = plain[pieces[0]]
         out, cuts, size, a, k, seen = [], [], 0, 0, 0, 0
+        n, count, join = len(text), text.count, b"".join
         for m in self.ends(text):
             b = m.end()
-            seen, a = seen + text.count(" ", a, b), b
-            if b == len(text) or text[b] == " ":
-                data = b"".join(made[k : seen + 1])
+            seen += count(" ", a, b)
+            a = b
+            if b == n or text[b] == " ":
+                data = join(made[k : seen + 1])
                 out.append(data)
-                size, k = size + len(data) // 4, seen + 1
+                size += len(data) // 4
+                k = seen + 1
                 cuts.append(size)
             else:  # within a piece, before white space of another kind
                 start = text.rfind(" ", 0, b) + 1
@@ -170,18 +173,18 @@ def byte_tokens(path: str) -> ByteTokens:
 
 def places(n: int, cuts: list[int], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """(places, costs) at which a document of ``n`` ids may be cut, its end last: where sentences end, every ``stride`` ids where these are farther apart, and the end."""
-    ends = np.array([*dict.fromkeys(c for c in cuts if 0 < c < n), n], np.int64)
-    before = np.concatenate([[0], ends[:-1]])
-    more = (ends - before - 1) // stride
-    at, cost = ends, np.full(len(ends), SENTENCE_PENALTY)
-    if more.any():
-        k = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
-        between = np.repeat(before, more) + (k + 1) * stride
-        at, cost = np.concatenate([ends, between]), np.concatenate([cost, np.full(len(between), INSIDE_PENALTY)])
-        order = np.argsort(at)
-        at, cost = at[order], cost[order]
+    at, cost, before = [], [], 0
+    for c in (*cuts, n):
+        if before < c <= n:
+            if c - before > stride:
+                between = range(before + stride, c, stride)
+                at += between
+                cost += [INSIDE_PENALTY] * len(between)
+            at.append(c)
+            cost.append(SENTENCE_PENALTY)
+            before = c
     cost[-1] = 0
-    return at, cost
+    return np.array(at), np.array(cost)
 
 
 def windows(at: np.ndarray, cost: np.ndarray, capacity: int = CAPACITY) -> list[int]:
@@ -199,15 +202,16 @@ def windows(at: np.ndarray, cost: np.ndarray, capacity: int = CAPACITY) -> list[
         froms.append(source[hit])
         tos.append(hit + k)
         size *= 2
-    exact: dict[int, list[int]] = {}  # by place's number: the places exactly a power of two back
-    for j, i in zip(np.concatenate(tos).tolist(), np.concatenate(froms).tolist(), strict=True):
-        exact.setdefault(j, []).append(i)
+    to = np.concatenate(tos)
+    order = np.argsort(to, kind="stable")
+    # by place's number: the places exactly a power of two back, one after the other
+    to, source, at_hit = [*to[order].tolist(), -1], np.concatenate(froms)[order].tolist(), 0
     where, own = place.tolist(), [0, *cost.tolist()]
     own[n] = 0
     best, back = [0] * (n + 1), [0] * (n + 1)
     values: deque[int] = deque()  # best + place, ascending
     numbers: deque[int] = deque()
-    last = 0
+    last, more = 0, WINDOW_COST
     for j in range(1, n + 1):
         while values and values[-1] >= last:
             values.pop()
@@ -220,12 +224,14 @@ def windows(at: np.ndarray, cost: np.ndarray, capacity: int = CAPACITY) -> list[
             values.popleft()
             numbers.popleft()
         least, via = values[0] + capacity - p, numbers[0]
-        if j in exact:
-            for i in exact[j]:
-                if best[i] < least or best[i] == least and i < via:
-                    least, via = best[i], i
-        best[j], back[j] = least + own[j] + WINDOW_COST, via
-        last = best[j] + p
+        while to[at_hit] == j:
+            i = source[at_hit]
+            at_hit += 1
+            if best[i] < least or best[i] == least and i < via:
+                least, via = best[i], i
+        back[j] = via
+        best[j] = least = least + own[j] + more
+        last = least + p
     out, j = [], n
     while j:
         out.append(where[j])
