@@ -43,7 +43,7 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and x, the vector as floor(scale * component), of the rows that take part."""
     e = F.col("embedding")
     whole = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
-    x = F.transform(e, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("long"))
+    x = F.transform(e, lambda v: F.greatest(F.floor(F.lit(float(scale)) * v.cast("double")).cast("long"), F.lit(-TOP)))
     return vectors.filter(F.col("vec_id").isNotNull() & e.isNotNull() & whole).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
 
