@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from deploylens import synth
 from deploylens.functions import bytecode
+from deploylens.operators import detect
 from deploylens.sources import archives, listing
 
 
@@ -38,3 +39,23 @@ def test_folders_are_handed_on(spark, tmp_path):
         assert found.filter("NOT folder").agg(F.count("*"), F.sum("size")).first()[:] == (60, 2 * 5 * 15)
         assert found.filter("folder").count() == 2 * 36
     assert listing.tree(roots.filter("input_id < 0")).count() == 0
+
+
+def test_a_tree_is_read_once_and_by_all_tasks(spark, tmp_path):
+    """Neither rows nor components of trees go over the files a second time, and a table in one file is dealt."""
+    import re
+
+    from deploylens import queries
+
+    found = archives.trees(queries.dir_trees(spark, "/root/testdata/sf0.001"))
+    for df in (found, detect.components(archives.jar_names(found))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall("MapInArrow", plan)) == 2  # the files are made, and read
+    assert queries.dir_trees(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 8
+
+
+def test_components_known_and_loose_of_one_name(spark):
+    """A version goes before a prefix, whichever jar comes first; of prefixes the first jar stays."""
+    jars = spark.createDataFrame([(1, 1, "asm-util.jar"), (1, 2, "asm.jar"), (1, 3, "guava-1.2.jar"), (1, 4, "guava-1.3.GA.jar"), (1, 5, "x.war"), (2, 1, "guava-7.0.jar")], "input_id long, visit_seq long, jar_name string")
+    rows = {(r["input_id"], r["name"]): (r["type"], r["version"], r["jars"]) for r in detect.components(jars).collect()}
+    assert rows == {(1, "ASM"): ("Utility", "", ["asm-util.jar"]), (1, "Guava"): ("Utility", "1.2", ["guava-1.2.jar", "guava-1.3.GA.jar"]), (2, "Guava"): ("Utility", "7.0", ["guava-7.0.jar"])}
