@@ -1,6 +1,15 @@
 """Work that must not grow with anything but the rows."""
 
-from deploylens import queries
+import io
+import warnings
+import zipfile
+
+import pytest
+
+from deploylens import queries, synth
+from deploylens.functions import java_source
+from deploylens.semantics import DEFAULT
+from deploylens.sources import archives
 
 
 def test_frameworks_are_shown_once_each(spark):
@@ -8,3 +17,46 @@ def test_frameworks_are_shown_once_each(spark):
     plan = queries.d_framework_evidence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     picked = [line for line in plan.splitlines() if "Generate explode" in line]
     assert len(picked) == 1 and "notes" not in picked[0] and "versions" not in picked[0]
+
+
+def written(files: list) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z, warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for name, data, stored in files:
+            z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), data, zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def test_archives_are_those_of_the_library():
+    files = [("a.txt", "x" * 500, False), ("d/é.bin", bytes(range(256)), True), ("a.txt", b"", False), ("b/c.class", b"\xca\xfe", True)]
+    for some in ([], files[:1], files):
+        assert synth.packed(some) == written(some)
+
+
+@pytest.mark.parametrize("light", [False, True])
+def test_small_entries_are_read_as_streams_are(light):
+    """Whole archives, and such with any byte changed or cut off: the same rows with the bytes at hand and without."""
+    every = frozenset({"class", "java", "xml", "manifest", "jar"})
+
+    def rows(data: bytes, held: bytes | None):
+        try:
+            return archives.Walk(1, every, DEFAULT, light=light).all(io.BytesIO(data), "a.war", data=held)
+        except Exception as e:
+            return repr(e)
+
+    whole = synth.archive(385, "brand12", 7)
+    assert len(rows(whole, whole)) > 8
+    bad = [whole[:n] + bytes([whole[n] ^ x]) + whole[n + 1 :] for n in range(0, len(whole), 3) for x in (1, 0x48)]
+    for data in [whole, synth.archive(26, "é", 3), b"PK" + whole, whole + b"tail", whole[:-9], *bad]:
+        assert rows(data, data) == rows(data, None)
+
+
+def test_an_entry_of_many_bytes_is_still_read():
+    data = synth.packed([("a.xml", b"<a>" + b" " * archives.SMALL + b"</a>", False)])
+    assert len(archives.Walk(1, frozenset({"xml"}), DEFAULT).all(io.BytesIO(data), "a.jar", data=data)[0]["data"]) == archives.SMALL + 7
+
+
+def test_a_light_source_has_no_methods():
+    full, light = java_source.decode(synth.java_source(4, "b")), java_source.decode(synth.java_source(4, "b"), light=True)
+    assert full["methods"] and light == full | {"methods": []}
