@@ -60,3 +60,44 @@ def test_an_entry_of_many_bytes_is_still_read():
 def test_a_light_source_has_no_methods():
     full, light = java_source.decode(synth.java_source(4, "b")), java_source.decode(synth.java_source(4, "b"), light=True)
     assert full["methods"] and light == full | {"methods": []}
+
+
+def test_versions_by_one_expression(spark):
+    """Against a regular expression for each catalogue entry, the first that matches."""
+    import dataclasses
+    import re
+
+    from pyspark.sql import functions as F
+
+    from deploylens.functions import paths
+    from deploylens.operators import detect
+
+    tails = ["-1.2.jar", "-1.2.3.RELEASE.jar", "-1.jar", "-1.2", "1.2.jar", "4-4.1.jar", "-x-1.2.jar", "-1.2-3.4.jar", "-1.2.JAR", "-1.2.jar\n", ".jar", "-1.0_b-SNAPSHOT.jar"]
+    names = [h + t for _, _, _, literal in detect.catalog_rows() for h in (literal, literal.upper(), f"a{literal}", literal.replace("k", "K"), literal.replace("s", "ſ")) for t in tails] + ["", "-1.2.jar"]
+    jars = spark.createDataFrame([(n,) for n in names] + [(None,)], "name string")
+    for fixed in (False, True):
+        semantics = dataclasses.replace(DEFAULT, fixed_commons_collections=fixed)
+        rows = {r["name"]: r["hit"] for r in jars.select("name", detect.versioned(F.col("name"), semantics).alias("hit")).collect()}
+        assert rows.pop(None) is None
+        for name, hit in rows.items():
+            want = None
+            for k, n, c, literal in detect.catalog_rows():
+                middle = "-" if literal != detect.NO_DASH else "4?-" if fixed else ""
+                m = re.match(rf"(?i)\A{re.escape(literal)}{middle}({paths.VERSION})\.jar\Z", name.replace("K", "k"), re.ASCII)
+                if m and want is None:
+                    want = (k, n, c, m[1])
+            assert (hit and tuple(hit)) == want, name
+
+
+def test_a_manifest_is_split_once(spark):
+    """Its headers are made once for all that is asked of them."""
+    from pyspark.sql import functions as F
+
+    from deploylens.functions import configs
+    from deploylens.operators import marks
+
+    rows = spark.createDataFrame([("A: 1\r\nB: 2\r\nA: 3\r\nSpring-Boot-Version: 2.1\r\n",), (None,)], "m string")
+    bits, version = marks._boot(configs.manifest_main(F.col("m")))
+    found = rows.select(bits.alias("bits"), version.alias("version"), configs.manifest_main(F.col("m")).alias("main"))
+    assert found._jdf.queryExecution().analyzed().toString().count("Name:.*") == 3  # one a column
+    assert {r["version"]: r["main"] for r in found.collect()}["2.1"] == {"A": "3", "B": "2", "Spring-Boot-Version": "2.1"}
