@@ -101,3 +101,14 @@ def test_a_manifest_is_split_once(spark):
     found = rows.select(bits.alias("bits"), version.alias("version"), configs.manifest_main(F.col("m")).alias("main"))
     assert found._jdf.queryExecution().analyzed().toString().count("Name:.*") == 3  # one a column
     assert {r["version"]: r["main"] for r in found.collect()}["2.1"] == {"A": "3", "B": "2", "Spring-Boot-Version": "2.1"}
+
+
+def test_bundles_are_dealt(spark):
+    """Few bytes give much work, so adaptive execution must not put them together."""
+    assert queries.by_bundle(spark, "/root/testdata/sf0.001")._df.rdd.getNumPartitions() == 8
+
+
+def test_artefacts_are_made_and_decoded_in_slices(spark):
+    """What a task holds does not grow with its rows, and a slice's end loses none."""
+    rows = spark.range(synth.AT_ONCE * 2 + 7).withColumnRenamed("id", "k").coalesce(1)
+    assert synth.made(rows.repartition(1), lambda r: b"x" * (r["k"] % 7)).selectExpr("count(distinct k) n", "sum(length(data)) s").first()[:] == (1007, sum(k % 7 for k in range(1007)))
