@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 import struct
 import unicodedata
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,21 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class Memo(dict):
+    """What ``made`` gives for a key, remembered for keys of up to 64 characters; started anew when full."""
+
+    def __init__(self, made: Callable[[str], bytes]):
+        self.made = made
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.made(key)
+        if len(key) <= 64:
+            if len(self) >= MEMO_PARTS:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class WordTokens:
     """Ids of whole texts by a word-level tokenizer file, remembered by word.
 
@@ -50,49 +67,40 @@ class WordTokens:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.small: dict[str, bytes] = {}
+        self.merged = self.tokenizer.model.tokenize
+        self.memo, self.small = Memo(self.word), Memo(self.part)
         self.pretokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.ascii_pretokens = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall  # the same for lower-case ASCII
         self.latin = regex.compile("[!-~¡-¬®-ɏ]+").fullmatch
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.printable = re.compile("[!-~]+").fullmatch
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
+        self.spelt = any(t.isascii() and t.isalpha() for t in special)
         # the printable stand-ins of byte-level models: visible Latin-1 as it is, the rest from 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.stand_in = {**{b: b for b in shown}, **{b: 256 + k for k, b in enumerate(hidden)}}
 
+    def part(self, part: str) -> bytes:
+        plain = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.stand_in)
+        return packed([t.id for t in self.merged(plain)])
+
     def word(self, word: str) -> bytes:
         """Latin words are split here and remembered by part; any other goes to the tokenizer whole."""
-        if not self.latin(word) or any(s in word for s in self.special) or not unicodedata.is_normalized("NFC", word):
-            return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        out = []
-        for part in self.pretokens(word.lower()):
-            found = self.small.get(part)
-            if found is None:
-                plain = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.stand_in)
-                found = packed([t.id for t in self.tokenizer.model.tokenize(plain)])
-                if len(self.small) >= MEMO_PARTS:
-                    self.small.clear()
-                self.small[part] = found
-            out.append(found)
-        return b"".join(out)
+        if word.isascii():
+            if word.isalpha() and not self.spelt:
+                return self.small[word.lower()]
+            if not word:
+                return b""
+            if self.printable(word) and not self.special(word):
+                return b"".join(map(self.small.__getitem__, self.ascii_pretokens(word.lower())))
+        elif self.latin(word) and not self.special(word) and unicodedata.is_normalized("NFC", word):
+            return b"".join(map(self.small.__getitem__, self.pretokens(word.lower())))
+        return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         """All ids of the text as little-endian 32-bit integers."""
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        memo = self.memo
-        fresh = [w for w in set(words) if w not in memo]
-        if fresh:
-            if len(memo) + len(fresh) > MEMO_PARTS:
-                kept = {w: memo[w] for w in words if w in memo and len(w) <= 64}
-                memo.clear()
-                memo.update(kept)
-            for w in fresh:
-                memo[w] = self.word(w) if w else b""
-        made = b"".join(map(memo.__getitem__, words))
-        for w in fresh:
-            if len(w) > 64:
-                del memo[w]
-        return made
+        return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
 
 _tokens: dict[str, WordTokens] = {}

@@ -118,3 +118,17 @@ def test_plan_uses_each_piece_once():
                 used[n] += r
         assert (used == h).all()
         assert sum(r for _, r in made) <= np.ceil((h * np.arange(2049)).sum() / 2048) * 1.05 + 1
+
+
+def test_words_are_remembered_within_bounds(monkeypatch):
+    """Also where one text has more words than are kept; ids stay those of the library."""
+    import public_tokenizers
+    from deploylens.llm import packing
+
+    monkeypatch.setattr(packing, "MEMO_PARTS", 50)
+    t = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    text = " ".join(f"W{k},it's{k} don'T_{k}<|endoftext|> É{k}\n\t{'x' * (k % 90)}" for k in range(200))
+    for _ in range(2):
+        assert t.ids(text) == packing.packed(t.tokenizer.encode(text, add_special_tokens=False).ids)
+        assert len(t.memo) <= 50 and len(t.small) <= 50
+        assert all(len(w) <= 64 for held in (t.memo, t.small) for w in held)
