@@ -112,3 +112,22 @@ def test_artefacts_are_made_and_decoded_in_slices(spark):
     """What a task holds does not grow with its rows, and a slice's end loses none."""
     rows = spark.range(synth.AT_ONCE * 2 + 7).withColumnRenamed("id", "k").coalesce(1)
     assert synth.made(rows.repartition(1), lambda r: b"x" * (r["k"] % 7)).selectExpr("count(distinct k) n", "sum(length(data)) s").first()[:] == (1007, sum(k % 7 for k in range(1007)))
+
+
+@pytest.mark.parametrize("name", ["s_corrupt_inner"])
+def test_artefacts_are_made_and_read_in_one_pass(spark, name):
+    """No worker is given what another has made: contents would come to it by as many rows as a batch of Spark's has."""
+    plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_archives_are_walked_one_at_a_time(spark):
+    taken = []
+
+    def some():
+        for k in range(5000):
+            taken.append(k)
+            yield k, f"app{k}.war", synth.archive(k, "brand", 1) if k % 3 else None
+
+    first = next(archives.walked(some(), archives.arrow_schema(), frozenset({"jar"})))
+    assert first.num_rows == 500 and len(taken) < 500
