@@ -114,7 +114,7 @@ def test_artefacts_are_made_and_decoded_in_slices(spark):
     assert synth.made(rows.repartition(1), lambda r: b"x" * (r["k"] % 7)).selectExpr("count(distinct k) n", "sum(length(data)) s").first()[:] == (1007, sum(k % 7 for k in range(1007)))
 
 
-@pytest.mark.parametrize("name", ["s_corrupt_inner"])
+@pytest.mark.parametrize("name", ["c_class_header", "j_ann_values", "k_classes_view", "s_corrupt_inner"])
 def test_artefacts_are_made_and_read_in_one_pass(spark, name):
     """No worker is given what another has made: contents would come to it by as many rows as a batch of Spark's has."""
     plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
