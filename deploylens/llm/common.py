@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,7 +59,7 @@ class Scratch:
         """Empties tables (all, if none is named) that nothing reads any more: an overwrite removes their files from any file system."""
         for path, df in list(self.paths.items()):
             if not tables or any(df is t for t in tables):
-                self.spark.createDataFrame([], "spent int").write.mode("overwrite").parquet(path)
+                self.spark.range(0).toDF("spent").write.mode("overwrite").parquet(path)  # createDataFrame would start further Python workers, which stay
                 del self.paths[path]
 
 
@@ -67,10 +68,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession).written(df, name)
 
 
+#: What a Python worker keeps from task to task, by the module that it belongs to.
+_kept: dict[str, dict] = {}
+
+
+def kept(module: str) -> dict:
+    """What this worker keeps for ``module``, until it gets a task of another one."""
+    return _kept.setdefault(module, {})
+
+
+def drop_others(module: str) -> None:
+    """Workers outlive a job: what another module's tasks have left goes, so that it doesn't add to what this one's need."""
+    if others := [m for m in _kept if m != module]:
+        for m in others:
+            del _kept[m]
+        gc.collect()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """``fn`` over Arrow batches of ``df``, of ``rows`` at most, inside the tasks that hold them; no shuffle."""
+    module = fn.__module__
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(module)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 out = fn(whole.slice(at, rows))

@@ -103,13 +103,11 @@ class WordTokens:
         return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
-    if path not in _tokens:
-        _tokens[path] = WordTokens(path)
-    return _tokens[path]
+    held = common.kept(__name__)
+    if path not in held:
+        held[path] = WordTokens(path)
+    return held[path]
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
