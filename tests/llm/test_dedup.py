@@ -141,6 +141,78 @@ def test_passages_of_over_fifty_words_go(spark):
         assert a[:-20] in r["text"] and b[20:] in r["text"]
 
 
+def test_digests_tell_passages_of_over_fifty_words(spark):
+    """Passages below 400 bytes stay, by the contract, but the query tells them: which texts hold them, and what is left without them."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 8)))
+    passages = [" ".join(word() for _ in range(53)) for _ in range(12)]
+    assert all(240 <= len(p) and len(p) + 40 < 400 for p in passages)
+    rows = [(k, " ".join(word() for _ in range(80)) + f" {passages[k % 12] if k < 60 else ''} " + " ".join(word() for _ in range(80))) for k in range(90)]
+    for r in suffix_dedup.digest_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r["n_removed"], r["n_spans"]) == (0, 0)
+        assert r["n_passages"] == (r["doc_id"] < 60) and (len(passages[r["doc_id"] % 12]) <= r["n_passage_bytes"] <= 400 if r["doc_id"] < 60 else r["n_passage_bytes"] == 0)
+
+
+def both_widths(df):
+    rows = df.select("doc_id", "text").collect()
+    texts = [(r["text"] or "").encode() for r in rows]
+    wanted = Counter((r["doc_id"], *a, *b[1:]) for r, a, b in zip(rows, brute(texts), brute(texts, 240), strict=True))
+    names = "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages", "passage_kept_sha256"
+    assert Counter(map(tuple, suffix_dedup.digest_documents(df).select(*names).collect())) == wanted
+
+
+def both_kinds(spark):
+    """Repeats just below and above both widths, at the ends of texts, with periods, and in clipped copies."""
+    rng, rows = random.Random(21), []
+    bytes_of = lambda n: "".join(rng.choices("abcd e", k=n))
+    for n in (239, 240, 241, 399, 400, 401, 640, 900):
+        p = bytes_of(n)
+        rows += [p, p[: n - 1] + "Z", bytes_of(rng.randint(0, 300)) + p, p + bytes_of(rng.randint(0, 300)), bytes_of(50) + p + bytes_of(90) + p]
+    for period in (1, 2, 7, 32, 33, 210):
+        unit = bytes_of(period)
+        rows += [(unit * 900)[:n] for n in (238 + period, 240 + period, 398 + period, 400 + period, 901)]
+        rows.append(bytes_of(40) + (unit * 900)[:700] + bytes_of(40))
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
+def test_both_widths_equal_brute_force(spark, odd, docs):
+    for df in (odd.filter("doc_id IS NULL OR doc_id NOT IN (8, 9)"), docs, repeats(spark), both_kinds(spark)):
+        both_widths(df)
+
+
+def test_regions_tell_repeats_of_every_width(monkeypatch):
+    """Regions, grouped by anchor as the tasks group them, against brute force; also where regions end at chunks."""
+    rng = random.Random(8)
+    for turn in range(60):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", rng.choice([1 << 19, 5, 23]))
+        widths, gram = rng.choice([((12,), 4), ((12, 20), 4), ((9, 12, 40), 2)])
+        letters = rng.choice(["a", "ab", "abcdefgh"])
+        bits = ["".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(5)]
+        texts = ["".join(rng.choices([*bits, *letters], k=rng.randint(0, 9))).encode() for _ in range(rng.randint(1, 12))]
+        groups, marked = {}, {(t, w): set() for t in range(len(texts)) for w in widths}
+        for t, text in enumerate(texts):
+            if len(text) >= widths[0]:
+                for anchor, where, first, last in zip(*suffix_dedup.regions(text, widths[0], gram), strict=True):
+                    r = text[first : last + widths[-1] - 1]
+                    groups.setdefault(int(anchor), {}).setdefault((r, int(where - first), int(last - first)), []).append((t, int(first)))
+        for group in groups.values():
+            made = suffix_dedup.repeated([(r, o, len(places), own) for (r, o, own), places in group.items()], widths)
+            for places, found in zip(group.values(), made, strict=True):
+                for t, first in places:
+                    for a, b, w in found:
+                        marked[t, w] |= set(range(first + a, first + b))
+        for w in widths:
+            seen = Counter(x[i : i + w] for x in texts for i in range(len(x) - w + 1))
+            for t, x in enumerate(texts):
+                assert marked[t, w] == {i for i in range(len(x) - w + 1) if seen[x[i : i + w]] > 1}, (turn, w)
+
+
+def test_both_widths_of_crowded_anchors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_REGIONS", 3)
+    both_widths(repeats(spark))
+    both_widths(both_kinds(spark))
+
+
 def test_near_copies_keep_one(spark, odd, none):
     rng = random.Random(5)
     base = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(30)]
