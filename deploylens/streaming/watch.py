@@ -6,6 +6,7 @@ batches together, as first rows of first rows are first rows."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,7 +45,7 @@ def follow(entries: DataFrame, table: str, checkpoint: str, semantics: Semantics
     """Keeps the facts of the stream's archives, a folder a batch. A batch that is run again takes its own place."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        held = rows.persist()
+        held = rows.persist(StorageLevel.DISK_ONLY)
         inputs = held.filter("depth = 0").groupBy("input_id").agg(F.min("archive_name").alias("archive_name"))
         for name, found in analysis.firsts(analysis.facts(held, inputs, semantics)).items():
             found.write.mode("overwrite").parquet(f"{table}/{name}/batch={number}")
