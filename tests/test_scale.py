@@ -19,7 +19,7 @@ def test_frameworks_are_shown_once_each(spark):
     assert len(picked) == 1 and "notes" not in picked[0] and "versions" not in picked[0]
 
 
-@pytest.mark.parametrize("name", ["e2e_full", "d_framework_evidence", "d_frameworks", "e_boot_dup", "e_filter_join", "e_find_class", "e_servlet_join", "e_struts_ann", "e_struts_xml", "e_webwork"])
+@pytest.mark.parametrize("name", ["e2e_full", "d_framework_evidence", "d_frameworks", "e_boot_dup", "e_filter_join", "e_find_class", "e_servlet_join", "e_struts_ann", "e_struts_xml", "e_webservlet", "e_webwork"])
 def test_no_relation_of_inputs_is_sent_whole(spark, name):
     """Spark takes rows made of a small table for few, and what grows with it must still not go to the driver and to every executor."""
     assert "Broadcast" not in queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
@@ -31,6 +31,12 @@ def test_entries_that_are_held_take_no_memory(spark):
     rows.unpersist()
 
 
+def test_nothing_is_joined_with_no_files(spark):
+    """Where there are no descriptors, classes are decoded once and not looked up for them."""
+    plan = queries.e_webservlet(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
 def written(files: list) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z, warnings.catch_warnings():
