@@ -1,8 +1,9 @@
 import os
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import functions as F
 
-from deploylens import synth
+from deploylens import queries, synth
 from deploylens.functions import bytecode
 from deploylens.operators import detect
 from deploylens.sources import archives, listing
@@ -59,3 +60,22 @@ def test_components_known_and_loose_of_one_name(spark):
     jars = spark.createDataFrame([(1, 1, "asm-util.jar"), (1, 2, "asm.jar"), (1, 3, "guava-1.2.jar"), (1, 4, "guava-1.3.GA.jar"), (1, 5, "x.war"), (2, 1, "guava-7.0.jar")], "input_id long, visit_seq long, jar_name string")
     rows = {(r["input_id"], r["name"]): (r["type"], r["version"], r["jars"]) for r in detect.components(jars).collect()}
     assert rows == {(1, "ASM"): ("Utility", "", ["asm-util.jar"]), (1, "Guava"): ("Utility", "1.2", ["guava-1.2.jar", "guava-1.3.GA.jar"]), (2, "Guava"): ("Utility", "7.0", ["guava-7.0.jar"])}
+
+
+def test_trees_stand_in_turns(spark, monkeypatch):
+    """Files and folders that stand at a time don't grow with the table, and no row is lost."""
+    sf, seen, tree = "/root/testdata/sf0.001", [], listing.tree
+
+    def watched(roots, at_once):
+        assert not any(os.path.exists(x) for uris in seen for x in uris)  # of earlier turns
+        seen.append([unquote(urlsplit(r["uri"]).path) for r in roots.collect()])
+        assert all(os.path.isdir(x) for x in seen[-1])
+        return tree(roots, at_once)
+
+    monkeypatch.setattr(listing, "tree", watched)
+    whole = sorted(queries.s_listed_tree(spark, sf).collect())
+    monkeypatch.setattr(queries, "TURN", 70)
+    seen.clear()
+    assert sorted(queries.s_listed_tree(spark, sf).collect()) == whole
+    bundles = -(-queries.parts(spark, sf).count() // queries.BUNDLE)
+    assert len(seen) == 3 and sum(map(len, seen)) == bundles and max(map(len, seen)) < bundles
